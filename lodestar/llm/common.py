@@ -37,3 +37,25 @@ def persist(df: DataFrame, label: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def raw_text(column: str = "text"):
+    """The text's UTF-8 bytes; none for a null."""
+    return text_or_empty(column).cast("binary")
+
+
+def groups(values: list, limit: int):
+    """Slices of values of about limit bytes or characters each."""
+    start = size = 0
+    for i, value in enumerate(values):
+        size += len(value)
+        if size >= limit:
+            yield start, values[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(values):
+        yield start, values[start:]
+
+
+def is_small(df: DataFrame, rows: int) -> bool:
+    """Whether df has at most so many rows; reads no more than one beyond."""
+    return df.limit(rows + 1).count() <= rows

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe
-from lodestar.llm.common import table
+from lodestar.llm import bpe, chat, fingerprint, mixing, simhash, topk
+from lodestar.llm.common import persist, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -33,3 +33,107 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         outputs=("n_tokens", "ids_sha256", "decoded_sha256"),
         drop=("text",),
     )
+
+
+@query
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that says control strings, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.read_back(chat.format_conversations(turns))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+ORACLE_SQL["op2_chat"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), o AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS was,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back,
+         regexp_replace(text, '(<)(\\*)(\|turn\|>|\|text\|>|\|end\|>)', '\1\\\2\3', 'g') AS safe
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|turn|>') + length(role) + length('<|text|>') + length(safe) + length('<|end|>'))::BIGINT AS formatted_chars,
+       bool_and(CASE WHEN was IS NULL THEN role IN ('system', 'user') WHEN was IN ('system', 'assistant') THEN role = 'user'
+                     WHEN was = 'user' THEN role = 'assistant' ELSE false END)
+         AND bool_or(back = 1 AND role = 'assistant') AS valid
+FROM o GROUP BY conv_id
+"""
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus mixed to weights in proportion to the root of each source's size."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    sizes = persist(mixing.sizes(documents), "sizes")
+    return mixing.mix(documents, persist(mixing.rates(sizes, mixing.tempered(sizes)), "rates"))
+
+
+ORACLE_SQL["op5_mixing"] = r"""
+WITH s AS (SELECT source, sum(coalesce(length(text), 0)) AS size FROM documents GROUP BY source),
+r AS (SELECT source, CASE WHEN size > 0 THEN sqrt(size::DOUBLE) / sum(sqrt(size::DOUBLE)) OVER () * (sum(size) OVER ())::DOUBLE / size::DOUBLE ELSE 0.0 END AS rate FROM s),
+d AS (
+  SELECT doc_id, text, lang, d.source, rate, coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, ''))) AS key,
+         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), terms AS (
+  SELECT source, k, sum(CASE WHEN rate > fixed THEN exp(k * ln(rate - fixed) - (rate - fixed) - lgamma(k + 1)) ELSE (k = 0)::DOUBLE END) OVER (PARTITION BY source ORDER BY k) AS cdf
+  FROM (SELECT source, rate, floor(greatest(rate - 32.0, 0)) AS fixed FROM r), range(0, 120) AS g(k)
+), n AS (
+  SELECT d.source, d.key, any_value(floor(greatest(rate - 32.0, 0)))::BIGINT + count(*) FILTER (u >= cdf) AS n
+  FROM d JOIN terms t ON d.source IS NOT DISTINCT FROM t.source GROUP BY d.source, d.key
+)
+SELECT doc_id, text, lang, d.source, c::INTEGER AS copy, md5('42/order:' || d.key || ':' || c) AS mix_key
+FROM d JOIN n USING (key), range(0, n.n) AS g(c)
+"""
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest document id in its class."""
+    found = simhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk fingerprints of every document and its edited text, and their likeness."""
+    return fingerprint.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE_SQL["op3_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.ints::DOUBLE[], c.ints::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
