@@ -87,7 +87,7 @@ def _rotation(vectors: DataFrame, dim: int) -> np.ndarray:
             flat = batch.column("ints").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             rows = flat.reshape(-1, dim)
             gram += rows.T @ rows
-        yield pa.RecordBatch.from_pydict({"i": list(range(dim)), "row": list(gram)})
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(dim), pa.int32()), "row": list(gram)})
 
     if not dim:
         return np.zeros((0, 0))
