@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, fingerprint, mixing, simhash, topk
+from lodestar.llm import bpe, chat, fingerprint, mixing, simhash, substrings, topk
 from lodestar.llm.common import persist, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -137,3 +137,10 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document keeps once strings of 400 bytes that occur twice are gone."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(documents, 400, keep=("doc_id",), with_text=False)
