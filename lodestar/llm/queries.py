@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, fingerprint, mixing, simhash, substrings, topk
+from lodestar.llm import bpe, chat, fingerprint, mixing, pii, simhash, substrings, topk
 from lodestar.llm.common import persist, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -144,3 +144,13 @@ def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document keeps once strings of 400 bytes that occur twice are gone."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.remove_repeats(documents, 400, keep=("doc_id",), with_text=False)
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, by pattern and by disclosing terms."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    number = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    counts = [number(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
