@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, fingerprint, mixing, pii, simhash, substrings, topk
+from lodestar.llm import bpe, chat, fingerprint, lm, mixing, pii, simhash, substrings, topk
 from lodestar.llm.common import persist, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -154,3 +154,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     counts = [number(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
+@query
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability; one residue of the id's CRC-32 in five is held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    return lm.score(documents, held)
