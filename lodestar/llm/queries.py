@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, fingerprint, lm, mixing, pii, simhash, substrings, topk
+from lodestar.llm import bpe, chat, fingerprint, lm, mixing, pii, quality, simhash, substrings, topk
 from lodestar.llm.common import persist, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -162,3 +162,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     return lm.score(documents, held)
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under the model of trusted text, and whether it is kept."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.classify(documents, table(spark, sf_dir, "labels"), keep_text=False)
