@@ -1,10 +1,6 @@
 """Named queries of the library and, where SQL can express them, their SQL."""
 
-from __future__ import annotations
+from lodestar.plans import documents, operations, retrieval  # noqa: F401
+from lodestar.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
