@@ -13,9 +13,8 @@ from lodestar.llm import bpe, mixing, pii, quality, simhash
 from lodestar.llm.common import persist, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Near-duplicates share four fifths of their five-word shingles; at that
-#: likeness SimHash fingerprints of long texts differ in few bits.
-SHINGLE, RADIUS = 5, 3
+#: Words of a shingle; near copies share four fifths of their shingles.
+SHINGLE = 5
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return simhash.deduplicate(docs.select(*COLUMNS), RADIUS, SHINGLE)
+    return simhash.deduplicate(docs.select(*COLUMNS), SHINGLE)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

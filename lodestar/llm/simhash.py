@@ -10,6 +10,9 @@ pair and ends at 2 ** 11 values, so a tree's size does not grow with the corpus.
 Each shard gives a spanning forest of its links, not its pairs, and the forests
 are joined by distributed connected components.
 
+`classes` links by the fingerprint alone. `similar_classes` is for texts that
+share most of their shingles: see there.
+
 Defined cases: a null text is empty; a text without words has fingerprint 0 and
 links like any other; fewer words than a shingle has: the whole sequence; ties
 (exactly half) leave the bit unset; repeated rows share a class; a null id is
@@ -34,19 +37,30 @@ from lodestar.llm.components import components
 MAX_SHARD = 2048
 #: Shingles hashed at a time.
 STEP = 200_000
+#: Parts of the hash range in a sketch; bands of it, and values of a band.
+BINS, BANDS, ROWS = 256, 16, 4
+NOTHING = np.uint32(2**32 - 1)
+#: Similarity of texts of one class, and bits in which their fingerprints may differ.
+LEAST_SIMILAR, WIDE = 0.78, 20
 
 
-def fingerprint(words: list[bytes], size: int) -> int:
+def hashes(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; of all words if there are fewer."""
     n = max(1, len(words) - size + 1) if words else 0
-    if not n:
-        return 0
-    votes = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for start in range(0, n, STEP):
-        part = [digest(b" ".join(words[i : i + size]), 42) for i in range(start, min(n, start + STEP))]
-        bits = np.unpackbits(np.array(part, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        votes += bits.sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
+    return np.array([digest(b" ".join(words[i : i + size]), 42) for i in range(n)], np.uint64)
+
+
+def majority(found: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes."""
+    votes = np.zeros(64, np.int64)
+    for start in range(0, len(found), STEP):
+        votes += np.unpackbits(found[start : start + STEP].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(found)).tobytes(), "big")
+
+
+def fingerprint(words: list[bytes], size: int) -> int:
+    return majority(hashes(words, size))
 
 
 def fingerprints(docs: DataFrame, size: int = 3, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -204,13 +218,148 @@ def classes(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
     return prints.join(named, F.col("fingerprint") == F.col("fp")).select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = 3, size: int = 3) -> DataFrame:
-    """The documents whose id is their class's id: one of each class. Where
-    rows share that id, the first by text."""
-    found = persist(classes(docs.select("doc_id", "text"), radius, size), "classes")
+def deduplicate(docs: DataFrame, size: int = 5, least: float = LEAST_SIMILAR) -> DataFrame:
+    """The documents whose id is their class's id: one of each class of
+    documents linked by `least` similarity of their shingles. Where rows share
+    that id, the first by text."""
+    found = persist(similar_classes(docs.select("doc_id", "text"), size, least), "classes")
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
     one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
     if kept.filter("__n > 1").take(1):
         first = Window.partitionBy("doc_id").orderBy("text")
         one = one.withColumn("__n", F.row_number().over(first)).filter("__n = 1")
     return one.drop("__id", "__n")
+
+
+# Classes by similarity. Texts that share four fifths of their shingles may
+# differ in a quarter of the fingerprint's bits, more than any band of them
+# survives, so shards come from the shingles' least hashes instead.
+
+
+def sketch(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least hash in each of BINS parts of the hash range (all ones where
+    there is none), and the keys of the bands made of them."""
+    part, value = (found >> np.uint64(56)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    least = np.full(BINS, NOTHING, np.uint32)
+    np.minimum.at(least, part, value)
+    coarse = least.reshape(BANDS * ROWS, -1).min(1)
+    filled = np.flatnonzero(coarse != NOTHING)
+    if not len(filled):
+        return least, np.zeros(0, np.uint64)
+    # an empty part takes the value of the next that is not
+    after = filled[np.searchsorted(filled, np.arange(len(coarse))) % len(filled)]
+    rows = coarse[after].reshape(BANDS, ROWS)
+    return least, np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], np.uint64)
+
+
+def _sketches(docs: DataFrame, size: int) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    source = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("__raw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, least, bands = [], [], []
+            for x in batch.column("__raw"):
+                found = hashes(x.as_py().lower().split(), size)
+                one, keys = sketch(np.unique(found))
+                prints.append(majority(found))
+                least.append(one.tobytes())
+                bands.append(keys.view(np.int64))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(least, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
+            ], names=["doc_id", "fp", "least", "bands"])
+
+    return source.mapInArrow(run, f"doc_id {kind}, fp long, least binary, bands array<long>")
+
+
+class SimilarTree(BKTree):
+    """A BK-tree whose links also need similar sketches."""
+
+    def __init__(self, radius: int, least: float):
+        super().__init__(radius)
+        self.least, self.sketches = least, []
+
+    def insert_with(self, value: int, one: np.ndarray) -> None:
+        new = len(self.values)
+        self.sketches.append(one)
+        near, self.near = self.near(value), lambda _: []
+        self.insert(value)
+        del self.near
+        for other in near:
+            a, b = self.root(new), self.root(other)
+            if a != b and similarity(one, self.sketches[other]) >= self.least:
+                self.parent[a] = b
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of equal values among parts that either fills: an estimate of
+    the share of common shingles, with a standard error of at most 1 / 32."""
+    either = np.count_nonzero((a != NOTHING) | (b != NOTHING))
+    return np.count_nonzero((a == b) & (a != NOTHING)) / either if either else 1.0
+
+
+def _similar_links(cells: DataFrame, radius: int, least: float) -> DataFrame:
+    """u, v: a spanning forest of each cell's similar nodes. After MAX_SHARD
+    nodes of one cell the tree goes on with one node of each class so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, tree, nodes, limit = None, None, [], 0
+
+        def links() -> list[tuple[int, int]]:
+            return [(nodes[i], nodes[r]) for i in range(len(nodes)) if (r := tree.root(i)) != i]
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for key, fp, node, raw in zip(*(batch.column(c).to_pylist() for c in ("cell", "fp", "node", "least"))):
+                if key != cell or len(nodes) >= limit:
+                    if tree is not None:
+                        out += links()
+                    old = tree if key == cell else None
+                    roots = [i for i in range(len(nodes)) if tree.root(i) == i] if old else []
+                    before, cell, tree, nodes = nodes, key, SimilarTree(radius, least), []
+                    for i in roots:
+                        tree.insert_with(old.values[i], old.sketches[i])
+                        nodes.append(before[i])
+                    limit = len(nodes) + MAX_SHARD
+                tree.insert_with(fp & 0xFFFFFFFFFFFFFFFF, np.frombuffer(raw, np.uint32))
+                nodes.append(node)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
+        if tree is not None and (out := links()):
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
+
+    return cells.repartition("cell").sortWithinPartitions("cell", "fp", "node").mapInArrow(run, "u long, v long")
+
+
+def similar_classes(docs: DataFrame, size: int = 5, least: float = LEAST_SIMILAR, radius: int = WIDE) -> DataFrame:
+    """doc_id, component_id: classes of documents linked by similarity. Nodes
+    (distinct fingerprints with their sketches) meet in the shard of any band
+    they share; a shard above MAX_SHARD is split by a second band, and that by a
+    third, as similar texts share many. In a shard, a BK-tree finds what is
+    within the (wide) radius, and sketches decide."""
+    made = persist(_sketches(docs, size).withColumn("node", F.xxhash64("fp", "least")), "sketches")
+    nodes = persist(made.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("least").alias("least"), F.any_value("bands").alias("bands")), "nodes")
+    level = nodes.select("node", "bands", F.posexplode("bands").alias("place", "cell"))
+    parts = []
+    for depth in range(3):
+        level = persist(level, "cells")
+        counts = level.groupBy("cell").count().filter("count > 1")
+        last = depth == 2
+        crowded = None if last else persist(counts.filter(F.col("count") > MAX_SHARD).select("cell"), "crowded")
+        some = not last and bool(crowded.take(1))
+        small = counts.filter(F.col("count") <= MAX_SHARD) if some else counts
+        parts.append(level.join(small.select("cell"), "cell", "left_semi").select("node", "cell"))
+        if not some:
+            break
+        again = level.join(crowded, "cell", "left_semi").select("node", "bands", F.col("place").alias("was"), F.col("cell").alias("under"), F.posexplode("bands").alias("place", "band"))
+        level = again.filter("place > was").select("node", "bands", "place", F.xxhash64("under", "band").alias("cell"))
+    met = parts[0]
+    for more in parts[1:]:
+        met = met.unionByName(more)
+    linked = _similar_links(met.join(nodes.select("node", "fp", "least"), "node").select("cell", "fp", "node", "least"), radius, least)
+    roots = components(linked)
+    rooted = nodes.select("node", "first").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
+    rooted = rooted.select("node", "first", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(smallest, "root").select("node", "component_id")
+    return made.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
