@@ -5,7 +5,7 @@ cut is normalised: a stricter mask before the usual chunk length and a looser
 one after it, with a least and a greatest length. A change moves only the cuts
 near it, so the chunks beyond are found again wherever they stand. The
 fingerprint is the set of (32-bit digest, length) of the chunks, written as hex
-in order; containment is the shared length over the smaller set's length.
+in order; containment is the share of a set's length that another set holds.
 
 Defined cases: a null text is empty; an empty text has the empty fingerprint,
 which is like another empty one (1) and unlike any other (0); a text shorter
@@ -123,10 +123,11 @@ def to_text(chunks: np.ndarray) -> str:
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
+    """How much of a, by length, is in b."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     weight = lambda x: int((x & np.uint64(255)).sum()) + len(x)
-    return weight(np.intersect1d(a, b, assume_unique=True)) / min(weight(a), weight(b))
+    return weight(np.intersect1d(a, b, assume_unique=True)) / weight(a)
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
