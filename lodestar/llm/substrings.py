@@ -76,7 +76,7 @@ def _regions(docs: DataFrame, length: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(keys)), pa.array(np.concatenate(firsts), pa.int32()), pa.array(np.concatenate(lasts), pa.int32()),
-                pa.array(np.concatenate(offsets), pa.int32()), pa.array(np.concatenate(anchors).view(np.int64)), pa.array(digests, pa.binary()),
+                pa.array(np.concatenate(offsets), pa.int32()), pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.array(digests, np.uint64).view(np.int64)),
             ], names=["key", "first", "last", "offset", "anchor", "digest"])
 
         for batch in batches:
@@ -84,7 +84,7 @@ def _regions(docs: DataFrame, length: int) -> DataFrame:
             for key, raw in zip(batch.column("key").to_pylist(), batch.column("raw").to_pylist()):
                 first, last, place, h = regions_of(raw, length)
                 digests += [
-                    xxhash.xxh3_128_digest(raw[a : b + length], p - a) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist())
+                    xxhash.xxh3_64_intdigest(raw[a : b + length], p - a) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist())
                 ]
                 keys.append(np.full(len(first), key, np.int64))
                 firsts.append(first)
@@ -98,7 +98,7 @@ def _regions(docs: DataFrame, length: int) -> DataFrame:
                 yield out()
 
     long_enough = docs.filter(F.octet_length("raw") >= length).select("key", "raw")
-    return long_enough.mapInArrow(run, "key long, first int, last int, offset int, anchor long, digest binary")
+    return long_enough.mapInArrow(run, "key long, first int, last int, offset int, anchor long, digest long")
 
 
 def repeated_starts(regions: list[tuple[int, int, bytes]], length: int) -> list[np.ndarray]:
@@ -188,31 +188,35 @@ def _sorted_groups(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield out()
 
-    sorted_ = pieces.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "key", "first", "offset", "piece")
+    sorted_ = pieces.repartition("anchor").sortWithinPartitions("anchor")
     return sorted_.mapInArrow(run, "key long, first int, last int")
 
 
 def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
-    """key, first, last: ranges of starts of repeated windows. docs: key, raw."""
+    """key, first, last: ranges of starts of repeated windows. docs: key, any
+    other columns, and last raw."""
     regions = persist(_regions(docs, length), "regions")
     here = F.struct("key", "first", "last", "offset").alias("one")
     distinct = persist(regions.select("anchor", "digest", here).groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min("one").alias("one")), "distinct")
-    whole = regions.join(distinct.filter("n > 1").select("digest"), "digest", "left_semi").select("key", "first", "last")
+    # either side of these joins grows with the corpus, so none is broadcast
+    twice = distinct.filter("n > 1").select("anchor", "digest").hint("merge")
+    whole = regions.join(twice, ["anchor", "digest"], "left_semi").select("key", "first", "last")
     several = persist(distinct.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), "several")
-    parts = distinct.join(several, "anchor").select("anchor", "m", "one.*")
+    parts = distinct.join(several.hint("merge"), "anchor").select("anchor", "m", "one.*")
     wanted = persist(parts, "wanted")
 
     def cut(which: DataFrame) -> DataFrame:
         """The bytes of these regions, from their documents."""
         of = which.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last", "offset")).alias("of"))
-        both = docs.join(of, "key").select(
-            "key",
+        # with the same columns as the last join, so that Spark shuffles the texts once
+        both = docs.join(of.hint("merge"), "key").select(
+            *docs.columns[:-1],
             F.explode(F.transform("of", lambda r: F.struct(
                 r["anchor"].alias("anchor"), r["first"].alias("first"), r["offset"].alias("offset"),
                 F.substr(F.col("raw"), r["first"] + 1, r["last"] - r["first"] + length).alias("piece"),
             ))).alias("r"),
         )
-        return both.select("key", "r.*")
+        return both.select(*docs.columns[:-1], "r.*")
 
     found = whole.unionByName(_sorted_groups(cut(wanted.filter(F.col("m") <= GROUP)), length))
     hot = wanted.filter(F.col("m") > GROUP)
@@ -229,10 +233,10 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
     """Per document: the columns in keep, n_bytes, n_removed, n_spans,
     kept_sha256, and (with_text) kept, the remaining bytes. docs: doc_id, text."""
-    made = docs.select(*keep, F.xxhash64("doc_id", "text").alias("key"), raw_text().alias("raw"))
-    ranges = repeated_ranges(made.select("key", "raw"), length)
+    made = docs.select(F.xxhash64("doc_id", "text").alias("key"), *keep, raw_text().alias("raw"))
+    ranges = repeated_ranges(made, length)
     of = ranges.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    both = made.join(of, "key", "left").select(*keep, "raw", "ranges.first", "ranges.last")
+    both = made.join(of.hint("merge"), "key", "left").select(*keep, "raw", "ranges.first", "ranges.last")
     added = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType())]
     added += [("kept", T.BinaryType())] if with_text else []
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(*x) for x in added])
