@@ -52,3 +52,27 @@ def drift(reference: DataFrame, current: DataFrame, bins: int = 10, least: float
     p = F.greatest(F.coalesce("a", F.lit(0)) / F.col("n_reference"), F.lit(least))
     q = F.greatest(F.coalesce("b", F.lit(0)) / F.col("n_current"), F.lit(least))
     return both.groupBy("dim").agg(F.sum((q - p) * F.log(q / p)).alias("psi"))
+
+
+#: Words that put a system's description in a tier, strictest first.
+RISK_TIERS = (
+    ("prohibited", "(?i)social scoring|subliminal|real-time biometric|exploits? vulnerab"),
+    ("high", "(?i)hiring|recruit|credit scor|medical|exam|law enforcement|border|infrastructure"),
+    ("limited", "(?i)chatbot|deepfake|emotion|generated (text|image|content)"),
+)
+#: Decisions about people that carry duties, and these duties.
+CONSEQUENTIAL = "(?i)hiring|recruit|credit|lending|insurance|housing|education|health|legal"
+OBLIGATIONS = ("notice", "explanation", "correction", "human_review", "records")
+
+
+def risk_tier(description: Column) -> Column:
+    """The strictest tier whose words occur; minimal without any."""
+    tier = F.lit("minimal")
+    for name, pattern in reversed(RISK_TIERS):
+        tier = F.when(description.rlike(pattern), name).otherwise(tier)
+    return tier
+
+
+def obligations(description: Column) -> Column:
+    """The duties of a covered system; none for others."""
+    return F.when(description.rlike(CONSEQUENTIAL), F.array(*map(F.lit, OBLIGATIONS))).otherwise(F.array().cast("array<string>"))

@@ -114,3 +114,37 @@ def deliver(messages: DataFrame, now: str, attempts: int = 3) -> DataFrame:
 def trimmed(entries: DataFrame, key: str, newest: list, keep: int = 50) -> DataFrame:
     """The newest entries of each key."""
     return entries.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*newest))).filter(F.col("__n") <= keep).drop("__n")
+
+
+def reserve(requests: DataFrame, limit: int, seconds: float, most_wait: float, keys: list[str], time: str, order: list[str]) -> DataFrame:
+    """requests with accepted and start (seconds; null if refused): at most
+    `limit` starts in any span of so many seconds. A request takes the first free
+    start; one that would wait longer than most_wait is refused and takes none."""
+
+    def step(starts: deque, row: dict) -> tuple[deque, tuple]:
+        start = max(row[time], starts[0] + seconds) if len(starts) == limit else row[time]
+        start = max(start, starts[-1]) if starts else start
+        if start - row[time] > most_wait:
+            return starts, (False, None)
+        starts.append(start)
+        return starts, (True, start)
+
+    return ordered_fold(requests, keys, [time, *order], lambda: deque(maxlen=limit), step, "accepted boolean, start double", {"accepted": pa.bool_(), "start": pa.float64()})
+
+
+def slots(requests: DataFrame, limit: int, ttl: float, keys: list[str], time: str, order: list[str]) -> DataFrame:
+    """requests (holder, release) with granted and held (slots in use after it):
+    at most `limit` holders of a key at once, each until it releases its own
+    slot or `ttl` seconds have passed; a holder that asks again renews its slot."""
+
+    def step(until: dict, row: dict) -> tuple[dict, tuple]:
+        until = {h: end for h, end in until.items() if end > row[time]}
+        if row["release"]:
+            granted = until.pop(row["holder"], None) is not None
+        else:
+            granted = row["holder"] in until or len(until) < limit
+            if granted:
+                until[row["holder"]] = row[time] + ttl
+        return until, (granted, len(until))
+
+    return ordered_fold(requests, keys, [time, *order], dict, step, "granted boolean, held int", {"granted": pa.bool_(), "held": pa.int32()})

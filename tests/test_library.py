@@ -116,3 +116,17 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.k, r.n): r.accepted for r in spark.table("told").collect()}
     want = {(r.k, r.n): r.accepted for r in state.quota(rows, 100.0, ["k"], ["n"], "cost").collect()}
     assert got == want
+
+
+def test_reserve_waits_or_refuses(spark):
+    asked = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate([0, 1, 2, 30, 40, 100])] + [(2, 9, 5.0)], "k int, id int, at double")
+    got = {r.id: (r.accepted, r.start) for r in state.reserve(asked, 2, 60, 30, ["k"], "at", ["id"]).collect()}
+    assert got == {0: (True, 0.0), 1: (True, 1.0), 2: (False, None), 3: (True, 60.0), 4: (True, 61.0), 5: (True, 120.0), 9: (True, 5.0)}
+
+
+def test_slots_belong_to_their_holder(spark):
+    rows = [(0, "a", False), (1, "b", False), (2, "c", False), (3, "c", True), (4, "a", True), (5, "c", False), (62, "d", False)]
+    asked = spark.createDataFrame([(1, i, float(x), h, r) for i, (x, h, r) in enumerate(rows)], "k int, id int, at double, holder string, release boolean")
+    got = [(r.granted, r.held) for r in state.slots(asked, 2, 60, ["k"], "at", ["id"]).orderBy("id").collect()]
+    assert got == [(True, 1), (True, 2), (False, 2), (False, 2), (True, 1), (True, 2), (True, 2)]
+    assert state.slots(asked.limit(0), 2, 60, ["k"], "at", ["id"]).count() == 0
