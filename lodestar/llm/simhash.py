@@ -22,7 +22,7 @@ gives an empty table; columns named fingerprint or component_id are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ from lodestar.llm.common import persist
 from lodestar.llm.components import components
 
 MAX_SHARD = 2048
+#: Bytes of sketches or shingles that a tree holds, about.
+BLOCK_BYTES = 32_000_000
 #: Shingles hashed at a time.
 STEP = 200_000
 #: Parts of the hash range in a sketch; bands of it, and values of a band.
@@ -273,21 +275,21 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 class SimilarTree(BKTree):
-    """A BK-tree whose links also need similar sketches."""
+    """A BK-tree whose links also need what comes with the values to be alike."""
 
-    def __init__(self, radius: int, least: float):
+    def __init__(self, radius: int, alike: Callable[[np.ndarray, np.ndarray], bool]):
         super().__init__(radius)
-        self.least, self.sketches = least, []
+        self.alike, self.items = alike, []
 
-    def insert_with(self, value: int, one: np.ndarray) -> None:
+    def insert_with(self, value: int, item: np.ndarray, link: bool = True) -> None:
         new = len(self.values)
-        self.sketches.append(one)
-        near, self.near = self.near(value), lambda _: []
+        self.items.append(item)
+        near, self.near = self.near(value) if link else [], lambda _: []
         self.insert(value)
         del self.near
         for other in near:
             a, b = self.root(new), self.root(other)
-            if a != b and similarity(one, self.sketches[other]) >= self.least:
+            if a != b and self.alike(item, self.items[other]):
                 self.parent[a] = b
 
 
@@ -298,65 +300,89 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return np.count_nonzero((a == b) & (a != NOTHING)) / either if either else 1.0
 
 
-def _similar_links(cells: DataFrame, radius: int, least: float) -> DataFrame:
-    """u, v: a spanning forest of each cell's similar nodes. After MAX_SHARD
-    nodes of one cell the tree goes on with one node of each class so far."""
+def _block_links(members: DataFrame, radius: int, alike: Callable[[np.ndarray, np.ndarray], bool], kind: type) -> DataFrame:
+    """u, v: a spanning forest of each block's alike nodes. members: cell, block,
+    fp, node, item. With columns root and probe: the probes' links to the block's
+    nodes instead, one to each root other than the probe's."""
+    probing = "probe" in members.columns
+    columns = ["cell", "block", *(["probe", "root"] if probing else []), "fp", "node", "item"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, tree, nodes, limit = None, None, [], 0
+        block, tree, nodes, roots = None, None, [], []
 
         def links() -> list[tuple[int, int]]:
             return [(nodes[i], nodes[r]) for i in range(len(nodes)) if (r := tree.root(i)) != i]
 
+        def probed(value: int, item: np.ndarray, node: int, root: int) -> Iterator[tuple[int, int]]:
+            met = {root}
+            for other in tree.near(value):
+                if roots[other] not in met and alike(item, tree.items[other]):
+                    met.add(roots[other])
+                    yield node, nodes[other]
+
+        def table(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in pairs], pa.int64()), pa.array([v for _, v in pairs], pa.int64())], names=["u", "v"])
+
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for key, fp, node, raw in zip(*(batch.column(c).to_pylist() for c in ("cell", "fp", "node", "least"))):
-                if key != cell or len(nodes) >= limit:
-                    if tree is not None:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+                value, node, item = row[-3] & 0xFFFFFFFFFFFFFFFF, row[-2], np.frombuffer(row[-1], kind)
+                if row[:2] != block:
+                    if tree is not None and not probing:
                         out += links()
-                    old = tree if key == cell else None
-                    roots = [i for i in range(len(nodes)) if tree.root(i) == i] if old else []
-                    before, cell, tree, nodes = nodes, key, SimilarTree(radius, least), []
-                    for i in roots:
-                        tree.insert_with(old.values[i], old.sketches[i])
-                        nodes.append(before[i])
-                    limit = len(nodes) + MAX_SHARD
-                tree.insert_with(fp & 0xFFFFFFFFFFFFFFFF, np.frombuffer(raw, np.uint32))
+                    block, tree, nodes, roots = row[:2], SimilarTree(radius, alike), [], []
+                if probing and row[2]:
+                    out += probed(value, item, node, row[3])
+                    continue
+                tree.insert_with(value, item, link=not probing)
                 nodes.append(node)
+                if probing:
+                    roots.append(row[3])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
-        if tree is not None and (out := links()):
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
-
-    return cells.repartition("cell").sortWithinPartitions("cell", "fp", "node").mapInArrow(run, "u long, v long")
+                yield table(out)
+        if tree is not None and not probing and (out := links()):
+            yield table(out)
+
+    order = ["cell", "block", *(["probe"] if probing else []), "fp", "node"]
+    return members.select(*columns).repartition("cell", "block").sortWithinPartitions(*order).mapInArrow(run, "u long, v long")
+
+
+def _similar_links(members: DataFrame, nodes: DataFrame, radius: int, alike: Callable[[np.ndarray, np.ndarray], bool], kind: type) -> DataFrame:
+    """u, v: links that join all alike nodes of each cell. members: cell, node;
+    nodes: node, fp, item (bytes of kind).
+
+    A cell is dealt into blocks of about MAX_SHARD nodes and BLOCK_BYTES, whose
+    pairs are compared in the block's tree. Pairs of different blocks are compared
+    unless these links join them already: all nodes but those of the cell's
+    largest class go to every block."""
+    sized = nodes.select("node", F.length("item").alias("size"))
+    cells = members.join(sized, "node").groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("size")).filter("n > 1")
+    cells = cells.select("cell", F.ceil(F.greatest(F.col("n") / MAX_SHARD, F.col("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    cells = persist(cells, "cells")
+    placed = members.join(cells, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    found = _block_links(placed.join(nodes, "node"), radius, alike, kind)
+    if not cells.filter("blocks > 1").take(1):
+        return found
+    found = persist(found, "links")
+    roots = components(found).withColumnRenamed("node", "__node")
+    crowded = placed.filter("blocks > 1").join(roots, F.col("node") == F.col("__node"), "left")
+    crowded = persist(crowded.select("cell", "blocks", "block", "node", F.coalesce("root", "node").alias("root")), "crowded")
+    largest = crowded.groupBy("cell", "root").count().groupBy("cell").agg(F.max(F.struct("count", "root")).alias("most")).select("cell", F.col("most.root").alias("__root"))
+    apart = persist(crowded.join(largest, "cell").filter("root != __root").drop("__root"), "apart")
+    probes = apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
+    held = crowded.join(apart.select("cell").distinct(), "cell", "left_semi").withColumn("probe", F.lit(False))
+    return found.union(_block_links(held.unionByName(probes).join(nodes, "node"), radius, alike, kind))
 
 
 def similar_classes(docs: DataFrame, size: int = 5, least: float = LEAST_SIMILAR, radius: int = WIDE) -> DataFrame:
     """doc_id, component_id: classes of documents linked by similarity. Nodes
     (distinct fingerprints with their sketches) meet in the shard of any band
-    they share; a shard above MAX_SHARD is split by a second band, and that by a
-    third, as similar texts share many. In a shard, a BK-tree finds what is
+    they share, however many nodes it has. In a shard, BK-trees find what is
     within the (wide) radius, and sketches decide."""
     made = persist(_sketches(docs, size).withColumn("node", F.xxhash64("fp", "least")), "sketches")
-    nodes = persist(made.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("least").alias("least"), F.any_value("bands").alias("bands")), "nodes")
-    level = nodes.select("node", "bands", F.posexplode("bands").alias("place", "cell"))
-    parts = []
-    for depth in range(3):
-        level = persist(level, "cells")
-        counts = level.groupBy("cell").count().filter("count > 1")
-        last = depth == 2
-        crowded = None if last else persist(counts.filter(F.col("count") > MAX_SHARD).select("cell"), "crowded")
-        some = not last and bool(crowded.take(1))
-        small = counts.filter(F.col("count") <= MAX_SHARD) if some else counts
-        parts.append(level.join(small.select("cell"), "cell", "left_semi").select("node", "cell"))
-        if not some:
-            break
-        again = level.join(crowded, "cell", "left_semi").select("node", "bands", F.col("place").alias("was"), F.col("cell").alias("under"), F.posexplode("bands").alias("place", "band"))
-        level = again.filter("place > was").select("node", "bands", "place", F.xxhash64("under", "band").alias("cell"))
-    met = parts[0]
-    for more in parts[1:]:
-        met = met.unionByName(more)
-    linked = _similar_links(met.join(nodes.select("node", "fp", "least"), "node").select("cell", "fp", "node", "least"), radius, least)
+    nodes = persist(made.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("least").alias("item"), F.any_value("bands").alias("bands")), "nodes")
+    met = nodes.select("node", F.explode(F.array_distinct("bands")).alias("cell"))
+    linked = _similar_links(met, nodes.select("node", "fp", "item"), radius, lambda a, b: similarity(a, b) >= least, np.uint32)
     roots = components(linked)
     rooted = nodes.select("node", "first").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
     rooted = rooted.select("node", "first", F.coalesce("root", "node").alias("root"))

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, with nulls, empty and repeated rows, ties and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -179,6 +180,61 @@ def test_near_copies_leave_one(spark, docs, none):
     assert simhash.deduplicate(none).count() == 0
 
 
+def jaccard(a, b):
+    a, b = (set(simhash.hashes(t.lower().encode().split(), 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def brute_classes(rows, least):
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        if jaccard(a, b) >= least:
+            x, y = sorted((top(i), top(j)))
+            root[y] = x
+    return {i: top(i) for i in root}
+
+
+def changed(seed, n=300, edits=6):
+    """A text and a copy with a few new words: just over 0.8 alike."""
+    rng = random.Random(seed)
+    one = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    two = list(one)
+    for at in rng.sample(range(4, n - 4), edits):
+        two[at] = "new"
+    return " ".join(one), " ".join(two)
+
+
+@pytest.mark.parametrize("most", [2048, 1])
+def test_near_copies_of_any_member(spark, monkeypatch, most):
+    # each version is like the next one, not like those further on
+    rows = []
+    for family in range(4):
+        rng = random.Random(family)
+        text = [f"w{rng.randrange(10**6)}" for _ in range(700)]
+        for version in range(9):
+            rows.append((100 * family + version, " ".join(text)))
+            at = 70 * version
+            text[at : at + 35] = [f"v{rng.randrange(10**6)}" for _ in range(35)]
+    # pairs that share one band or two
+    for seed in range(2000):
+        pair = changed(seed)
+        (a, p), (b, q) = (simhash.sketch(np.unique(simhash.hashes(t.encode().split(), 5))) for t in pair)
+        if len(np.intersect1d(p, q)) in (1, 2) and simhash.similarity(a, b) >= 0.8 and jaccard(*pair) >= 0.8:
+            rows += [(10_000 + 2 * seed, pair[0]), (10_001 + 2 * seed, pair[1])]
+    assert len(rows) >= 36 + 4
+    want = brute_classes(rows, 0.8)
+    assert len(set(want.values())) == 4 + (len(rows) - 36) // 2
+    monkeypatch.setattr(simhash, "MAX_SHARD", most)
+    got = simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(200):
