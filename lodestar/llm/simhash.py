@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import persist
+from lodestar.llm.common import groups, persist
 from lodestar.llm.components import components
 
 MAX_SHARD = 2048
@@ -39,11 +39,14 @@ MAX_SHARD = 2048
 BLOCK_BYTES = 32_000_000
 #: Shingles hashed at a time.
 STEP = 200_000
+#: Bytes of texts whose shingles are sent at a time.
+STEP_BYTES = 4_000_000
 #: Parts of the hash range in a sketch; bands of it, and values of a band.
 BINS, BANDS, ROWS = 256, 16, 4
 NOTHING = np.uint32(2**32 - 1)
-#: Similarity of texts of one class, and bits in which their fingerprints may differ.
-LEAST_SIMILAR, WIDE = 0.78, 20
+#: Share of common shingles that links texts, by how much less the sketches' estimate
+#: may be (four standard errors), and bits in which the fingerprints may differ.
+LEAST_SIMILAR, SLACK, WIDE = 0.8, 0.1, 20
 
 
 def hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -260,18 +263,40 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, least, bands = [], [], []
+            prints, least, bands, nodes = [], [], [], []
             for x in batch.column("__raw"):
                 found = hashes(x.as_py().lower().split(), size)
-                one, keys = sketch(np.unique(found))
+                each = np.unique(found)
+                one, keys = sketch(each)
+                nodes.append(node_of(each))
                 prints.append(majority(found))
                 least.append(one.tobytes())
                 bands.append(keys.view(np.int64))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(least, pa.binary()), pa.array(bands, pa.list_(pa.int64())),
-            ], names=["doc_id", "fp", "least", "bands"])
+                pa.array(np.array(nodes, np.uint64).view(np.int64)),
+            ], names=["doc_id", "fp", "least", "bands", "node"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, fp long, least binary, bands array<long>")
+    return source.mapInArrow(run, f"doc_id {kind}, fp long, least binary, bands array<long>, node long")
+
+
+def node_of(each: np.ndarray) -> int:
+    """One name for a set of shingles (their sorted hashes)."""
+    return xxhash.xxh64_intdigest(each.tobytes(), 7)
+
+
+def _shingles(docs: DataFrame, size: int) -> DataFrame:
+    """node, item: the sorted hashes of each document's shingles."""
+    source = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("__raw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, raws in groups(batch.column("__raw").to_pylist(), STEP_BYTES):
+                sets = [np.unique(hashes(raw.lower().split(), size)) for raw in raws]
+                nodes = np.array([node_of(x) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "item"])
+
+    return source.mapInArrow(run, "node long, item binary")
 
 
 class SimilarTree(BKTree):
@@ -300,6 +325,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return np.count_nonzero((a == b) & (a != NOTHING)) / either if either else 1.0
 
 
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """The share of common values of two sorted sets; 0 where it must be under least."""
+    few, many = sorted((len(a), len(b)))
+    if few < least * many:
+        return 0.0
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return common / (few + many - common) if many else 1.0
+
+
 def _block_links(members: DataFrame, radius: int, alike: Callable[[np.ndarray, np.ndarray], bool], kind: type) -> DataFrame:
     """u, v: a spanning forest of each block's alike nodes. members: cell, block,
     fp, node, item. With columns root and probe: the probes' links to the block's
@@ -376,13 +412,20 @@ def _similar_links(members: DataFrame, nodes: DataFrame, radius: int, alike: Cal
 
 def similar_classes(docs: DataFrame, size: int = 5, least: float = LEAST_SIMILAR, radius: int = WIDE) -> DataFrame:
     """doc_id, component_id: classes of documents linked by similarity. Nodes
-    (distinct fingerprints with their sketches) meet in the shard of any band
-    they share, however many nodes it has. In a shard, BK-trees find what is
-    within the (wide) radius, and sketches decide."""
-    made = persist(_sketches(docs, size).withColumn("node", F.xxhash64("fp", "least")), "sketches")
-    nodes = persist(made.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("least").alias("item"), F.any_value("bands").alias("bands")), "nodes")
+    (distinct sets of shingles) meet in the shard of any band they share, however
+    many nodes it has. In a shard, BK-trees find what is within the (wide) radius,
+    and sketches propose groups, with SLACK. In a group, all nodes within the
+    radius are compared by their whole sets of shingles, which decide."""
+    made = persist(_sketches(docs, size), "sketches")
+    nodes = persist(made.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.any_value("least").alias("item"), F.any_value("bands").alias("bands")), "nodes")
     met = nodes.select("node", F.explode(F.array_distinct("bands")).alias("cell"))
-    linked = _similar_links(met, nodes.select("node", "fp", "item"), radius, lambda a, b: similarity(a, b) >= least, np.uint32)
+    proposed = _similar_links(met, nodes.select("node", "fp", "item"), radius, lambda a, b: similarity(a, b) >= least - SLACK, np.uint32)
+    grouped = persist(components(proposed).select("node", F.col("root").alias("cell")), "groups")
+    some = nodes.join(grouped.select("node"), "node", "left_semi").select("node", "fp", "first")
+    wanted = some.select(F.col("first").alias("__id")).distinct()
+    sets = _shingles(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"), size)
+    sets = some.join(sets.groupBy("node").agg(F.any_value("item").alias("item")), "node").select("node", "fp", "item")
+    linked = _similar_links(grouped, persist(sets, "shingles"), radius, lambda a, b: jaccard(a, b, least) >= least, np.uint64)
     roots = components(linked)
     rooted = nodes.select("node", "first").join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
     rooted = rooted.select("node", "first", F.coalesce("root", "node").alias("root"))

@@ -235,6 +235,16 @@ def test_near_copies_of_any_member(spark, monkeypatch, most):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_near_copies_by_exact_share(spark):
+    # around the limit, where sketches alone go wrong both ways
+    rows = [(2 * i + j, t) for i in range(60) for j, t in enumerate(changed(5000 + i, 1200, 25 + i % 6))]
+    want = brute_classes(rows, 0.8)
+    shares = [jaccard(rows[i][1], rows[i + 1][1]) for i in range(0, len(rows), 2)]
+    assert sum(0.78 < x < 0.8 for x in shares) > 5 and sum(0.8 <= x < 0.82 for x in shares) > 5
+    got = simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(200):
