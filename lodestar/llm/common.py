@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,12 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a
-    folder of this machine only where the session names none, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where
+    the session names none, a folder of this machine if Spark runs in this
+    process alone; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lodestar-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -35,6 +39,15 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def forget(*made: DataFrame) -> None:
+    """Deletes what persist wrote, once nothing reads it any more."""
+    for df in made:
+        files = df.inputFiles()
+        if files:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -57,5 +70,5 @@ def groups(values: list, limit: int):
 
 
 def is_small(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; reads no more than one beyond."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df has at most so many rows; for a written table its files know the number."""
+    return df.count() <= rows if rows else df.isEmpty()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import persist
+from lodestar.llm.common import forget, persist
 
 MAX_ROUNDS = 60
 
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = persist(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
     mark = None
     for _ in range(MAX_ROUNDS):
-        edges = persist(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, persist(_small_star(_large_star(edges)), "edges")
+        forget(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
