@@ -192,6 +192,19 @@ def _sorted_groups(pieces: DataFrame, length: int) -> DataFrame:
     return sorted_.mapInArrow(run, "key long, first int, last int")
 
 
+def _windows(pieces: DataFrame, length: int) -> DataFrame:
+    """key, first, window (a digest): each window of the pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, first, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "first", "piece"))):
+                n = len(raw) - length + 1
+                digests = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(digests, pa.binary())], names=["key", "first", "window"])
+
+    return pieces.mapInArrow(run, "key long, first int, window binary")
+
+
 def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     """key, first, last: ranges of starts of repeated windows. docs: key, any
     other columns, and last raw."""
@@ -205,27 +218,21 @@ def repeated_ranges(docs: DataFrame, length: int = 400) -> DataFrame:
     parts = distinct.join(several.hint("merge"), "anchor").select("anchor", "m", "one.*")
     wanted = persist(parts, "wanted")
 
-    def cut(which: DataFrame) -> DataFrame:
-        """The bytes of these regions, from their documents."""
-        of = which.groupBy("key").agg(F.collect_list(F.struct("anchor", "first", "last", "offset")).alias("of"))
-        # with the same columns as the last join, so that Spark shuffles the texts once
-        both = docs.join(of.hint("merge"), "key").select(
-            *docs.columns[:-1],
-            F.explode(F.transform("of", lambda r: F.struct(
-                r["anchor"].alias("anchor"), r["first"].alias("first"), r["offset"].alias("offset"),
-                F.substr(F.col("raw"), r["first"] + 1, r["last"] - r["first"] + length).alias("piece"),
-            ))).alias("r"),
-        )
-        return both.select(*docs.columns[:-1], "r.*")
-
-    found = whole.unionByName(_sorted_groups(cut(wanted.filter(F.col("m") <= GROUP)), length))
-    hot = wanted.filter(F.col("m") > GROUP)
-    if not is_small(hot, 0):
-        windows = cut(hot).select(
-            "key", "first", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - length)).alias("at"), "piece"
-        ).select("key", (F.col("first") + F.col("at")).cast("int").alias("first"), F.md5(F.substr("piece", F.col("at") + 1, F.lit(length))).alias("window"))
-        windows = persist(windows, "windows")
-        twice = windows.groupBy("window").count().filter("count > 1").select("window")
+    of = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "m", "first", "last", "offset")).alias("of"))
+    # the bytes of these regions, from their documents. All readers of the texts join
+    # the same columns by key in one plan, so that Spark shuffles the texts once
+    both = docs.join(of.hint("merge"), "key").select(
+        *docs.columns[:-1],
+        F.explode(F.transform("of", lambda r: F.struct(
+            r["anchor"].alias("anchor"), r["m"].alias("m"), r["first"].alias("first"), r["offset"].alias("offset"),
+            F.substr(F.col("raw"), r["first"] + 1, r["last"] - r["first"] + length).alias("piece"),
+        ))).alias("r"),
+    )
+    cut = both.select(*docs.columns[:-1], "r.*")
+    found = whole.unionByName(_sorted_groups(cut.filter(F.col("m") <= GROUP), length))
+    if not is_small(wanted.filter(F.col("m") > GROUP), 0):
+        windows = _windows(cut.filter(F.col("m") > GROUP), length)
+        twice = windows.groupBy("window").count().filter("count > 1").select("window").hint("merge")
         found = found.unionByName(windows.join(twice, "window", "left_semi").select("key", "first", F.col("first").alias("last")))
     return found
 
