@@ -6,23 +6,27 @@ uniform number; the Poisson distribution of the source's rate, inverted at that
 number, is the document's count of copies. Copies are then put into one global
 order by a second hash. The same seed gives the same mixture on any cluster.
 
-Defined cases: a null source is a source of its own; a null document id hashes
-as the empty string (with the text, so that such rows differ); repeated rows get
-the same count; a null text has no characters; a source without characters or
+Defined cases: a null source is a source of its own; a row without a document
+id hashes as "null" and the MD5 of its text, so that such rows differ; repeated
+rows get the same count; a null text has no characters; a source without characters or
 without a weight gets rate 0; an empty table gives an empty table; columns
 named copy or mix_key are replaced.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sources up to this number are broadcast; beyond it the join is salted.
 BROADCAST_SOURCES = 10_000
 SALTS = 32
-#: A rate above this is drawn as a fixed part and a Poisson part of this mean.
-LARGEST_MEAN = 32.0
+#: Means up to this have a probability of 0 that a double holds.
+FROM_ZERO = 600.0
+#: Digits of mix_key that choose the partition.
+DIGITS = 8
 
 
 def uniform(*parts: Column) -> Column:
@@ -54,9 +58,20 @@ def rates(table: DataFrame, weights: DataFrame, budget: float = 1.0) -> DataFram
     )
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln(n!) of large n by Stirling's series; its error is below 1e-16 from 100 on."""
+    x = n.cast("double") + 1
+    return (x - 0.5) * F.ln(x) - x + 0.5 * F.lit(math.log(2 * math.pi)) + 1 / (12 * x) - 1 / (360 * x * x * x)
+
+
 def poisson(rate: Column, u: Column) -> Column:
-    """Least k with u < P(count <= k), for a mean of at most LARGEST_MEAN."""
-    start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"))
+    """Least k with u < P(count <= k). Counts are added up from 0; for a mean
+    above FROM_ZERO from 12 standard deviations below it, under which no double
+    holds anything of the sum."""
+    reach = F.lit(12) * F.sqrt(rate) + 12
+    least = F.when(rate > FROM_ZERO, F.floor(rate - reach)).otherwise(F.lit(0)).cast("int")
+    p = F.exp(F.when(least > 0, least * F.ln(rate) - rate - _log_factorial(least)).otherwise(-rate))
+    start = F.struct(least.alias("k"), p.alias("p"), p.alias("cdf"))
 
     def step(state: Column, i: Column) -> Column:
         p = state.p * rate / i.cast("double")
@@ -67,8 +82,7 @@ def poisson(rate: Column, u: Column) -> Column:
             F.when(more, state.cdf + p).otherwise(state.cdf).alias("cdf"),
         )
 
-    terms = F.ceil(rate + 12 * F.sqrt(rate) + 12).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda state: state.k)
+    return F.aggregate(F.sequence(least + 1, F.ceil(rate + reach).cast("int")), start, step, lambda state: state.k)
 
 
 def _with_rates(docs: DataFrame, table: DataFrame) -> DataFrame:
@@ -89,10 +103,11 @@ def mix(docs: DataFrame, table: DataFrame, seed: int = 42) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     names = [c for c in docs.columns if c not in ("copy", "mix_key")]
     rated = _with_rates(docs.select(*names), table)
-    fixed = F.floor(F.greatest(F.col("__rate") - LARGEST_MEAN, F.lit(0.0)))
-    counted = rated.withColumn(
-        "__n", (fixed + poisson(F.col("__rate") - fixed, uniform(F.lit(str(seed)), key))).cast("int")
-    ).filter("__n > 0")
+    counted = rated.withColumn("__n", poisson(F.col("__rate"), uniform(F.lit(str(seed)), key))).filter("__n > 0")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), key, F.col("copy")).cast("binary")))
-    return keyed.select(*names, "copy", "mix_key").orderBy("mix_key", "copy")
+    # the keys are uniform, so their first digits say which partition they are in
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring("mix_key", 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS) * parts).cast("int")
+    dealt = keyed.select(*names, "copy", "mix_key").repartitionById(parts, place)
+    return dealt.sortWithinPartitions("mix_key", "copy")

@@ -97,10 +97,10 @@ d AS (
          ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0 AS u
   FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 ), terms AS (
-  SELECT source, k, sum(CASE WHEN rate > fixed THEN exp(k * ln(rate - fixed) - (rate - fixed) - lgamma(k + 1)) ELSE (k = 0)::DOUBLE END) OVER (PARTITION BY source ORDER BY k) AS cdf
-  FROM (SELECT source, rate, floor(greatest(rate - 32.0, 0)) AS fixed FROM r), range(0, 120) AS g(k)
+  SELECT source, k, sum(CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lgamma(k + 1)) ELSE (k = 0)::DOUBLE END) OVER (PARTITION BY source ORDER BY k) AS cdf
+  FROM r, range(0, (SELECT ceil(max(rate) + 12 * sqrt(max(rate)) + 13)::BIGINT FROM r)) AS g(k)
 ), n AS (
-  SELECT d.source, d.key, any_value(floor(greatest(rate - 32.0, 0)))::BIGINT + count(*) FILTER (u >= cdf) AS n
+  SELECT d.source, d.key, count(*) FILTER (u >= cdf) AS n
   FROM d JOIN terms t ON d.source IS NOT DISTINCT FROM t.source GROUP BY d.source, d.key
 )
 SELECT doc_id, text, lang, d.source, c::INTEGER AS copy, md5('42/order:' || d.key || ':' || c) AS mix_key

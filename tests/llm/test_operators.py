@@ -131,10 +131,25 @@ def test_mixing_follows_the_rates(spark, none):
     assert abs(counts["a"] / 2000 - 0.5) < 0.08 and abs(counts[None] / 1000 - 40) < 1
     assert [r.mix_key for r in got] == sorted(r.mix_key for r in got)
     assert got == mixing.mix(df, table).collect()
+    odd = spark.createDataFrame([(None, None, "a"), (None, "x", "a"), (1, "", "a"), (1, "", "a")], df.select("doc_id", "text", "source").schema)
+    told = Counter((r.doc_id, r.text) for r in mixing.mix(odd, spark.createDataFrame([("a", 30.0)], "source string, rate double")).collect())
+    assert len(told) == 3 and told[1, ""] % 2 == 0 and told[None, None] != told[None, "x"]
     empty = none.withColumn("source", F.lit("a"))
     assert mixing.mix(empty, mixing.rates(mixing.sizes(empty), mixing.tempered(mixing.sizes(empty)))).count() == 0
 
 
+@pytest.mark.parametrize("mean", [0.3, 40.0, 700.0, 5000.0])
+def test_poisson_counts(spark, mean):
+    """The least count whose probability sum is above u, against sums in log space; mean and variance."""
+    drawn = spark.range(4000).select(mixing.uniform(F.lit("7"), F.col("id").cast("string")).alias("u")).select("u", mixing.poisson(F.lit(mean), F.col("u")).alias("k")).collect()
+    top = int(mean + 14 * math.sqrt(mean) + 20)
+    sums = np.cumsum([math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(top)])
+    want = np.searchsorted(sums, [r.u for r in drawn], "right")
+    got = np.array([r.k for r in drawn])
+    assert (got == want).mean() > 0.999 and np.abs(got - want).max() <= 1
+    assert abs(got.mean() / mean - 1) < 0.06 and abs(got.var() / mean - 1) < 0.12
+
+
 def test_quality_keeps_prose_and_drops_junk(spark):
     good = [(i, prose(i, 150), "en") for i in range(300)]
     junk = [(1000 + i, " ".join(w.upper() + "###" for w in prose(i, 80).split()), "en") for i in range(20)]
