@@ -1,18 +1,21 @@
 """Personal data: four patterns, and terms that the corpus ties to what they protect.
 
-Spans of emails, addresses, cards and phones are found in place. The values
-found are protected entities. For each term met with an entity on one line, in
-at least SUPPORT different lines, the share of the entity's information that the
-term gives away is PMI(term, entity) / IC(entity), with probabilities over the
-corpus's lines. Terms above the threshold are spans too, in the documents that
-hold the entity. Spans are generalised (their kind in brackets) or removed.
-DataFrame functions only.
+Spans of emails, addresses, cards and phones are found in place. Protected
+entities are the values found and their classes (an email's domain, the first
+digits of the others). For each term met with an entity in one unit (a line, or a
+sentence of it), the share of the entity's information that the term gives away
+is PMI(term, entity) / IC(entity), with probabilities over all units of the
+corpus. A term counts as met SMOOTH times more, without the entity, than it was,
+so that one meeting says little in a small corpus; values met once count too.
+Terms above the threshold are spans too, in the documents that hold the entity:
+elsewhere there is nothing that they give away. Spans are generalised (their kind
+in brackets) or removed. DataFrame functions only.
 
 Defined cases: a null text is empty and has no spans; spans of different kinds
 may overlap, and what is sanitised is their union, named after the first; a term
-span that meets a base span is left to it; repeated rows count as lines each,
-but only different lines support a term; a null id is an id; an empty table
-gives an empty table; columns named like the added ones are replaced.
+span that meets a base span is left to it; the units of repeated rows count each;
+a null id is an id; an empty table gives an empty table; columns named like the
+added ones are replaced.
 """
 
 from __future__ import annotations
@@ -37,8 +40,10 @@ KINDS = tuple(PATTERNS)
 #: What a text must hold for a kind to be looked for.
 HINTS = {"email": "@", "ip": None, "card": None, "phone": "+"}
 
-#: Different lines in which a term must meet an entity.
-SUPPORT = 3
+#: Meetings without the entity added to those of each term.
+SMOOTH = 1
+#: Ends of a unit.
+UNIT = r"\n|(?<=[.!?])[ \t]+"
 #: Share of an entity's information that a term may give away.
 THRESHOLD = 0.9
 #: Shortest term.
@@ -146,41 +151,49 @@ def _kind_spans(text: Column, no: int, kind: str) -> Column:
     return F.when(may, named).otherwise(F.array().cast(KINDED)).cast(KINDED)
 
 
-def entity(kind: Column, match: Column) -> Column:
-    """One name for the ways in which a value is written."""
-    return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), digits(match)).otherwise(F.lower(match)))
+def entities(spans: Column) -> Column:
+    """Distinct names of what the spans hold: the values, however written, and their classes."""
+
+    def named(s: Column) -> Column:
+        value = F.when(s.kind.isin("card", "phone"), digits(s.match)).otherwise(F.lower(s.match))
+        wider = (
+            F.when(s.kind == "email", F.substring_index(value, "@", -1))
+            .when(s.kind == "ip", F.substring_index(value, ".", 2))
+            .otherwise(F.substring(value, 1, 6))
+        )
+        return F.array(F.concat_ws(":", s.kind, value), F.concat_ws(":", F.lit("class"), s.kind, wider))
+
+    return F.array_distinct(F.flatten(F.transform(spans, named)))
+
+
+def units(docs: DataFrame, text: Column) -> DataFrame:
+    return docs.select(F.explode(F.split(text, UNIT)).alias("unit")).filter(F.trim("unit") != "")
 
 
 def words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) >= TERM_CHARS)
 
 
-def disclosing_terms(docs: DataFrame, spanned: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def disclosing_terms(docs: DataFrame, spanned: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """entity, term, share: terms that give away at least threshold of an
     entity's information. spanned: docs that have spans, with doc_id, text, spans."""
-    line = F.explode(F.split("text", "\n"))
-    lines = spanned.select(line.alias("line")).filter(F.col("line").rlike("[0-9]|@"))
-    held = lines.select("line", base_spans(F.col("line")).alias("spans")).filter(F.size("spans") > 0)
-    entities = F.array_distinct(F.transform("spans", lambda s: entity(s.kind, s.match)))
+    held = units(spanned, F.col("text")).filter(F.col("unit").rlike("[0-9]|@")).select("unit", base_spans(F.col("unit")).alias("spans")).filter(F.size("spans") > 0)
     # the values themselves are no terms
-    bare = F.aggregate("spans", F.col("line"), lambda rest, s: F.replace(rest, s.match, F.lit(" ")))
-    held = persist(held.select(F.xxhash64("line").alias("line"), entities.alias("entities"), words(bare).alias("terms")), "held")
-    with_entity = held.select("line", "terms", F.explode("entities").alias("entity"))
+    bare = F.aggregate("spans", F.col("unit"), lambda rest, s: F.replace(rest, s.match, F.lit(" ")))
+    held = persist(held.select(entities(F.col("spans")).alias("entities"), words(bare).alias("terms")), "held")
+    with_entity = held.select("terms", F.explode("entities").alias("entity"))
     of_entity = with_entity.groupBy("entity").agg(F.count("*").alias("n_e"))
-    per_line = with_entity.select("line", "entity", F.explode("terms").alias("term")).groupBy("entity", "term", "line").agg(F.count("*").alias("n"))
-    pairs = per_line.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("lines")).filter(F.col("lines") >= support)
-    pairs = persist(pairs, "pairs")
+    pairs = persist(with_entity.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")), "pairs")
     terms = persist(pairs.select("term").distinct(), "terms")
-    every = docs.select(F.explode(F.split(text_or_empty(), "\n")).alias("line"))
-    total = every.agg(F.count("*").alias("n_lines"))
-    if is_small(terms, 0):
-        counts = terms.withColumn("n_t", F.lit(0).cast("long"))
-    else:
-        marked = F.broadcast(terms) if is_small(terms, BROADCAST_TERMS) else terms
-        counts = every.select(F.explode(words(F.col("line"))).alias("term")).join(marked, "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    every = units(docs, text_or_empty())
+    total = every.agg(F.count("*").alias("n_units"))
+    met = every.select(F.explode(words(F.col("unit"))).alias("term"))
+    if is_small(terms, BROADCAST_TERMS):
+        met = met.join(F.broadcast(terms), "term")
+    counts = met.groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(of_entity, "entity").join(counts, "term").join(F.broadcast(total))
-    information = -F.log2(F.col("n_e") / F.col("n_lines"))
-    pmi = F.log2(F.col("n_te") * F.col("n_lines") / (F.col("n_t") * F.col("n_e")))
+    information = -F.log2(F.col("n_e") / F.col("n_units"))
+    pmi = F.log2(F.col("n_te") * F.col("n_units") / ((F.col("n_t") + SMOOTH) * F.col("n_e")))
     share = F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
     return scored.select("entity", "term", share.alias("share")).filter(F.col("share") >= threshold)
 
@@ -214,7 +227,7 @@ def sanitised(text: Column, spans: Column, generalise: bool = True) -> Column:
     return F.when(F.size(spans) > 0, _let(reach, rebuild)).otherwise(text)
 
 
-def find(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with base (base spans) and spans (these and disclosing terms)."""
     names = [c for c in docs.columns if c not in ("base", "spans")]
     text = text_or_empty()
@@ -224,10 +237,10 @@ def find(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD)
         docs.select("doc_id", text.alias("text")).filter(text.rlike("[0-9]|@")).select("doc_id", "text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0),
         "hits",
     )
-    terms = persist(disclosing_terms(docs, hits, support, threshold), "disclosing")
+    terms = persist(disclosing_terms(docs, hits, threshold), "disclosing")
     if is_small(terms, 0):
         return based.withColumn("spans", F.col("base"))
-    has = hits.select("doc_id", F.explode(F.transform("spans", lambda s: entity(s.kind, s.match))).alias("entity")).distinct()
+    has = hits.select("doc_id", F.explode(entities(F.col("spans"))).alias("entity")).distinct()
     of = has.join(terms, "entity").groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set("term")).alias("__terms"))
     of = persist(of, "terms-of")
     of = F.broadcast(of) if is_small(of, BROADCAST_TERMS // 10) else of

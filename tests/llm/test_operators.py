@@ -122,6 +122,37 @@ def test_pii_disclosing_terms(spark):
     assert made[100] == rows[6][1]
 
 
+def test_pii_terms_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(500):
+        said = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", f"w{rng.randrange(900)}"]) for _ in range(6)) for _ in range(3)]
+        if i % 9 == 0:
+            said[1] += f" u{i}@h{i % 4}.org code{i % 4} x{i}x."
+        rows.append((i, "\n".join(said) if i % 2 else ". ".join(said)))
+    rows.append((None, None))
+    met, with_entity, pairs, n = Counter(), Counter(), Counter(), 0
+    split = lambda t: [u for u in re.split(pii.UNIT, t or "") if u.strip()]
+    cut = lambda u: {w for w in re.split(r"[^a-z0-9]+", u.lower()) if len(w) >= 3}
+    for _, t in rows:
+        for u in split(t):
+            n += 1
+            met.update(cut(u))
+            mails = re.findall(PATTERNS["email"].replace("(", "(?:"), u)
+            found = {e for m in mails for e in (m, m.split("@")[1])}
+            with_entity.update(found)
+            pairs.update((e, w) for e in found for w in cut(re.sub("|".join(map(re.escape, mails)) or "$^", " ", u)))
+    good = {p for p, k in pairs.items() if math.log2(k * n / ((met[p[1]] + 1) * with_entity[p[0]])) / math.log2(n / with_entity[p[0]]) >= pii.THRESHOLD}
+    assert any(e.startswith("u") for e, _ in good) and any(e.startswith("h") for e, _ in good) and len(good) < len(pairs)
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = dict(rows)[r.doc_id] or ""
+        mails = [m.span() for m in re.finditer(PATTERNS["email"], text)]
+        own = {e for a, b in mails for e in (text[a:b], text[a:b].split("@")[1])}
+        terms = {w for e, w in good if e in own}
+        want = [m.span() for m in re.finditer("[a-z0-9]+", text) if m.group() in terms and not any(a < m.end() and m.start() < b for a, b in mails)]
+        assert [(x.start, x.end) for x in r.spans if x.kind == "term"] == want
+
+
 def test_mixing_follows_the_rates(spark, none):
     rows = [(i, f"text {i}", "a" if i % 3 else None) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copy", F.lit("clash"))
