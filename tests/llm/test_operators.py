@@ -181,7 +181,7 @@ def test_poisson_counts(spark, mean):
     assert abs(got.mean() / mean - 1) < 0.06 and abs(got.var() / mean - 1) < 0.12
 
 
-def test_quality_keeps_prose_and_drops_junk(spark):
+def test_quality_keeps_prose_and_drops_junk(spark, none):
     good = [(i, prose(i, 150), "en") for i in range(300)]
     junk = [(1000 + i, " ".join(w.upper() + "###" for w in prose(i, 80).split()), "en") for i in range(20)]
     odd = [(2000, None, "en"), (2001, "", None), (0, good[0][1], "en")]
@@ -195,9 +195,64 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     both = [quality.score(df.select("doc_id", "text").filter("doc_id between 40 and 60 or doc_id >= 1000"), model, broadcast=x).collect() for x in (True, False)]
     a, b = ({r.doc_id: r.perplexity for r in x} for x in both)
     assert a[2000] is None and b[2001] is None and a.keys() == b.keys()
+    assert quality.classify(none.withColumn("lang", F.lit("en")), labels).count() == 0 and quality.classify(df, labels.limit(0)).count() == len(got)
     assert all(abs(a[k] - b[k]) < 1e-5 * a[k] for k in a if k < 2000)
 
 
+def kneser_ney(good, bad):
+    """log10 probabilities of words in context, and each word's contrast, plainly."""
+    runs = lambda ts: [["<s>", "<s>", *t.split(), "</s>"] for t in ts]
+    uvw = Counter(tuple(r[i - 2 : i + 1]) for r in runs(good) for i in range(2, len(r)))
+    vw, w = Counter(g[1:] for g in uvw), Counter()
+    w.update(g[1] for g in vw)
+
+    def cuts(counts):
+        r = [sum(n == i for n in counts.values()) for i in (1, 2, 3, 4)]
+        if not all(r):
+            return [0.5, 0.75, 0.9]
+        y = r[0] / (r[0] + 2 * r[1])
+        return [min(max(i + 1 - (i + 2) * y * r[i + 1] / r[i], 0.0), i + 1.0) for i in range(3)]
+
+    def order(counts, context):
+        d, totals, left = cuts(counts), Counter(), Counter()
+        for g, n in counts.items():
+            totals[context(g)] += n
+            left[context(g)] += d[min(n, 3) - 1]
+        return (lambda g: (counts[g] - d[min(counts[g], 3) - 1]) / totals[context(g)] if counts[g] else 0.0), (lambda c: left[c] / totals[c] if totals[c] else 1.0)
+
+    a3, b3 = order(uvw, lambda g: g[:2])
+    a2, b2 = order(vw, lambda g: g[:1])
+    a1, b1 = order(w, lambda g: ())
+    p1 = lambda x: a1(x) + b1(()) / (len(w) + 1)
+    p2 = lambda v, x: a2((v, x)) + b2((v,)) * p1(x)
+    p3 = lambda u, v, x: a3((u, v, x)) + b3((u, v)) * p2(v, x)
+    z = Counter(x for _, x in {tuple(r[i - 1 : i + 1]) for r in runs(bad) for i in range(2, len(r))})
+    az, bz = order(z, lambda g: ())
+    return p3, lambda x: math.log10(az(x) + bz(()) / (len(z) + 1)) - math.log10(p1(x)) if z[x] else -math.inf
+
+
+def test_quality_by_plain_kneser_ney(spark):
+    good, bad = [prose(i, 60) for i in range(30)], [prose(100 + i, 30) + " blot blot2 blot" * (i % 3) for i in range(9)]
+    asked = [prose(200, 50), "the of and", "unseen words only", "blot the blot", good[0]]
+    p3, apart = kneser_ney(good, bad)
+    raw = lambda ts: spark.createDataFrame([(t,) for t in ts], "text string").select(F.col("text").cast("binary").alias("raw"))
+    model = quality.train(raw(good), raw(bad))
+    for way in (True, False):
+        for r in quality.score(spark.createDataFrame([(t,) for t in asked], "text string"), model, broadcast=way).collect():
+            run = ["<s>", "<s>", *r.text.split(), "</s>"]
+            logs = [math.log10(p3(*run[i - 2 : i + 1])) for i in range(2, len(run))]
+            assert math.isclose(r.perplexity, 10 ** (-sum(logs) / len(logs)), rel_tol=1e-5)
+            assert math.isclose(r.contrast, max(map(apart, run[2:])), abs_tol=1e-5)
+
+
+def test_quality_drops_documents_with_few_bad_words(spark):
+    rows = [(i, prose(i, 150), "en", 1, 0) for i in range(400)]
+    rows += [(1000 + i, prose(1000 + i, 70) + f" swine{i % 3} " + prose(2000 + i, 70), "en", 1, 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int, toxic int")
+    kept = {r.doc_id for r in quality.classify(df.select("doc_id", "text", "lang"), df.filter("doc_id < 300 OR doc_id >= 1000").select("doc_id", "quality", "toxic")).filter("keep").collect()}
+    assert not kept & set(range(1000, 4000)) and len(kept) >= 0.97 * 400
+
+
 def test_simhash_classes(spark, docs, none, texts, monkeypatch):
     known = {i: t or "" for i, t in texts}
     prints = {}
