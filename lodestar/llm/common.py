@@ -6,6 +6,9 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,19 @@ def groups(values: list, limit: int):
         yield start, values[start:]
 
 
+def slices(column: pa.Array, limit: int):
+    """The bytes of a column of texts (null: none), as lists of about limit bytes
+    each; only one list exists at a time."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        base = total[start - 1] if start else 0
+        end = min(int(np.searchsorted(total, base + limit)) + 1, len(column))
+        part = column.slice(start, end - start).cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+        yield [x or b"" for x in part.to_pylist()]
+        start = end
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; for a written table its files know the number."""
     return df.count() <= rows if rows else df.isEmpty()
