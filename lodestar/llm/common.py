@@ -73,15 +73,15 @@ def groups(values: list, limit: int):
 
 
 def slices(column: pa.Array, limit: int):
-    """The bytes of a column of texts (null: none), as lists of about limit bytes
-    each; only one list exists at a time."""
+    """The bytes of a column of texts (null: none) in lists of about limit bytes,
+    each with its first row's number; only one list exists at a time."""
     total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(column):
         base = total[start - 1] if start else 0
         end = min(int(np.searchsorted(total, base + limit)) + 1, len(column))
         part = column.slice(start, end - start).cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
-        yield [x or b"" for x in part.to_pylist()]
+        yield start, [x or b"" for x in part.to_pylist()]
         start = end
 
 

@@ -8,7 +8,7 @@ from itertools import count
 import numpy as np
 import xxhash
 
-#: Different words that one task remembers; then it starts anew.
+#: Different words that one task remembers, if nothing else is said; then it starts anew.
 WORDS = 400_000
 
 
@@ -16,7 +16,8 @@ class Lexicon:
     """Gives each word it meets a number, and keeps the words' hashes by number.
     A number holds until `room()` starts anew."""
 
-    def __init__(self):
+    def __init__(self, most: int = WORDS):
+        self.most = most
         self.clear()
 
     def clear(self) -> None:
@@ -26,7 +27,7 @@ class Lexicon:
 
     def room(self) -> bool:
         """Starts anew if there are too many words; whether it did."""
-        if len(self.numbers) > WORDS:
+        if len(self.numbers) > self.most:
             self.clear()
             return True
         return False
