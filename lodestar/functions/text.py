@@ -17,32 +17,50 @@ INJECTIONS = (
     r"\[?end of (context|document|data)\]?.{0,20}(system|assistant|instruction)",
 )
 INJECTION = "(?i)(" + "|".join(INJECTIONS) + ")"
-#: A date-like span that is only a duration.
+# Fixed value: a date-like span that is only a duration.
 DURATION = (
-    r"(?i)^\s*(up\s+to|at\s+least|no\s+more\s+than|within|about|approximately|roughly|over|under|nearly|almost)?"
-    r"\s*[0-9]+[\s-]*(day|days|week|weeks|month|months|year|years|hour|hours|minute|minutes)\s*$"
+    r"(?i)^\s*(?:up\s+to|at\s+least|no\s+more\s+than|within|about|approximately|"
+    r"roughly|over|under|nearly|almost)?\s*\d+[\s-]*"
+    r"(day|days|week|weeks|month|months|year|years|hour|hours|minute|minutes)\s*$"
 )
+# Fixed value: a number is a phone number after a word that says so.
+PHONE_CUE = (
+    r"(?i)\b(?:phone|tel|telephone|mobile|cell|fax|call|dial)\b"
+    r"(?:\s+(?:number|no\.?))?\s*[:#-]?\s*"
+    r"\+?\d[\d\s().-]{5,18}\d"
+)
+# English words that search passes over.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
+    "they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having "
+    "do does did doing a an the and but if or because as until while of at by for with about against between into through during before "
+    "after above below to from up down in out on off over under again further then once here there when where why how all any both each "
+    "few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 URL = r"https?://[^\s)\]]+"
 CITATION = r"\[([0-9]+)\]"
+#: One number, or several with commas between them, in brackets.
+CITATIONS = r"\[([0-9]+(?:\s*,\s*[0-9]+)*)\]"
 #: Entities that a pattern can find, in order of precedence.
 ENTITIES = (
     ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("IP_ADDRESS", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
     ("CREDIT_CARD", r"\b[0-9]{13,19}\b"),
     ("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
-    ("PHONE_NUMBER", r"\+[0-9][0-9 ().-]{8,18}[0-9]"),
+    ("PHONE_NUMBER", r"\+[0-9][0-9 ().-]{8,18}[0-9]|(?i:" + PHONE_CUE.removeprefix("(?i)") + ")"),
     ("URL", URL),
 )
-#: A number is a phone number after a word that says so.
-PHONE_CUE = r"(?i)\b(phone|telephone|tel|mobile|cell|call|fax)\b[\s:.]*(number[\s:.]*)?(\+?[0-9][0-9 ().-]{5,18}[0-9])"
-
-
 def lexemes(text: Column) -> Column:
     """Lower-cased runs of letters and digits, one element per occurrence."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def asked(question: Column) -> Column:
+    """The distinct lexemes that a question searches for: none, if it holds stop words only."""
+    return F.array_except(lexemes(question), F.array(*map(F.lit, STOP_WORDS)))
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -57,9 +75,18 @@ def action(hit: Column, score: Column) -> Column:
 
 
 def citations(answer: Column) -> Column:
-    """Distinct cited numbers, in order of size. [1, 2] counts as [1][2]."""
-    apart = F.regexp_replace(answer, r"([0-9]+)\s*,\s*", "$1][")
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(apart, F.lit(CITATION), F.lit(1)), lambda x: x.cast("int"))))
+    """Distinct cited numbers, in order of size. [1, 2] counts as [1][2]; a list
+    in brackets that holds anything else cites nothing."""
+    groups = F.regexp_extract_all(answer, F.lit(CITATIONS), F.lit(1))
+    each = F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*")))
+    return F.array_sort(F.array_distinct(F.transform(each, lambda x: x.cast("int"))))
+
+
+def normalised(answer: Column) -> Column:
+    """The answer with one number to a bracket."""
+    gaps, groups = F.split(answer, CITATIONS, -1), F.regexp_extract_all(answer, F.lit(CITATIONS), F.lit(1))
+    apart = F.transform(groups, lambda g, i: F.concat(F.get(gaps, i), F.lit("["), F.regexp_replace(g, r"\s*,\s*", "]["), F.lit("]")))
+    return F.concat(F.array_join(apart, ""), F.element_at(gaps, -1))
 
 
 def grounding(cited: Column, total: Column) -> Column:
@@ -106,3 +133,62 @@ def windows(n: Column, size: int = 510, overlap: int = 64, most: int = 64) -> Co
         F.sequence(F.lit(0), count - 1),
         lambda i: F.struct((i * step).cast("int").alias("first"), F.least(n, i * step + size).cast("int").alias("last")),
     )).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
+
+
+def ascii_json(text: Column) -> Column:
+    """JSON text with \\uXXXX (surrogate pairs beyond the basic plane) for what is not ASCII."""
+
+    def told(c: Column) -> Column:
+        n = F.ascii(c)
+        four = lambda x: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(x)), 4, "0"))
+        high = F.floor((n - 0x10000) / 0x400) + 0xD800
+        return F.when(n < 128, c).when(n < 0x10000, four(n)).otherwise(F.concat(four(high), four((n - 0x10000) % 0x400 + 0xDC00)))
+
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(text, ""), told), "")).otherwise(text)
+
+
+def canonical(entry: dict[str, Column]) -> Column:
+    """JSON of an object with its keys in order, no spaces, ASCII only; nulls stay."""
+    ordered = F.struct(*(entry[k].alias(k) for k in sorted(entry)))
+    return ascii_json(F.to_json(ordered, {"ignoreNullFields": "false"}))
+
+
+def iso(time: Column) -> Column:
+    """A time in UTC as ISO 8601; microseconds only where there are any."""
+    micros = F.pmod(F.unix_micros(time.cast("timestamp")), F.lit(1_000_000))
+    return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros > 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+
+
+def bearer(header: Column) -> Column:
+    """The token of an authorization header; null without one."""
+    return F.when(header.startswith("Bearer "), F.nullif(F.trim(F.substring(header, 8, 2**31 - 1)), F.lit("")))
+
+
+def is_acronym(span: Column) -> Column:
+    """A lone word in capitals, which a recogniser of persons mistakes for a name."""
+    return span.rlike(r"^\p{Lu}+$")
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """Hex digest; the key is at most 64 bytes."""
+    pad = lambda x: F.lit(bytes(b ^ x for b in key.ljust(64, b"\0")))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))), 256)
+
+
+def signed(signature: Column, key: bytes, message: Column) -> Column:
+    """Whether base64 text is the message's signature; malformed text or none is not."""
+    return F.coalesce(F.lower(F.hex(F.try_to_binary(signature, F.lit("base64")))) == hmac_sha256(key, message), F.lit(False))
+
+
+def server_events(sent: Column) -> Column:
+    """Array of (event, data) of server-sent text: CR, LF or both end a line, a
+    blank line ends an event, lines that open with a colon are comments, data lines
+    are joined, and an event without data is none."""
+    blocks = F.split(F.regexp_replace(sent, r"\r\n?", "\n"), r"\n\n+")
+
+    def values(block: Column, field: str) -> Column:
+        lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(f"^{field}(:|$)"))
+        return F.transform(lines, lambda x: F.regexp_replace(x, f"^{field}:? ?", ""))
+
+    made = F.transform(blocks, lambda b: F.struct(F.coalesce(F.try_element_at(values(b, "event"), F.lit(-1)), F.lit("message")).alias("event"), values(b, "data").alias("lines")))
+    return F.transform(F.filter(made, lambda e: F.size(e.lines) > 0), lambda e: F.struct(e.event.alias("event"), F.array_join(e.lines, "\n").alias("data")))

@@ -5,13 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Weights of the vendor questionnaire, in its order; a yes to
-# question 7 (counted from 0) is bad.
-VENDOR_WEIGHTS = (5, 5, 8, 6, 6, 4, 8, 7, 3, 6, 7, 3, 5, 4, 5, 6, 4, 5, 3, 7)
+# The vendor questionnaire and its weights; a yes to question 7
+# (counted from 0) is bad.
+VENDOR_QUESTIONS = (
+    ("Does the vendor publish model cards or equivalent documentation for models used?", 5),
+    ("Is training data provenance documented?", 5),
+    ("Does the vendor support tenant-level data isolation?", 8),
+    ("Is data encrypted at rest and in transit?", 6),
+    ("Does the vendor have a documented incident response process?", 6),
+    ("Is there a named security contact / responsible disclosure process?", 4),
+    ("Does the vendor undergo third-party security audits (SOC2, ISO 27001, or equivalent)?", 8),
+    ("Is customer data used for further model training without explicit consent?", 7),
+    ("Does the vendor provide an SLA for uptime and support response?", 3),
+    ("Is there a documented data retention and deletion policy?", 6),
+    ("Does the vendor support GDPR Art. 28 processor obligations (DPA available)?", 7),
+    ("Is there rate limiting / abuse protection on the vendor's API?", 3),
+    ("Does the vendor disclose sub-processors?", 5),
+    ("Is there a documented process for model version changes/deprecation notice?", 4),
+    ("Does the vendor support audit logging of API usage?", 5),
+    ("Is prompt injection / adversarial robustness testing documented?", 6),
+    ("Does the vendor have a bug bounty or vulnerability disclosure program?", 4),
+    ("Is there geographic data residency control?", 5),
+    ("Does the vendor provide usage/cost transparency (token counts, per-request cost)?", 3),
+    ("Is there a clear data processing agreement covering AI-specific risks?", 7),
+)
+VENDOR_WEIGHTS = tuple(weight for _, weight in VENDOR_QUESTIONS)
 VENDOR_INVERTED = (7,)
 # Safe-harbour identifiers and the entity types that cover them.
 IDENTIFIERS = (
-    ("Names", "PERSON"), ("Geographic subdivisions smaller than a state", "LOCATION"), ("Dates and ages over 89", "DATE_TIME"),
+    ("Names", "PERSON"), ("Geographic subdivisions smaller than a state", "LOCATION"), ("All elements of dates (except year) directly related to an individual, and all ages over 89", "DATE_TIME"),
     ("Telephone numbers", "PHONE_NUMBER"), ("Fax numbers", None), ("Email addresses", "EMAIL_ADDRESS"), ("Social Security numbers", "US_SSN"),
     ("Medical record numbers", None), ("Health plan beneficiary numbers", None), ("Account numbers", "US_BANK_NUMBER"),
     ("Certificate/license numbers", "MEDICAL_LICENSE, US_DRIVER_LICENSE"), ("Vehicle identifiers and serial numbers", None),
@@ -21,21 +43,39 @@ IDENTIFIERS = (
 
 
 def vendor_score(answers: Column) -> Column:
-    """raw, normalised (to 100) and tier of an array of 20 booleans."""
+    """raw, normalised (to 100), tier and flagged (questions answered badly) of an
+    array of 20 booleans; of another number it is an error."""
+    answers = F.when(F.size(answers) == len(VENDOR_QUESTIONS), answers).otherwise(F.raise_error(F.lit(f"expected {len(VENDOR_QUESTIONS)} answers")))
     weights = F.array(*map(F.lit, VENDOR_WEIGHTS))
     good = F.transform(answers, lambda a, i: F.when(i.isin(*VENDOR_INVERTED), ~a).otherwise(a))
     raw = F.aggregate(F.zip_with(good, weights, lambda a, w: F.when(a, w).otherwise(0)), F.lit(0), lambda s, x: s + x)
     normal = F.round(raw * 100.0 / sum(VENDOR_WEIGHTS)).cast("int")
-    tier = F.when(normal >= 80, "low").when(normal >= 50, "medium").otherwise("high")
-    return F.struct(raw.alias("raw"), normal.alias("normalised"), tier.alias("tier"))
-
-
-def nearest_rank(df: DataFrame, group: str, value: str, percents: tuple[int, ...] = (50, 95)) -> DataFrame:
-    """Per group the values at nearest rank: the ceil(p * n / 100)-th smallest."""
-    w = Window.partitionBy(group)
-    placed = df.select(group, value, F.row_number().over(w.orderBy(value)).alias("place"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("place") == F.ceil(p * F.col("n") / 100), F.col(value))).alias(f"p{p}")
-    return placed.groupBy(group).agg(F.max("n").alias("n"), *map(at, percents))
+    tier = F.when(normal >= 80, "low_risk").when(normal >= 50, "medium_risk").otherwise("high_risk")
+    questions = F.array(*(F.lit(q) for q, _ in VENDOR_QUESTIONS))
+    flagged = F.array_compact(F.zip_with(good, questions, lambda a, q: F.when(~a, q)))
+    return F.struct(raw.alias("raw"), normal.alias("normalised"), tier.alias("tier"), flagged.alias("flagged"))
+
+
+def nearest_rank(df: DataFrame, group: str, value: str, percents: tuple[int, ...] = (50, 95), buckets: int = 64) -> DataFrame:
+    """Per group the number of values and those at nearest rank: the ceil(p * n /
+    100)-th smallest; nulls count for neither.
+
+    Approximate quantiles cut a group into buckets; their counts tell which buckets
+    hold the ranks asked for, and only those are ranked, by counts of equal values."""
+    df = df.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("x"))
+    cuts = df.groupBy(F.col("g").alias("of")).agg(F.percentile_approx("x", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
+    bucket = F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("x")))
+    counted = df.join(cuts, F.col("g").eqNullSafe(F.col("of"))).groupBy("g", bucket.alias("bucket"), "x").agg(F.count("*").alias("n"))
+    over = Window.partitionBy("g")
+    sizes = counted.groupBy("g", "bucket").agg(F.sum("n").alias("size"))
+    placed = sizes.withColumns({"upto": F.sum("size").over(over.orderBy("bucket")), "all": F.sum("size").over(over)})
+    asked = placed.withColumn("p", F.explode(F.array(*map(F.lit, percents)))).withColumn("target", F.ceil(F.col("p") * F.col("all") / 100))
+    asked = asked.filter((F.col("target") <= F.col("upto")) & (F.col("target") > F.col("upto") - F.col("size")))
+    asked = asked.select(F.col("g").alias("of"), F.col("bucket").alias("__bucket"), "p", "all", (F.col("target") - F.col("upto") + F.col("size")).alias("place"))
+    ranked = counted.withColumn("rank", F.sum("n").over(Window.partitionBy("g", "bucket").orderBy("x")))
+    found = ranked.join(asked, F.col("g").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("__bucket"))).filter(F.col("rank") >= F.col("place"))
+    at = [F.min(F.when(F.col("p") == p, F.col("x"))).alias(f"p{p}") for p in percents]
+    return found.groupBy(F.col("g").alias(group)).agg(F.max("all").alias("n"), *at)
 
 
 def drift(reference: DataFrame, current: DataFrame, bins: int = 10, least: float = 1e-4) -> DataFrame:

@@ -1,7 +1,6 @@
 """Dense, sparse and hybrid retrieval for many questions at once.
 
-Questions are a stated, small set; chunks are the corpus. Postings hold one row
-per (lexeme, chunk), so a question reads only the lexemes it has. Every ranking
+Questions are a stated, small set; chunks are the corpus. Every ranking
 ends in a unique key. Spark decides on broadcasts by size.
 """
 
@@ -10,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import lexemes
+from lodestar.functions.text import asked, lexemes
 from lodestar.functions.vector import dot, norm
 
 POOL, RRF_K, DIGITS = 50, 60, 12
@@ -36,16 +35,19 @@ def dense(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
     return best(scored, "qid", [F.col("distance"), F.col("id")], k)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """lexeme, id, n: occurrences of each lexeme in each chunk."""
-    return chunks.select("id", F.explode(lexemes(F.col("text"))).alias("lexeme")).groupBy("lexeme", "id").agg(F.count("*").alias("n"))
+#: Lexemes of questions that are broadcast; more are joined.
+MOST_ASKED = 200_000
 
 
-def sparse(posted: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
-    """qid, id, hits, rank: 0.1 times the positions that hold any of the
-    question's lexemes, most first, then id. questions: qid, question."""
-    asked = questions.select("qid", F.explode(F.array_distinct(lexemes(F.col("question")))).alias("lexeme"))
-    hits = posted.join(asked, "lexeme").groupBy("qid", "id").agg(F.sum("n").alias("hits"))
+def sparse(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
+    """qid, id, hits, rank: the positions that hold any of the question's lexemes
+    (but stop words), most first, then id. chunks: id, text; questions: qid,
+    question. Only positions that some question asks for are counted and shuffled."""
+    wanted = questions.select("qid", F.explode(asked(F.col("question"))).alias("lexeme"))
+    few = wanted.limit(MOST_ASKED + 1).count() <= MOST_ASKED
+    words = F.broadcast(wanted.select("lexeme").distinct()) if few else wanted.select("lexeme").distinct()
+    posted = chunks.select("id", F.explode(lexemes(F.col("text"))).alias("lexeme")).join(words, "lexeme").groupBy("lexeme", "id").agg(F.count("*").alias("n"))
+    hits = posted.join(F.broadcast(wanted) if few else wanted, "lexeme").groupBy("qid", "id").agg(F.sum("n").alias("hits"))
     return best(hits, "qid", [F.desc("hits"), F.col("id")], k)
 
 
@@ -66,10 +68,10 @@ def fuse(lists: list[DataFrame], k: int) -> DataFrame:
     return best(fused, "qid", order, k)
 
 
-def hybrid(chunks: DataFrame, questions: DataFrame, k: int = 10, pool: int = POOL) -> DataFrame:
-    """chunks: id, text, embedding (either may be null); questions: qid, question, vector."""
-    found = [dense(chunks.select("id", "embedding"), questions, pool), sparse(postings(chunks.filter("text IS NOT NULL").select("id", "text")), questions, pool)]
-    return fuse(found, k)
+def hybrid(texts: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 10, pool: int = POOL) -> DataFrame:
+    """texts: id, text; vectors: id, embedding (an id may be in one of them only);
+    questions: qid, question, vector."""
+    return fuse([dense(vectors, questions, pool), sparse(texts, questions, pool)], k)
 
 
 def parents(ranked: DataFrame, chunks: DataFrame) -> DataFrame:

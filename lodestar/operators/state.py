@@ -11,6 +11,7 @@ import hashlib
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,11 +42,12 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], begin: Callab
 
 def quota(requests: DataFrame, limit: float, keys: list[str], order: list[str], cost: str) -> DataFrame:
     """requests with accepted and used: a request over the limit adds nothing,
-    so a smaller one after it may pass."""
+    so a smaller one after it may pass. A null cost is none."""
 
     def step(used: float, row: dict) -> tuple[float, tuple]:
-        fits = used + row[cost] <= limit
-        used = used + row[cost] if fits else used
+        asked = row[cost] or 0.0
+        fits = used + asked <= limit
+        used = used + asked if fits else used
         return used, (fits, used)
 
     return ordered_fold(requests, keys, order, float, step, "accepted boolean, used double", {"accepted": pa.bool_(), "used": pa.float64()})
@@ -74,9 +76,11 @@ def hourly_limit(requests: DataFrame, limit: int, keys: list[str], time: str, or
 
 
 def chain(entries: DataFrame, keys: list[str], order: list[str], payload: str) -> DataFrame:
-    """entries with prev_hash and entry_hash: each hash covers the one before."""
+    """entries with prev_hash and entry_hash: each hash covers the one before. A
+    null payload is empty."""
+
     def step(previous: str, row: dict) -> tuple[str, tuple]:
-        new = hashlib.sha256((previous + row[payload]).encode()).hexdigest()
+        new = hashlib.sha256((previous + (row[payload] or "")).encode()).hexdigest()
         return new, (previous, new)
 
     return ordered_fold(entries, keys, order, lambda: GENESIS, step, "prev_hash string, entry_hash string", {"prev_hash": pa.string(), "entry_hash": pa.string()})
@@ -92,7 +96,7 @@ def verify(entries: DataFrame, key: str, order: list[str], payload: str) -> Data
         F.coalesce(F.lag("entry_hash").over(w), F.lit(GENESIS)).alias("expected"),
         "prev_hash",
         "entry_hash",
-        F.sha2(F.concat("prev_hash", payload), 256).alias("again"),
+        F.sha2(F.concat("prev_hash", F.coalesce(payload, F.lit(""))), 256).alias("again"),
     )
     broken = (F.col("expected") != F.col("prev_hash")) | (F.col("again") != F.col("entry_hash"))
     return checked.groupBy(key).agg(F.count("*").alias("n_entries"), F.min(F.when(broken, F.col("place"))).alias("first_broken"))
@@ -116,6 +120,32 @@ def trimmed(entries: DataFrame, key: str, newest: list, keep: int = 50) -> DataF
     return entries.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*newest))).filter(F.col("__n") <= keep).drop("__n")
 
 
+def cached(requests: DataFrame, keys: list[str], time: str, vector: str, least: float, ttl: float, most: int) -> DataFrame:
+    """requests with hit_at (time of the entry that answers; null: a miss, which is
+    stored) and held (entries then). The newest entry that is at least `least` alike
+    answers. A key keeps its `most` newest entries, until `ttl` has passed since its
+    last store or a row that invalidates (column invalidates) empties it. A
+    null vector misses and is not stored; times must differ within a key."""
+
+    def step(state: tuple, row: dict) -> tuple[tuple, tuple]:
+        entries, stored = state
+        at, x = row[time], row[vector]
+        if row["invalidates"] or (stored is not None and at - stored >= ttl):
+            entries, stored = [], None
+        if row["invalidates"] or x is None:
+            return (entries, stored), (None, len(entries))
+        x = np.array(x, np.float64)
+        size = np.sqrt(x @ x)
+        for then, y, length in entries:
+            if (x @ y / (size * length) if size * length else 0.0) >= least:
+                return (entries, stored), (then, len(entries))
+        entries = [(at, x, size), *entries[: most - 1]]
+        return (entries, at), (None, len(entries))
+
+    kind = requests.schema[time].dataType.simpleString()
+    return ordered_fold(requests, keys, [time], lambda: ([], None), step, f"hit_at {kind}, held int", {"hit_at": pa.int64() if kind == "bigint" else pa.float64(), "held": pa.int32()})
+
+
 def reserve(requests: DataFrame, limit: int, seconds: float, most_wait: float, keys: list[str], time: str, order: list[str]) -> DataFrame:
     """requests with accepted and start (seconds; null if refused): at most
     `limit` starts in any span of so many seconds. A request takes the first free
@@ -132,6 +162,41 @@ def reserve(requests: DataFrame, limit: int, seconds: float, most_wait: float, k
     return ordered_fold(requests, keys, [time, *order], lambda: deque(maxlen=limit), step, "accepted boolean, start double", {"accepted": pa.bool_(), "start": pa.float64()})
 
 
+def consumed(stream: DataFrame, keys: list[str], time: str, order: list[str], idle: float = 5.0, attempts: int = 3) -> DataFrame:
+    """stream with given (the message a call gets; null: none), tries and dead.
+
+    Rows of a recipient (columns kind, msg): publish puts msg at the end; call asks
+    for one message; ack removes msg. A call gets the message that has waited for an
+    ack longest, if it was given `idle` seconds ago or before, else the oldest that
+    nobody has had. A message that would be given more than `attempts` times goes
+    to the dead letters instead (dead), and the call gets none. Nothing but the
+    messages in flight is held."""
+
+    def step(state: tuple, row: dict) -> tuple[tuple, tuple]:
+        new, pending = state
+        now, kind, msg = row[time], row["kind"], row["msg"]
+        if kind == "publish":
+            new.append(msg)
+        elif kind == "ack":
+            pending.pop(msg, None)
+        elif pending and now - next(iter(pending.values()))[0] >= idle:
+            msg, (_, tries) = next(iter(pending.items()))
+            del pending[msg]
+            if tries >= attempts:
+                return state, (msg, tries, True)
+            pending[msg] = now, tries + 1  # at the end: in the order of the last delivery
+            return state, (msg, tries + 1, False)
+        elif new:
+            msg = new.popleft()
+            pending[msg] = now, 1
+            return state, (msg, 1, False)
+        return state, (None, None, False)
+
+    kind = stream.schema["msg"].dataType.simpleString()
+    types = {"given": pa.int64() if kind == "bigint" else pa.string(), "tries": pa.int32(), "dead": pa.bool_()}
+    return ordered_fold(stream, keys, [time, *order], lambda: (deque(), {}), step, f"given {kind}, tries int, dead boolean", types)
+
+
 def slots(requests: DataFrame, limit: int, ttl: float, keys: list[str], time: str, order: list[str]) -> DataFrame:
     """requests (holder, release) with granted and held (slots in use after it):
     at most `limit` holders of a key at once, each until it releases its own

@@ -28,12 +28,12 @@ def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT n.doc_id, n.source FROM documents n WHERE n.doc_id % 2 = 1
-AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND sha256(o.text) = sha256(n.text))
-QUALIFY row_number() OVER (PARTITION BY sha256(n.text) ORDER BY n.doc_id) = 1""")
+AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.source = n.source AND sha256(o.text) = sha256(n.text))
+QUALIFY row_number() OVER (PARTITION BY n.source, sha256(n.text) ORDER BY n.doc_id) = 1""")
 def ingest_split(spark: SparkSession, d: str) -> DataFrame:
-    """What of a batch (odd ids) is new beside what is stored (even ids)."""
-    every = documents(spark, d).select("doc_id", "source", t.content_hash(F.col("text")).alias("content_hash"))
-    return ingest.not_stored(every.filter("doc_id % 2 = 1"), every.filter("doc_id % 2 = 0")).select("doc_id", "source")
+    """What of a batch (odd ids) is new to its tenant beside what is stored (even ids)."""
+    every = documents(spark, d).select("doc_id", F.col("source").alias("tenant_id"), t.content_hash(F.col("text")).alias("content_hash"))
+    return ingest.not_stored(every.filter("doc_id % 2 = 1"), every.filter("doc_id % 2 = 0")).select("doc_id", F.col("tenant_id").alias("source"))
 
 
 @query("""
@@ -75,7 +75,7 @@ def pii_redact(spark: SparkSession, d: str) -> DataFrame:
 
 
 PHRASES = (
-    "call me on phone 555-0100-22 today", "order number 555-0100-22", "tel: +1 555 010 2233", "within 30 days", "30 days", "at least 2 weeks",
+    "call me on phone 555-0100-22 today", "order number 555-0100-22", "tel: +1 555 010 2233", "dial no. #0207-946-0958", "phone number - 07700 900123", "fax#555-0100-22", "within 30 days", "30 days", "at least 2 weeks",
     "2024-01-30", "3-month", "about 5 years ago", "mobile 07700 900123", "fax number 0207 946 0958", "nearly 12 hours",
 )
 INLINE = "(VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(PHRASES)) + ") AS t(id, phrase)"
@@ -91,21 +91,76 @@ def duration_filter(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {INLINE}").select("id", "phrase", F.col("phrase").rlike(t.DURATION).alias("is_duration"))
 
 
-@query("""
+@query(r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
 paragraphs AS (
-  SELECT doc_id, list(struct_pack(n := len(regexp_extract_all(line, '\\w+'))) ORDER BY place) AS ns FROM lines WHERE trim(line) <> '' GROUP BY doc_id
+  SELECT doc_id, list(len(regexp_extract_all(line, '\w+'))::BIGINT ORDER BY place) AS ns FROM lines WHERE trim(line) <> '' GROUP BY doc_id
 ), packed AS (
-  SELECT doc_id, list_reduce(list_prepend(struct_pack(total := 0::BIGINT, chunk := 0::BIGINT, seen := 0::BIGINT), list_transform(ns, lambda x: struct_pack(total := x.n::BIGINT, chunk := 0::BIGINT, seen := 0::BIGINT))),
-    lambda a, x: CASE WHEN a.seen > 0 AND a.total + x.total > 100 THEN struct_pack(total := x.total, chunk := a.chunk + 1, seen := 1::BIGINT)
-                      ELSE struct_pack(total := a.total + x.total, chunk := a.chunk, seen := 1::BIGINT) END) AS last, len(ns) AS n_paragraphs
+  SELECT doc_id, list_reduce(list_prepend(struct_pack(n := 0::BIGINT, chunks := 0::BIGINT, held := 0::BIGINT, grows := false), list_transform(ns, lambda x: struct_pack(n := x, chunks := 0::BIGINT, held := 0::BIGINT, grows := false))),
+    lambda a, x: CASE WHEN x.n > 100 THEN struct_pack(n := 0::BIGINT, chunks := a.chunks + ceil(x.n / 100.0)::BIGINT, held := x.n - (ceil(x.n / 100.0)::BIGINT - 1) * 100, grows := false)
+                      WHEN a.grows AND a.held + x.n <= 100 THEN struct_pack(n := 0::BIGINT, chunks := a.chunks, held := a.held + x.n, grows := true)
+                      ELSE struct_pack(n := 0::BIGINT, chunks := a.chunks + 1, held := x.n, grows := true) END) AS last, len(ns) AS n_paragraphs
   FROM paragraphs
 )
-SELECT doc_id, last.chunk + 1 AS n_chunks, n_paragraphs::BIGINT AS n_paragraphs, last.total AS last_tokens FROM packed""".replace("\\\\", "\\"))
+SELECT doc_id, last.chunks AS n_chunks, n_paragraphs::BIGINT AS n_paragraphs, last.held AS last_tokens FROM packed""")
 def pack_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """Whole paragraphs packed into chunks of at most 100 tokens."""
+    """Lines packed into chunks of at most 100 tokens."""
     packed = ingest.packed(documents(spark, d).select("doc_id", "text"), 100)
-    return packed.select("doc_id", F.size("chunks").cast("long").alias("n_chunks"), F.col("n_paragraphs").cast("long").alias("n_paragraphs"), F.element_at("chunks", -1).tokens.cast("long").alias("last_tokens"))
+    return packed.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("n_chunks", "n_paragraphs", "last_tokens")))
+
+
+CUT = r"(?:^\W+)?\w+\W*|^\W+$"
+CHUNKS = rf"""
+WITH paras AS (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM {{docs}}
+), each AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS place FROM paras),
+cut AS (SELECT doc_id, place, regexp_extract_all(p, '{CUT}') AS ts FROM each),
+pieces AS (
+  SELECT doc_id, place, i, len(ts) > {{most}} AS alone, least({{most}}, len(ts) - i * {{most}})::BIGINT AS n, array_to_string(ts[i * {{most}} + 1:(i + 1) * {{most}}], '') AS text
+  FROM cut, range(0, 100000) AS g(i) WHERE i <= greatest(len(ts) - 1, 0) // {{most}}
+), listed AS (SELECT doc_id, list(struct_pack(alone := alone, n := n) ORDER BY place, i) AS xs, list(text ORDER BY place, i) AS texts FROM pieces GROUP BY doc_id),
+folded AS (
+  SELECT doc_id, xs, texts, list_reduce(list_prepend(struct_pack(alone := false, n := 0::BIGINT, last := -1::BIGINT, held := -1::BIGINT, out := []::BIGINT[]), list_transform(xs, lambda x: struct_pack(alone := x.alone, n := x.n, last := 0::BIGINT, held := 0::BIGINT, out := []::BIGINT[]))),
+    lambda a, x: CASE WHEN NOT x.alone AND a.held >= 0 AND a.held + x.n <= {{most}} THEN struct_pack(alone := false, n := 0::BIGINT, last := a.last, held := a.held + x.n, out := list_append(a.out, a.last))
+      ELSE struct_pack(alone := false, n := 0::BIGINT, last := a.last + 1, held := CASE WHEN x.alone THEN -1 ELSE x.n END, out := list_append(a.out, a.last + 1)) END).out AS numbers
+  FROM listed
+), numbered AS (SELECT doc_id, unnest(numbers) AS chunk_index, unnest(xs).n AS n, unnest(texts) AS text, generate_subscripts(texts, 1) AS place FROM folded),
+chunks AS (SELECT doc_id, chunk_index, sum(n)::BIGINT AS token_count, string_agg(text, chr(10) || chr(10) ORDER BY place) AS text FROM numbered GROUP BY ALL)"""
+
+
+@query(CHUNKS.format(docs="documents", most=100) + "SELECT doc_id, chunk_index::INTEGER AS chunk_index, token_count, md5(text) AS digest FROM chunks")
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in chunks of whole paragraphs, or of windows where one is too long."""
+    made = ingest.chunked(documents(spark, d).select("doc_id", "text"), 100)
+    return made.select("doc_id", "chunk_index", "token_count", F.md5("text").alias("digest"))
+
+
+@query(rf"""
+SELECT doc_id, i::INTEGER AS piece, least(50, len(ts) - i * 50)::INTEGER AS n, md5(array_to_string(ts[i * 50 + 1:(i + 1) * 50], '')) AS digest
+FROM (SELECT doc_id, regexp_extract_all(text, '{CUT}') AS ts FROM documents), range(0, 100000) AS g(i) WHERE i <= greatest(len(ts) - 1, 0) // 50""")
+def oversized_split(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts in windows of 50 tokens."""
+    cut = documents(spark, d).select("doc_id", F.posexplode(ingest.pieces(F.col("text"), 50)).alias("piece", "p"))
+    return cut.select("doc_id", "piece", "p.n", F.md5("p.text").alias("digest"))
+
+
+@query(f"""
+WITH batch AS (
+  SELECT doc_id, source, sha256(text) AS content_hash, {TYPES} AS types, {REDACTED} AS text FROM documents n
+  WHERE doc_id % 2 = 1 AND text IS NOT NULL AND length(trim(text)) > 0 AND length(text) <= 5000
+  AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.source = n.source AND sha256(o.text) = sha256(n.text))
+  QUALIFY row_number() OVER (PARTITION BY source, sha256(n.text) ORDER BY doc_id) = 1
+), {CHUNKS.format(docs='batch', most=100).strip().removeprefix('WITH ')}
+SELECT source, doc_id, content_hash, array_to_string(types, ',') AS types, count(*) OVER (PARTITION BY doc_id) AS n_chunks, chunk_index::INTEGER AS chunk_index, token_count, md5(chunks.text) AS digest
+FROM batch JOIN chunks USING (doc_id) QUALIFY n_chunks <= 20""")
+def ingest_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way of a batch (odd ids) beside what is stored (even ids): bounds,
+    new content by tenant, redaction, chunks, and the limit on chunks."""
+    every = documents(spark, d).select(F.col("source").alias("tenant_id"), "doc_id", "text")
+    stored = every.filter("doc_id % 2 = 0").select("tenant_id", t.content_hash(F.col("text")).alias("content_hash"))
+    made = ingest.ingested(every.filter("doc_id % 2 = 1"), stored, 5000, 100, 20)
+    types = F.coalesce(F.array_join("pii_types", ","), F.lit(""))
+    return made.select(F.col("tenant_id").alias("source"), "doc_id", "content_hash", types.alias("types"), "n_chunks", "chunk_index", "token_count", F.md5("text").alias("digest"))
 
 
 @query("""
@@ -140,8 +195,8 @@ def injection_scan(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).groupBy("source").agg(F.count(F.when(hit, 1)).alias("n_hits"), F.count("*").alias("n"))
 
 
-MARKED = "SELECT conv_id, turn, text || ' [' || (turn % 3 + 1) || '] and [' || (conv_id % 4 + 1) || ', ' || (conv_id % 2 + 2) || ']' AS answer, conv_id % 5 + 1 AS total FROM conversations WHERE role = 'assistant'"
-CITED = r"list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(answer, '([0-9]+)\s*,\s*', '\1][', 'g'), '\[([0-9]+)\]', 1), lambda x: x::INTEGER)))"
+MARKED = "SELECT conv_id, turn, text || ' [' || (turn % 3 + 1) || '] and [' || (conv_id % 4 + 1) || ', ' || (conv_id % 2 + 2) || '] in (0, 1] as [see 4, 5]' AS answer, conv_id % 5 + 1 AS total FROM conversations WHERE role = 'assistant'"
+CITED = rf"list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(answer, '{t.CITATIONS}', 1), lambda g: string_split_regex(g, '\s*,\s*'))), lambda x: x::INTEGER)))"
 VALID = f"list_filter({CITED}, lambda x: x BETWEEN 1 AND total)"
 
 
@@ -199,5 +254,5 @@ MARKDOWN = "intro line\n# One\nbody a\n\nbody b\n## Two\nbody c\n### Deep\nd\n##
 @query("""SELECT * FROM (VALUES (0, '', 'intro line'), (1, 'One', 'body a\n\nbody b'), (2, 'One > Two', 'body c'), (3, 'One > Two > Deep', 'd'), (4, 'One > Three', 'e'), (5, 'Four', 'f')) AS t(section, path, body)""")
 def heading_path(spark: SparkSession, d: str) -> DataFrame:
     """Sections of a Markdown text with the headings above them."""
-    found = ingest.sections(spark.range(1).select(F.col("id").alias("doc_id"), F.lit(MARKDOWN).alias("text")))
-    return found.select("section", F.array_join("heading_path", " > ").alias("path"), "body")
+    found = ingest.heading_paths(ingest.sections(spark.range(1).select(F.col("id").alias("doc_id"), F.lit(MARKDOWN).alias("text"))))
+    return found.select("section", F.array_join("heading_path", " > ").alias("path"), F.regexp_replace("body", r"^\n|\n$", "").alias("body"))

@@ -15,7 +15,8 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events")
 
 
-PAYLOAD = "event_id || '|' || event_type || '|' || coalesce(props, '')"
+ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 > 0 THEN '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') ELSE '' END || '+00:00'"
+PAYLOAD = f"""'{{"created_at":"' || {ISO} || '","event_data":' || coalesce('{{"k":' || (props->>'k') || '}}', 'null') || ',"event_type":"' || event_type || '","id":"' || event_id || '","tenant_id":"' || user_id || '","trace_id":null}}'"""
 CHAIN = f"""
 WITH RECURSIVE o AS (SELECT user_id, event_id, {PAYLOAD} AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 c AS (
@@ -25,7 +26,10 @@ c AS (
 
 
 def _chained(spark: SparkSession, d: str) -> DataFrame:
-    payload = F.concat_ws("|", "event_id", "event_type", F.coalesce("props", F.lit("")))
+    payload = t.canonical({
+        "id": F.col("event_id").cast("string"), "tenant_id": F.col("user_id").cast("string"), "event_type": F.col("event_type"),
+        "event_data": F.from_json("props", "k long"), "trace_id": F.lit(None).cast("string"), "created_at": t.iso(F.col("ts")),
+    })
     return state.chain(events(spark, d).select("user_id", "ts", "event_id", payload.alias("payload")), ["user_id"], ["ts", "event_id"], "payload")
 
 
@@ -81,7 +85,13 @@ def hourly_limit(spark: SparkSession, d: str) -> DataFrame:
     return state.hourly_limit(events(spark, d), 1, ["user_id"], "ts", ["event_id"]).select("event_id", "accepted")
 
 
-@query()
+@query("""
+WITH k AS (SELECT user_id, list(event_id ORDER BY t, event_id) AS ids, list(t ORDER BY t, event_id) AS ats FROM (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS t FROM events) GROUP BY user_id),
+f AS (SELECT ids, list_reduce(list_prepend(struct_pack(at := 0::DOUBLE, past := []::DOUBLE[], out := []::BOOLEAN[]), list_transform(ats, lambda x: struct_pack(at := x, past := []::DOUBLE[], out := []::BOOLEAN[]))),
+  lambda a, x: CASE WHEN len(list_filter(a.past, lambda p: p > x.at - 86400)) < 3
+    THEN struct_pack(at := x.at, past := list_append(list_filter(a.past, lambda p: p > x.at - 86400), x.at), out := list_append(a.out, true))
+    ELSE struct_pack(at := x.at, past := a.past, out := list_append(a.out, false)) END).out AS told FROM k)
+SELECT unnest(ids) AS event_id, unnest(told) AS accepted FROM f""")
 def sliding_window_limit(spark: SparkSession, d: str) -> DataFrame:
     """At most three accepted events of a user in any day-long span."""
     timed = events(spark, d).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
@@ -167,16 +177,18 @@ def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"))
 
 
-WEIGHTS = list(governance.VENDOR_WEIGHTS)
+QUESTIONS = "(VALUES " + ", ".join(f"({i}, '{q.replace(chr(39), chr(39) * 2)}', {w})" for i, (q, w) in enumerate(governance.VENDOR_QUESTIONS)) + ") AS q(i, question, weight)"
 
 
 @query(f"""
 SELECT s_suppkey, raw::INTEGER AS raw, round(raw * 100.0::DOUBLE / 107)::INTEGER AS normalised,
-       CASE WHEN round(raw * 100.0::DOUBLE / 107) >= 80 THEN 'low' WHEN round(raw * 100.0::DOUBLE / 107) >= 50 THEN 'medium' ELSE 'high' END AS tier
-FROM (SELECT s_suppkey, sum(CASE WHEN ((s_suppkey * 31 + i * 17) % 5 < 3) <> (i = 7) THEN {WEIGHTS}[i + 1] ELSE 0 END) AS raw FROM supplier, range(0, 20) AS g(i) GROUP BY s_suppkey)""")
+       CASE WHEN round(raw * 100.0::DOUBLE / 107) >= 80 THEN 'low_risk' WHEN round(raw * 100.0::DOUBLE / 107) >= 50 THEN 'medium_risk' ELSE 'high_risk' END AS tier, flagged
+FROM (SELECT s_suppkey, sum(CASE WHEN good THEN weight ELSE 0 END) AS raw, coalesce(string_agg(question, '|' ORDER BY i) FILTER (NOT good), '') AS flagged
+      FROM (SELECT s_suppkey, i, question, weight, ((s_suppkey * 31 + i * 17) % 5 < 3) <> (i = 7) AS good FROM supplier, {QUESTIONS}) GROUP BY s_suppkey)""")
 def vendor_score(spark: SparkSession, d: str) -> DataFrame:
     answers = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: (F.col("s_suppkey") * 31 + i * 17) % 5 < 3)
-    return table(spark, d, "supplier").select("s_suppkey", governance.vendor_score(answers).alias("s")).select("s_suppkey", "s.*")
+    scored = table(spark, d, "supplier").select("s_suppkey", governance.vendor_score(answers).alias("s")).select("s_suppkey", "s.*")
+    return scored.withColumn("flagged", F.array_join("flagged", "|"))
 
 
 @query("SELECT 18::BIGINT AS identifiers, 10::BIGINT AS covered")
@@ -191,16 +203,16 @@ def latency_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 PSI = """
-WITH x AS (SELECT vec_id < 250 AS old, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings WHERE vec_id < 500),
+WITH x AS (SELECT vec_id % 2 = 0 AS old, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings),
 b AS (SELECT dim, least(greatest(floor((v::DOUBLE + 1) / 2 * 10), 0), 9)::INTEGER AS bin, count(*) FILTER (old) AS a, count(*) FILTER (NOT old) AS b FROM x GROUP BY 1, 2),
-s AS (SELECT count(*) FILTER (vec_id < 250) AS na, count(*) FILTER (vec_id >= 250 AND vec_id < 500) AS nb FROM embeddings),
+s AS (SELECT count(*) FILTER (vec_id % 2 = 0) AS na, count(*) FILTER (vec_id % 2 = 1) AS nb FROM embeddings),
 p AS (SELECT dim, sum((greatest(b / nb, 1e-4) - greatest(a / na, 1e-4)) * ln(greatest(b / nb, 1e-4) / greatest(a / na, 1e-4))) AS psi FROM b, s GROUP BY dim)
 """
 
 
 def _drift(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings").filter("vec_id < 500")
-    return governance.drift(vectors.filter("vec_id < 250").select("embedding"), vectors.filter("vec_id >= 250").select("embedding"))
+    vectors = table(spark, d, "embeddings")
+    return governance.drift(vectors.filter("vec_id % 2 = 0").select("embedding"), vectors.filter("vec_id % 2 = 1").select("embedding"))
 
 
 @query(PSI + "SELECT dim::INTEGER AS dim, round(psi, 8) AS psi FROM p")

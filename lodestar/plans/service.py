@@ -177,3 +177,12 @@ def slots(spark: SparkSession, d: str) -> DataFrame:
     """Two at once a user; clicks release what the same holder took."""
     asked = _timed(spark, d).withColumns({"holder": F.col("event_id") % 3, "release": F.col("event_type") == "click"})
     return state.slots(asked, 2, 172_800, ["user_id"], "at", ["event_id"]).select("event_id", "granted", "held")
+
+
+@query()
+def redelivery(spark: SparkSession, d: str) -> DataFrame:
+    """What each call of a user gets: unacknowledged messages first, once they have
+    waited two days; after three tries they are dead letters."""
+    kind = F.when(F.col("event_type") == "click", "publish").when(F.col("event_id") % 7 == 0, "ack").otherwise("call")
+    asked = _timed(spark, d).select("event_id", "user_id", "at", kind.alias("kind"), F.when(kind == "ack", F.col("event_id") - 7).otherwise(F.col("event_id")).alias("msg"))
+    return state.consumed(asked, ["user_id"], "at", ["event_id"], 172_800.0).filter("kind = 'call'").select("event_id", "given", "tries", "dead")
