@@ -51,6 +51,14 @@ def forget(*made: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Spark send batches of so many rows to Python, if the session says nothing
+    else: ten thousand long texts, twice a task, are more than an executor has room for."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # the default
+        spark.conf.set(name, rows)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -10,6 +10,8 @@ import xxhash
 
 #: Different words that one task remembers, if nothing else is said; then it starts anew.
 WORDS = 400_000
+#: Keys that enter a table together.
+STEP = 1 << 18
 
 
 class Lexicon:
@@ -59,12 +61,14 @@ class Table:
         self.mask = (1 << self.bits) - 1
         self.slots = np.full(1 << self.bits, -1, np.int32)
         self.keys = keys
-        rows, at = np.arange(len(keys), dtype=np.int32), self._slot(keys)
-        while len(rows):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = rows[free]
-            lost = self.slots[at] != rows
-            rows, at = rows[lost], (at[lost] + 1) & self.mask
+        for start in range(0, len(keys), STEP):
+            rows = np.arange(start, min(start + STEP, len(keys)), dtype=np.int32)
+            at = self._slot(keys[start : start + STEP])
+            while len(rows):
+                free = self.slots[at] < 0
+                self.slots[at[free]] = rows[free]
+                lost = self.slots[at] != rows
+                rows, at = rows[lost], (at[lost] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
