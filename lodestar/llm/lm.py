@@ -5,11 +5,14 @@ softmax over the group's 16 classes, and the word's smoothed share of its class.
 The most frequent words are classes of their own; the others are classed by
 their ending. The softmaxes have weights for hashed features of the context: the
 word before, the two words before together (n-grams), and the second and third
-word before (skips). Weights are learnt by gradient steps (AdaGrad) in every
-task over its own texts, averaged over all tasks, round after round, each round
-over its share of the training texts, so that every training text counts once.
-Counts of words cover all training texts. Frequent words' counts are broadcast
-(at most FREQUENT of them); the rest are joined.
+word before (skips). The rows of features grow with the root of the training
+tokens; an eighth as many of the most frequent words count as themselves in a
+context, others by their ending. Weights are learnt by gradient steps (AdaGrad)
+in every task over its own texts; what tasks changed is averaged, weights sharded,
+round after round, each round over its share of the training texts, so that every
+training text counts once. A task starts its own gradient sums, so weights depend
+slightly on how rows fall into tasks. Counts of words cover all training texts.
+Frequent words' counts are broadcast (at most FREQUENT of them); the rest are joined.
 
 Defined cases: a null text is empty and has one token, its end; repeated rows
 are scored and counted each; a null id is a training row; an empty table gives
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import groups, persist, raw_text
+from lodestar.llm.common import groups, modest_batches, persist, raw_text
 from lodestar.llm.lexicon import Lexicon, Table, mixed
 
 #: Cannot be a word: words hold no white space.
@@ -35,15 +38,18 @@ GROUPS = 16
 CLASSES = GROUPS * GROUPS
 #: Words that are classes of their own.
 SINGLE = CLASSES // 2
-#: Rows of hashed features, each with a weight for every group and class.
+#: Least rows of hashed features, each with a weight for every group and class.
 FEATURES = 4096
+#: Rows of features for each word that counts as itself in a context.
+ROWS_A_WORD = 8
 #: Counts of words that are broadcast.
 FREQUENT = 300_000
 #: Rounds of averaged training, and words of one gradient step.
 ROUNDS, STEP = 2, 65_536
 RATE = 0.2
 TEXT_STEP = 4_000_000
-SLICES = 16
+#: Weights that are averaged together.
+SLICE = 32_768
 
 
 def words(raw: bytes) -> list[bytes]:
@@ -63,6 +69,11 @@ def hash_of(ending: bytes) -> int:
     return int.from_bytes(ending, "little") * 2654435761 % 4294967296 >> 12
 
 
+def feature_rows(tokens: int) -> int:
+    """A power of two near twice the root of the training tokens."""
+    return max(FEATURES, 1 << round(float(np.log2(2 * max(tokens, 1) ** 0.5))))
+
+
 def _count(docs: DataFrame) -> DataFrame:
     """hash, class, n: words of each task's texts, counted."""
 
@@ -97,6 +108,7 @@ class Counts:
         self.hashes, self.n = hashes, n
         self.classes = classes
         self.single, self.tokens, self.types = single, tokens, types
+        self.features = feature_rows(tokens)
         self.mass, self.kinds = totals  # of each class: training tokens, types
         # within a class: (c + 0.5) / (mass + 0.5 * (kinds + 1)); nothing to tell for a class of one word
         self.within = np.log10(self.mass + 0.5 * (self.kinds + 1))
@@ -139,7 +151,7 @@ class Reader:
         self.reset()
 
     def reset(self) -> None:
-        self.classes, self.row = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.classes, self.row, self.context = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def read(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words, and words of each text."""
@@ -150,32 +162,35 @@ class Reader:
         row = self.table.find(self.lexicon.hashes[known:]).astype(np.int64)
         own = (row >= 0) & (row < self.counts.single)
         classes = np.array([ending(w) for w in new], np.int64)
+        itself = (row >= 0) & (row < self.counts.features // ROWS_A_WORD)
+        context = np.where(itself, self.lexicon.hashes[known:], classes.astype(np.uint64))
         classes[own] = row[own]
         self.classes, self.row = np.concatenate([self.classes, classes]), np.concatenate([self.row, row])
+        self.context = np.concatenate([self.context, context])
         return flat, sizes
 
-    def features(self, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def features(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Rows of the hashed features, one column for each kind."""
-        n = len(classes)
+        n, words = len(flat), self.context[flat]
         place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         back = []
         for k in (1, 2, 3):
             b = np.full(n, CLASSES, np.uint64)
-            b[k:] = classes[:-k] if n > k else classes[:0]
+            b[k:] = words[:-k] if n > k else words[:0]
             b[place < k] = CLASSES
             back.append(b)
-        pairs = FEATURES // 2
-        kind = lambda i, b: (mixed(b + np.uint64(1000 * i)) % np.uint64(FEATURES - pairs)).astype(np.int64)
-        both = (mixed(back[0], back[1]) % np.uint64(pairs)).astype(np.int64) + FEATURES - pairs
+        half = self.counts.features // 2
+        kind = lambda i, b: (mixed(b + np.uint64(1000 * i)) % np.uint64(half)).astype(np.int64)
+        both = (mixed(back[0], back[1]) % np.uint64(half)).astype(np.int64) + half
         return np.stack([kind(1, back[0]), both, kind(2, back[1]), kind(3, back[2])])
 
 
 class Weights:
-    def __init__(self, flat: np.ndarray | None = None):
-        size = FEATURES * GROUPS
+    def __init__(self, features: int, flat: np.ndarray | None = None):
+        size = features * GROUPS
         self.flat = np.zeros(size + size * GROUPS, np.float32) if flat is None else flat.copy()
-        self.group = self.flat[:size].reshape(FEATURES, GROUPS)
-        self.inner = self.flat[size:].reshape(FEATURES * GROUPS, GROUPS)
+        self.group = self.flat[:size].reshape(features, GROUPS)
+        self.inner = self.flat[size:].reshape(features * GROUPS, GROUPS)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -195,88 +210,113 @@ def predicted(w: Weights, counts: Counts, features: np.ndarray, group: np.ndarra
     return _softmax(a), _softmax(b)
 
 
-def learn(w: Weights, seen: np.ndarray, counts: Counts, features: np.ndarray, classes: np.ndarray) -> None:
-    """One AdaGrad step on these words; seen: squared gradients so far."""
+def learn(w: Weights, seen: Weights, counts: Counts, features: np.ndarray, classes: np.ndarray) -> None:
+    """One AdaGrad step on these words; seen: squared gradients so far. Only rows
+    that these words touch are read and changed."""
     group, inner = np.divmod(classes, GROUPS)
     a, b = predicted(w, counts, features, group)
     each = np.arange(len(classes))
     a[each, group] -= 1
     b[each, inner] -= 1
-    for weights, error, rows, size, at in (
-        (w.group, a, features, FEATURES, 0),
-        (w.inner, b, features * GROUPS + group, FEATURES * GROUPS, FEATURES * GROUPS),
-    ):
+    for weights, squares, error, rows in ((w.group, seen.group, a, features), (w.inner, seen.inner, b, features * GROUPS + group)):
         flat = rows.ravel()
-        slope = np.empty((size, GROUPS), np.float32)
+        touched = np.zeros(len(weights), bool)
+        touched[flat] = True
+        at = np.flatnonzero(touched)
+        place = np.empty(len(weights), np.int64)
+        place[at] = np.arange(len(at))
+        flat = place[flat]
+        slope = np.empty((len(at), GROUPS), np.float32)
         for j in range(GROUPS):
-            slope[:, j] = np.bincount(flat, np.tile(error[:, j], len(rows)), size)
-        past = seen[at : at + size * GROUPS].reshape(size, GROUPS)
-        past += slope * slope
-        weights -= RATE * slope / np.sqrt(past + 1.0)
+            slope[:, j] = np.bincount(flat, np.tile(error[:, j], len(rows)), len(at))
+        past = squares[at] + slope * slope
+        squares[at] = past
+        weights[at] -= RATE * slope / np.sqrt(past + 1.0)
 
 
-def _train_round(docs: DataFrame, shared, start: np.ndarray | None) -> np.ndarray | None:
-    """The weights, averaged over tasks by the words they learnt from."""
+def _train_round(docs: DataFrame, shared, start: np.ndarray) -> np.ndarray:
+    """The weights after each task's changes, averaged by the words they come from."""
     begin = docs.sparkSession.sparkContext.broadcast(start)
+    cuts = range(0, len(start), SLICE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, w, total = Reader(shared.value), Weights(begin.value), 0
-        seen = np.zeros_like(w.flat)
+        reader, total = Reader(shared.value), 0
+        w, seen = Weights(reader.counts.features, begin.value), Weights(reader.counts.features)
         for batch in batches:
             for _, part in groups(batch.column("raw").to_pylist(), TEXT_STEP):
                 flat, sizes = reader.read(part)
                 classes = reader.classes[flat]
-                features = reader.features(classes, sizes)
+                features = reader.features(flat, sizes)
                 for i in range(0, len(classes), STEP):
                     learn(w, seen, reader.counts, features[:, i : i + STEP], classes[i : i + STEP])
                 total += len(classes)
         if total:
-            for i, part in enumerate(np.array_split(w.flat, SLICES)):
-                yield pa.RecordBatch.from_pydict({
-                    "slice": pa.array([i], pa.int32()), "branch": pa.array([total % 64], pa.int32()),
-                    "n": [float(total)], "sum": [(part * np.float32(total)).tobytes()],
-                })
-
-    def add(table: pa.Table) -> pa.Table:
-        total, n = None, 0.0
-        for raw, k in zip(table.column("sum").to_pylist(), table.column("n").to_pylist()):
-            values = np.frombuffer(raw, np.float32).astype(np.float64)
-            total, n = (values if total is None else total + values), n + k
-        return pa.table({"slice": table.column("slice").slice(0, 1), "branch": table.column("branch").slice(0, 1), "n": [n], "sum": [total.astype(np.float32).tobytes()]})
-
-    shape = "slice int, branch int, n double, sum binary"
-    sums = docs.select("raw").mapInArrow(run, shape).groupBy("slice", "branch").applyInArrow(add, shape)
-    final = sums.groupBy("slice").applyInArrow(add, shape).collect()
+            w.flat -= begin.value
+            for i, at in enumerate(cuts):
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "n": [float(total)], "change": [w.flat[at : at + SLICE].astype(np.float16).tobytes()]})
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[float, np.ndarray]] = {}
+        for batch in batches:
+            for i, n, change in zip(batch.column("slice").to_pylist(), batch.column("n").to_pylist(), batch.column("change")):
+                before, total = sums.get(i, (0.0, 0.0))
+                sums[i] = before + n, total + n * np.frombuffer(change.as_buffer(), np.float16).astype(np.float64)
+        for i, (n, total) in sums.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "change": [(total / n).astype(np.float32).tobytes()]})
+
+    changes = docs.select("raw").mapInArrow(run, "slice int, n double, change binary")
+    final = changes.repartition("slice").mapInArrow(average, "slice int, change binary").collect()
     begin.unpersist()
-    if not final:
-        return start
-    return np.concatenate([np.frombuffer(r["sum"], np.float32) / np.float32(r.n) for r in sorted(final, key=lambda r: r.slice)])
+    end = start.copy()
+    for r in final:
+        end[r.slice * SLICE : (r.slice + 1) * SLICE] += np.frombuffer(r.change, np.float32)
+    return end
 
 
-def score(docs: DataFrame, held_out, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams
-    with half a count added), score (this model): base-10 logarithms. docs:
-    doc_id, text; held_out: a condition on them; those rows are not learnt from."""
+class Model:
+    """What is learnt: all words' counts as a table, what is broadcast of them, the weights."""
+
+    def __init__(self, table: DataFrame, counts: Counts, shared, weights: np.ndarray):
+        self.table, self.counts, self.shared, self.weights = table, counts, shared, weights
+
+
+def _read(docs: DataFrame, held_out) -> DataFrame:
+    return docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.xxhash64("doc_id", "text").alias("key"), raw_text().alias("raw"))
+
+
+def train(docs: DataFrame, held_out, rounds: int = ROUNDS) -> Model:
+    """The model of the rows of docs that are not held out."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.xxhash64("doc_id", "text").alias("key"), raw_text().alias("raw"))
-    training = docs.filter(~F.col("held_out"))
+    modest_batches(spark)
+    training = _read(docs, held_out).filter(~F.col("held_out"))
     table = persist(_count(training), "counts")
     counts = _counts(table)
     shared = spark.sparkContext.broadcast(counts)
-    weights = None
+    weights = Weights(counts.features).flat
     for i in range(rounds):
         weights = _train_round(training.filter(F.pmod(F.col("key"), F.lit(rounds)) == i), shared, weights)
-    learnt = spark.sparkContext.broadcast(weights)
+    return Model(table, counts, shared, weights)
+
+
+def score(docs: DataFrame, held_out, rounds: int = ROUNDS, model: Model | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams
+    with half a count added), score (this model): base-10 logarithms. docs:
+    doc_id, text; held_out: a condition on them; those rows are not learnt from.
+    model: one learnt before, instead of one learnt from docs."""
+    model = model or train(docs, held_out, rounds)
+    docs = _read(docs, held_out)
+    table, counts, shared = model.table, model.counts, model.shared
+    learnt = docs.sparkSession.sparkContext.broadcast(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        reader, w = Reader(counts), Weights(learnt.value)
+        reader, w = Reader(counts), Weights(counts.features, learnt.value)
         for batch in batches:
             ids, held, keys = (batch.column(c) for c in ("doc_id", "held_out", "key"))
             for start, part in groups(batch.column("raw").to_pylist(), TEXT_STEP):
                 flat, sizes = reader.read(part)
                 classes, row = reader.classes[flat], reader.row[flat]
-                features = reader.features(classes, sizes)
+                features = reader.features(flat, sizes)
                 context = np.empty(len(classes))
                 for i in range(0, len(classes), STEP):
                     c = classes[i : i + STEP]

@@ -408,9 +408,78 @@ def test_lm_scores(spark, none):
     assert lm.score(none, F.lit(False)).count() == 0
 
 
+def test_lm_score_word_by_word(spark):
+    """The score against plain sums over each word's context, from the same weights."""
+    texts = [(i, prose(i, 200)) for i in range(40)] + [(50, None), (51, "x " * 3000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    model = lm.train(df, F.col("doc_id") % 5 == 1)
+    counts, w = model.counts, lm.Weights(model.counts.features, model.weights)
+    assert np.abs(model.weights).max() > 0.01
+    place = {int(h): i for i, h in enumerate(counts.hashes)}
+    c = {np.uint64(r.hash & (2**64 - 1)): r.n for r in model.table.collect()}
+    half = counts.features // 2
+    row = lambda *parts: int(lm.mixed(*(np.array([x], np.uint64) for x in parts))[0] % np.uint64(half))
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    want = {}
+    for i, text in texts:
+        before, total = [lm.CLASSES] * 3, 0.0
+        for word in [*(text or "").encode().lower().split(), b"\n"]:
+            h = xxhash.xxh3_64_intdigest(word)
+            at = place.get(h, 10**9)
+            kind = at if at < counts.single else lm.ending(word)
+            back = [row((before[-k] + 1000 * k) % 2**64) for k in (1, 2, 3)]
+            rows = [*back, row(before[-1], before[-2]) + half]
+            g, k = divmod(kind, lm.GROUPS)
+            total += np.log10(soft(counts.bias_group + sum(w.group[r] for r in rows).astype(float))[g])
+            total += np.log10(soft(counts.bias_class[g] + sum(w.inner[r * lm.GROUPS + g] for r in rows).astype(float))[k])
+            if at >= counts.single:
+                total += np.log10(c.get(np.uint64(h), 0) + 0.5) - counts.within[kind]
+            before.append(h if at < counts.features // lm.ROWS_A_WORD else lm.ending(word))
+        want[i] = total
+    got = {r.doc_id: r.score for r in lm.score(df, F.col("doc_id") % 5 == 1, model=model).collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-4) for i in want)
+
+
+def test_lm_learns_what_follows_what(spark):
+    """Held-out texts of a fixed order of words are likelier than their words alone."""
+    ring = [f"w{i}" for i in range(300)]
+    texts = [(i, " ".join((ring * 3)[i * 7 % 300 :][:400])) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    held = [r for r in lm.score(df, F.col("doc_id") % 5 == 1).collect() if r.held_out]
+    assert held and all(r.score > r.base_score for r in held)
+
+
+def test_lm_step_by_finite_differences():
+    rng = np.random.default_rng(1)
+    counts = lm.Counts(np.array([5, 9], np.uint64), np.array([0, 1]), np.array([7, 3]), 2, (np.ones(lm.CLASSES), np.ones(lm.CLASSES)), 10, 5)
+    features, classes = rng.integers(0, 9, (4, 50)), rng.integers(0, lm.CLASSES, 50)
+    start = rng.normal(size=len(lm.Weights(counts.features).flat)).astype(np.float32)
+    w, seen = lm.Weights(counts.features, start), lm.Weights(counts.features)
+    lm.learn(w, seen, counts, features, classes)
+
+    def loss(flat):
+        v = lm.Weights(counts.features)
+        v.group, v.inner = flat[: v.group.size].reshape(v.group.shape), flat[v.group.size :].reshape(v.inner.shape)
+        a, b = lm.predicted(v, counts, features, classes // lm.GROUPS)
+        each = np.arange(len(classes))
+        return -np.log(a[each, classes // lm.GROUPS]).sum() - np.log(b[each, classes % lm.GROUPS]).sum()
+
+    for at in [*range(0, 9 * lm.GROUPS, 7), *(w.group.size + np.arange(0, 9 * lm.CLASSES, 97))]:
+        up, down = start.astype(float), start.astype(float)
+        up[at] += 1e-4
+        down[at] -= 1e-4
+        slope = (loss(up) - loss(down)) / 2e-4
+        assert math.isclose(start[at] - w.flat[at], lm.RATE * slope / math.sqrt(slope * slope + 1), rel_tol=2e-2, abs_tol=2e-4)
+
+
+def test_feature_rows_grow():
+    assert [lm.feature_rows(n) for n in (0, 4_000_000, 64_000_000, 5_000_000_000)] == [4096, 4096, 16384, 131072]
+
+
 def test_probabilities_add_up():
     counts = lm.Counts(np.array([5, 9], np.uint64), np.array([0, 1]), np.array([7, 3]), 2, (np.ones(lm.CLASSES), np.ones(lm.CLASSES)), 10, 5)
-    w = lm.Weights()
+    w = lm.Weights(counts.features)
     w.flat[:] = np.random.default_rng(0).normal(size=len(w.flat))
     features = np.arange(12).reshape(4, 3)
     total = np.zeros(3)
