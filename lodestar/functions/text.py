@@ -42,15 +42,20 @@ URL = r"https?://[^\s)\]]+"
 CITATION = r"\[([0-9]+)\]"
 #: One number, or several with commas between them, in brackets.
 CITATIONS = r"\[([0-9]+(?:\s*,\s*[0-9]+)*)\]"
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 #: Entities that a pattern can find, in order of precedence.
 ENTITIES = (
     ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("IP_ADDRESS", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
+    ("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b"),
     ("CREDIT_CARD", r"\b[0-9]{13,19}\b"),
     ("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     ("PHONE_NUMBER", r"\+[0-9][0-9 ().-]{8,18}[0-9]|(?i:" + PHONE_CUE.removeprefix("(?i)") + ")"),
     ("URL", URL),
+    ("DATE_TIME", r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|(?:" + MONTHS + r") [0-9]{1,2}, [0-9]{4})\b"),
 )
+
+
 def lexemes(text: Column) -> Column:
     """Lower-cased runs of letters and digits, one element per occurrence."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -149,6 +149,14 @@ def test_phone_cue_redacts(spark, said, want):
     assert one(spark, t.redacted(F.lit(said))) == want
 
 
+@pytest.mark.parametrize("said, want", [
+    ("pay GB29NWBK60161331926819 by 2024-01-30", "pay <IBAN_CODE> by <DATE_TIME>"), ("on March 15, 2024 or 03/15/2024.", "on <DATE_TIME> or <DATE_TIME>."),
+    ("within 30 days, in March, 1/2", "within 30 days, in March, 1/2"), ("see https://a.b/2024-01-30", "see <URL>"), (None, None), ("", ""),
+])
+def test_accounts_and_dates_are_redacted(spark, said, want):
+    assert one(spark, t.redacted(F.lit(said).cast("string"))) == want
+
+
 def test_canonical_json_as_python_writes_it(spark):
     data = {"b": "é 日 😀 \" \\ /", "a": None, "c": {"k": 1}}
     made = t.canonical({"b": F.lit(data["b"]), "a": F.lit(None).cast("string"), "c": F.struct(F.lit(1).alias("k"))})
