@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, fingerprint, lm, mixing, pii, quality, simhash, substrings, topk
+from lodestar.llm import bpe, chat, fingerprint, lm, mixing, neighbours, pii, quality, resample, runs, simhash, substrings, topk
 from lodestar.llm.common import persist, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -169,3 +169,74 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under the model of trusted text, and whether it is kept."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.classify(documents, table(spark, sf_dir, "labels"), keep_text=False)
+
+
+@query
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's words, and the tenth that is drawn."""
+    documents, target = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text")
+    found = resample.resample(documents, target, longest=1, buckets=10_000, percent=10, least_words=20, seed=2024, keep=("doc_id",))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLE_SQL["op11_resample"] = r"""
+WITH RECURSIVE steps AS (
+  SELECT i, 0 AS k, i AS v FROM range(256) AS g(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8
+), tab AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+words AS (
+  SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL
+  SELECT 'b', NULL, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), spelt AS (
+  SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM words)
+), hashed AS (
+  SELECT word, xor(list_reduce(list_transform(range(0, length(x) // 2 + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE ('0x' || substr(x, 2 * i - 1, 2))::BIGINT END),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM spelt, tab
+), counted AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM words JOIN hashed USING (word) GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM counted)::DOUBLE + 10000)) / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM counted)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM counted
+), of AS (
+  SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM words JOIN hashed USING (word) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents d LEFT JOIN of ON d.doc_id = of.doc_id
+), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank
+FROM scored s LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@query
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, some of which are made periodic from a word of
+    their own on, and the digest of what is left without the repetitions."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        """What use makes of a value that is worked out once."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def periodic(s: Column) -> Column:
+        left = F.size(s.words) - s.a
+        period = (1 + F.floor(left / (3 + s.g % 8))).cast("int")
+        piece = F.slice(s.words, s.a + 1, F.least(period, left))
+        repeated = F.slice(F.flatten(F.array_repeat(piece, F.ceil(left / F.size(piece)).cast("int"))), F.lit(1), left)
+        return F.array_join(F.concat(F.slice(s.words, F.lit(1), s.a), repeated), " ")
+
+    start = lambda s: bound(F.struct(s.words.alias("words"), s.g.alias("g"), (s.g % F.size(s.words)).cast("int").alias("a")), periodic)
+    changed = bound(F.struct(words.alias("words"), F.floor(h / 10).alias("g")), lambda s: F.when(F.size(s.words) > 0, start(s)).otherwise(""))
+    made = documents.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+    return runs.collapse(made, outputs=("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"), drop=("text",))
+
+
+@query
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest found of every twentieth vector, by inner product."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
