@@ -43,18 +43,6 @@ CITATION = r"\[([0-9]+)\]"
 #: One number, or several with commas between them, in brackets.
 CITATIONS = r"\[([0-9]+(?:\s*,\s*[0-9]+)*)\]"
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-#: Entities that a pattern can find, in order of precedence.
-ENTITIES = (
-    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    ("IP_ADDRESS", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
-    ("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b"),
-    ("CREDIT_CARD", r"\b[0-9]{13,19}\b"),
-    ("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
-    ("PHONE_NUMBER", r"\+[0-9][0-9 ().-]{8,18}[0-9]|(?i:" + PHONE_CUE.removeprefix("(?i)") + ")"),
-    ("URL", URL),
-    ("DATE_TIME", r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|(?:" + MONTHS + r") [0-9]{1,2}, [0-9]{4})\b"),
-)
-
 
 def lexemes(text: Column) -> Column:
     """Lower-cased runs of letters and digits, one element per occurrence."""
@@ -74,6 +62,17 @@ def injected(text: Column) -> Column:
     return F.coalesce(text.rlike(INJECTION), F.lit(False))
 
 
+#: Words of which several together make a text suspect.
+SUSPECT = ("ignore", "instructions", "system", "prompt", "reveal", "override", "pretend", "password", "secret", "jailbreak")
+
+
+def injection_score(text: Column) -> Column:
+    """From 0 to 1: a fifth for each suspect word that the text holds; 1 where a phrase
+    marks an injected instruction."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b(?:" + "|".join(SUSPECT) + r")\b"), F.lit(0)))
+    return F.when(injected(text), 1.0).otherwise(F.round(F.least(F.lit(1.0), F.coalesce(F.size(held), F.lit(0)) * 0.2), 6))
+
+
 def action(hit: Column, score: Column) -> Column:
     """block, flag or allow: what the firewall does."""
     return F.when(hit | (score >= 0.95), "block").when(score >= 0.60, "flag").otherwise("allow")
@@ -81,10 +80,11 @@ def action(hit: Column, score: Column) -> Column:
 
 def citations(answer: Column) -> Column:
     """Distinct cited numbers, in order of size. [1, 2] counts as [1][2]; a list
-    in brackets that holds anything else cites nothing."""
+    in brackets that holds anything else cites nothing, nor does a number too large
+    for any list of parents."""
     groups = F.regexp_extract_all(answer, F.lit(CITATIONS), F.lit(1))
     each = F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*")))
-    return F.array_sort(F.array_distinct(F.transform(each, lambda x: x.cast("int"))))
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(each, lambda x: x.try_cast("int")))))
 
 
 def normalised(answer: Column) -> Column:
@@ -104,18 +104,6 @@ def canaries(text: Column, registry: Column) -> Column:
     return F.array_sort(F.array_intersect(found, registry))
 
 
-def entity_types(text: Column) -> Column:
-    """Sorted types found; null, not empty, where there is none."""
-    found = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(name)) for name, p in ENTITIES)))
-    return F.when(F.size(found) > 0, F.array_sort(found))
-
-
-def redacted(text: Column) -> Column:
-    for name, pattern in ENTITIES:
-        text = F.regexp_replace(text, pattern, f"<{name}>")
-    return text
-
-
 def title(question: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(question, r"\s+", " ")), 1, 60)
 

@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import content_hash, entity_types, redacted
+from lodestar.functions.personal import accepted, rebuilt, resolved, types_of
+from lodestar.functions.text import action, content_hash, injected, injection_score
 from lodestar.operators.state import ordered_fold
 
 
@@ -14,7 +15,7 @@ def bounds(text: Column, most: int = 100_000) -> Column:
     """accepted, or why a text is not."""
     return (
         F.when(text.isNull(), "missing_text")
-        .when(F.length(F.trim(text)) == 0, "blank")
+        .when(~text.rlike(r"\S"), "blank")
         .when(F.length(text) > most, "too_long")
         .otherwise("accepted")
     )
@@ -114,10 +115,13 @@ def ingested(batch: DataFrame, stored: DataFrame, most_chars: int = 100_000, mos
     """What a batch adds: tenant_id, doc_id, content_hash, pii_types and the chunks
     (as of chunked) of texts that are within bounds, new to their tenant, and not of
     too many chunks. The hash is of the text as sent; chunks are of the redacted text.
+    Texts that the firewall does not allow are refused: what is stored is read again.
     batch: tenant_id, doc_id, text; stored: tenant_id, content_hash."""
-    fit = batch.filter(bounds(F.col("text"), most_chars) == "accepted").withColumn("content_hash", content_hash(F.col("text")))
+    allowed = action(injected(F.col("text")), injection_score(F.col("text"))) == "allow"
+    fit = batch.filter((bounds(F.col("text"), most_chars) == "accepted") & allowed).withColumn("content_hash", content_hash(F.col("text")))
     new = not_stored(fit.select("tenant_id", "doc_id", "content_hash", "text"), stored)
-    made = new.select("tenant_id", "doc_id", "content_hash", entity_types(F.col("text")).alias("pii_types"), redacted(F.col("text")).alias("text"))
+    found = new.select("tenant_id", "doc_id", "content_hash", "text", accepted(F.col("text")).alias("spans"))
+    made = found.select("tenant_id", "doc_id", "content_hash", types_of(F.col("spans")).alias("pii_types"), rebuilt(F.col("text"), resolved(F.col("spans"))).alias("text"))
     chunks = chunked(made.select("doc_id", "text"), most_tokens)
     few = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks")).filter(F.col("n_chunks") <= most_chunks)
     return made.drop("text").join(few, "doc_id").join(chunks, "doc_id")

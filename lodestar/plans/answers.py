@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions import personal
 from lodestar.functions import text as t
 from lodestar.operators import governance, ingest
-from lodestar.plans.documents import CHUNKS, MARKED, REDACTED, VALID, _marked, documents
+from lodestar.plans import spans
+from lodestar.plans.documents import CHUNKS, MARKED, VALID, _marked, documents
 from lodestar.plans.operations import ISO, events
 from lodestar.plans.registry import query
 from lodestar.sources.tables import table
@@ -266,12 +268,13 @@ def citation_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH stale AS (SELECT doc_id, {REDACTED} AS text FROM documents WHERE doc_id % 3 < 2), {CHUNKS.format(docs='stale', most=100).strip().removeprefix('WITH ')}
+WITH old AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 < 2), {spans.spans('old', 'doc_id')},
+stale AS (SELECT doc_id, coalesce(redacted, text) AS text FROM old LEFT JOIN clean ON key = doc_id), {CHUNKS.format(docs='stale', most=100).strip().removeprefix('WITH ')}
 SELECT doc_id, 2 AS version, doc_id % 3 < 2 AS rewritten, count(digest) AS n_chunks, coalesce(min(digest), '') AS least FROM documents LEFT JOIN (SELECT doc_id, md5(text) AS digest FROM chunks) USING (doc_id) GROUP BY doc_id""")
 def stale_reprocess(spark: SparkSession, d: str) -> DataFrame:
     """Documents stored under older redaction rules are redacted and chunked anew; the others stay."""
     every = documents(spark, d).select("doc_id", "text", (F.col("doc_id") % 3).alias("version"))
-    stale = every.filter("version < 2").select("doc_id", t.redacted(F.col("text")).alias("text"))
+    stale = every.filter("version < 2").select("doc_id", personal.redacted(F.col("text")).alias("text"))
     made = ingest.chunked(stale, 100).groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.md5("text")).alias("digest"))
     both = every.select("doc_id", (F.col("version") < 2).alias("rewritten")).join(made, "doc_id", "left")
     return both.select("doc_id", F.lit(2).alias("version"), "rewritten", F.coalesce("n", F.lit(0)).alias("n_chunks"), F.coalesce("digest", F.lit("")).alias("least"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions import personal
 from lodestar.functions import text as t
 from lodestar.operators import ingest
+from lodestar.plans import spans
 from lodestar.plans.registry import query
 from lodestar.sources.tables import table
 
@@ -37,40 +39,32 @@ def ingest_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT CASE WHEN text IS NULL THEN 'missing_text' WHEN length(trim(text)) = 0 THEN 'blank' WHEN length(text) > 5000 THEN 'too_long' ELSE 'accepted' END AS verdict, count(*) AS n, sum(length(text))::BIGINT AS chars
+SELECT CASE WHEN text IS NULL THEN 'missing_text' WHEN NOT regexp_matches(text, '\\S') THEN 'blank' WHEN length(text) > 5000 THEN 'too_long' ELSE 'accepted' END AS verdict, count(*) AS n, sum(length(text))::BIGINT AS chars
 FROM documents GROUP BY 1""")
 def ingest_bounds(spark: SparkSession, d: str) -> DataFrame:
     verdict = ingest.bounds(F.col("text"), 5000)
     return documents(spark, d).groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-def _q(pattern: str) -> str:
-    return pattern.replace("'", "''")
+SPANS = spans.spans("documents", "doc_id")
 
 
-TYPES = "list_sort(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{_q(p)}') THEN '{n}' END" for n, p in t.ENTITIES) + "], lambda x: x IS NOT NULL))"
-
-
-@query(f"SELECT doc_id, array_to_string({TYPES}, ',') AS types FROM documents WHERE len({TYPES}) > 0")
+@query(f"WITH {SPANS} SELECT key AS doc_id, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM accepted GROUP BY key")
 def pii_types(spark: SparkSession, d: str) -> DataFrame:
-    found = documents(spark, d).select("doc_id", t.entity_types(F.col("text")).alias("types")).filter("types IS NOT NULL")
+    found = documents(spark, d).select("doc_id", personal.entity_types(F.col("text")).alias("types")).filter("types IS NOT NULL")
     return found.select("doc_id", F.array_join("types", ",").alias("types"))
 
 
-@query(f"SELECT unnest({TYPES}) AS entity_type, count(*) AS n_documents FROM documents GROUP BY 1")
+@query(f"WITH {SPANS} SELECT type AS entity_type, count(DISTINCT key) AS n_documents FROM accepted GROUP BY type")
 def pii_type_counts(spark: SparkSession, d: str) -> DataFrame:
-    found = documents(spark, d).select(F.explode(t.entity_types(F.col("text"))).alias("entity_type"))
+    found = documents(spark, d).select(F.explode(personal.entity_types(F.col("text"))).alias("entity_type"))
     return found.groupBy("entity_type").agg(F.count("*").alias("n_documents"))
 
 
-REDACTED = "text"
-for _name, _pattern in t.ENTITIES:
-    REDACTED = f"regexp_replace({REDACTED}, '{_q(_pattern)}', '<{_name}>', 'g')"
-
-
-@query(f"SELECT doc_id, sha256({REDACTED}) AS redacted_hash, length({REDACTED})::INTEGER AS n FROM documents")
+@query(f"WITH {SPANS} SELECT doc_id, sha256(coalesce(redacted, text)) AS redacted_hash, length(coalesce(redacted, text))::INTEGER AS n FROM documents LEFT JOIN clean ON key = doc_id")
 def pii_redact(spark: SparkSession, d: str) -> DataFrame:
-    made = documents(spark, d).select("doc_id", t.redacted(F.col("text")).alias("made"))
+    """What patterns propose and checks accept, replaced in one pass."""
+    made = documents(spark, d).select("doc_id", personal.redacted(F.col("text")).alias("made"))
     return made.select("doc_id", F.sha2("made", 256).alias("redacted_hash"), F.length("made").alias("n"))
 
 
@@ -144,18 +138,25 @@ def oversized_split(spark: SparkSession, d: str) -> DataFrame:
     return cut.select("doc_id", "piece", "p.n", F.md5("p.text").alias("digest"))
 
 
+#: Score of the firewall over a column text.
+SCORE = "CASE WHEN regexp_matches(text, '" + t.INJECTION + "') THEN 1.0 ELSE round(least(1.0, len(list_distinct(regexp_extract_all(lower(text), '\\b(?:" + "|".join(t.SUSPECT) + ")\\b'))) * 0.2), 6) END"
+
+
 @query(f"""
 WITH batch AS (
-  SELECT doc_id, source, sha256(text) AS content_hash, {TYPES} AS types, {REDACTED} AS text FROM documents n
-  WHERE doc_id % 2 = 1 AND text IS NOT NULL AND length(trim(text)) > 0 AND length(text) <= 5000
+  SELECT doc_id, source, sha256(text) AS content_hash, text FROM documents n
+  WHERE doc_id % 2 = 1 AND text IS NOT NULL AND regexp_matches(text, '\\S') AND length(text) <= 5000 AND {SCORE} < 0.60
   AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id % 2 = 0 AND o.source = n.source AND sha256(o.text) = sha256(n.text))
   QUALIFY row_number() OVER (PARTITION BY source, sha256(n.text) ORDER BY doc_id) = 1
-), {CHUNKS.format(docs='batch', most=100).strip().removeprefix('WITH ')}
-SELECT source, doc_id, content_hash, array_to_string(types, ',') AS types, count(*) OVER (PARTITION BY doc_id) AS n_chunks, chunk_index::INTEGER AS chunk_index, token_count, md5(chunks.text) AS digest
-FROM batch JOIN chunks USING (doc_id) QUALIFY n_chunks <= 20""")
+), {spans.spans('batch', 'doc_id')},
+safe AS (SELECT doc_id, coalesce(redacted, text) AS text FROM batch LEFT JOIN clean ON key = doc_id),
+found AS (SELECT key, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM accepted GROUP BY key),
+{CHUNKS.format(docs='safe', most=100).strip().removeprefix('WITH ')}
+SELECT source, doc_id, content_hash, coalesce(types, '') AS types, count(*) OVER (PARTITION BY doc_id) AS n_chunks, chunk_index::INTEGER AS chunk_index, token_count, md5(chunks.text) AS digest
+FROM batch JOIN chunks USING (doc_id) LEFT JOIN found ON key = doc_id QUALIFY n_chunks <= 20""")
 def ingest_documents(spark: SparkSession, d: str) -> DataFrame:
     """The whole way of a batch (odd ids) beside what is stored (even ids): bounds,
-    new content by tenant, redaction, chunks, and the limit on chunks."""
+    the firewall, new content by tenant, redaction, chunks, and the limit on chunks."""
     every = documents(spark, d).select(F.col("source").alias("tenant_id"), "doc_id", "text")
     stored = every.filter("doc_id % 2 = 0").select("tenant_id", t.content_hash(F.col("text")).alias("content_hash"))
     made = ingest.ingested(every.filter("doc_id % 2 = 1"), stored, 5000, 100, 20)
@@ -196,7 +197,7 @@ def injection_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 MARKED = "SELECT conv_id, turn, text || ' [' || (turn % 3 + 1) || '] and [' || (conv_id % 4 + 1) || ', ' || (conv_id % 2 + 2) || '] in (0, 1] as [see 4, 5]' AS answer, conv_id % 5 + 1 AS total FROM conversations WHERE role = 'assistant'"
-CITED = rf"list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(answer, '{t.CITATIONS}', 1), lambda g: string_split_regex(g, '\s*,\s*'))), lambda x: x::INTEGER)))"
+CITED = rf"list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(answer, '{t.CITATIONS}', 1), lambda g: string_split_regex(g, '\s*,\s*'))), lambda x: TRY_CAST(x AS INTEGER))))"
 VALID = f"list_filter({CITED}, lambda x: x BETWEEN 1 AND total)"
 
 

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar import catalog
+from lodestar.functions import personal
 from lodestar.functions import text as t
 from lodestar.functions.vector import cosine
 from lodestar.operators import governance, ingest, search, state
@@ -146,7 +147,7 @@ def test_content_is_new_by_tenant(spark):
 
 @pytest.mark.parametrize("said, want", [("tel: 07700 900123 x", "<PHONE_NUMBER> x"), ("dial no. #0207-946-0958", "<PHONE_NUMBER>"), ("phone +1-555-0100", "<PHONE_NUMBER>"), ("30 days, 2024-1234, 3.2.1", "30 days, 2024-1234, 3.2.1"), ("reach us at 555-0100", "reach us at 555-0100")])
 def test_phone_cue_redacts(spark, said, want):
-    assert one(spark, t.redacted(F.lit(said))) == want
+    assert one(spark, personal.redacted(F.lit(said))) == want
 
 
 @pytest.mark.parametrize("said, want", [
@@ -154,7 +155,7 @@ def test_phone_cue_redacts(spark, said, want):
     ("within 30 days, in March, 1/2", "within 30 days, in March, 1/2"), ("see https://a.b/2024-01-30", "see <URL>"), (None, None), ("", ""),
 ])
 def test_accounts_and_dates_are_redacted(spark, said, want):
-    assert one(spark, t.redacted(F.lit(said).cast("string"))) == want
+    assert one(spark, personal.redacted(F.lit(said).cast("string"))) == want
 
 
 def test_canonical_json_as_python_writes_it(spark):
