@@ -6,11 +6,15 @@ ends in a unique key. Spark decides on broadcasts by size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import asked, lexemes
-from lodestar.functions.vector import dot, norm
 
 POOL, RRF_K, DIGITS = 50, 60, 12
 
@@ -21,17 +25,69 @@ def best(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
+#: Vectors of a block of chunks and of a block of questions.
+CHUNKS, QUESTIONS = 4096, 2048
+#: Blocks of questions that are broadcast (each at most QUESTIONS vectors); more are shuffled.
+MOST_BLOCKS = 16
+
+
+def _blocks(rows: DataFrame, size: int, key: str, vector: str) -> DataFrame:
+    """n, dim, ids (array of the key's type), raw (vectors of double, one behind the other) of
+    up to size rows of equal length."""
+    kind = rows.schema[key].dataType.simpleString()
+    one = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+
+        def block(dim: int) -> pa.RecordBatch:
+            ids, parts = held.pop(dim)
+            return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([dim], pa.int32()), pa.array([ids], pa.list_(one)), pa.array([np.concatenate(parts).tobytes()], pa.binary())], names=["n", "dim", "ids", "raw"])
+
+        for batch in batches:
+            for i, (key_, vector_) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                x = vector_.values.to_numpy(zero_copy_only=False)
+                ids, parts = held.setdefault(len(x), ([], []))
+                ids.append(key_)
+                parts.append(x)
+                if len(ids) == size:
+                    yield block(len(x))
+        for dim in list(held):
+            yield block(dim)
+
+    plain = rows.filter(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector))
+    return plain.mapInArrow(run, f"n int, dim int, ids array<{kind}>, raw binary")
+
+
 def dense(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
     """qid, id, distance, rank: cosine distance, nearest first, then id. chunks:
-    id, embedding; questions: qid, vector."""
-    units = chunks.filter("embedding IS NOT NULL").select("id", "embedding", norm(F.col("embedding")).alias("length"))
-    asked = questions.select("qid", "vector", norm(F.col("vector")).alias("asked_length"))
-    # a question meets every chunk: the question side is the stated set
-    both = units.join(asked, F.lit(True)).withColumn(
-        "similarity",
-        F.when(F.col("length") * F.col("asked_length") == 0, 0.0).otherwise(dot(F.col("embedding"), F.col("vector")) / (F.col("length") * F.col("asked_length"))),
-    )
-    scored = both.select("qid", "id", (F.round(1 - F.col("similarity"), DIGITS) + 0.0).alias("distance"))
+    id, embedding; questions: qid, vector. Vectors of another length are no neighbours.
+
+    Blocks of questions, a stated set, meet blocks of chunks: a matrix product each, of
+    which only the k best of each question leave the task."""
+    spark = chunks.sparkSession
+    kinds = [chunks.schema["id"].dataType.simpleString(), questions.schema["qid"].dataType.simpleString()]
+    types = [pa.int64() if x == "bigint" else pa.int32() if x == "int" else pa.string() for x in kinds]
+    asked = _blocks(questions.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)), QUESTIONS, "qid", "vector")
+    asked = asked.select(F.col("n").alias("qn"), F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("raw").alias("qraw"))
+    few = asked.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS
+    pairs = _blocks(chunks, CHUNKS, "id", "embedding").join(F.broadcast(asked) if few else asked, F.col("dim") == F.col("qdim"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, dim, qn = (batch.column(c)[i].as_py() for c in ("n", "dim", "qn"))
+                x = np.frombuffer(batch.column("raw")[i].as_buffer()).reshape(n, dim)
+                q = np.frombuffer(batch.column("qraw")[i].as_buffer()).reshape(qn, dim)
+                ids, qids = batch.column("ids")[i].values, batch.column("qids")[i].values
+                sizes = np.outer(np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1)))
+                away = np.round(1 - np.where(sizes == 0, 0.0, q @ x.T / np.where(sizes == 0, 1, sizes)), DIGITS) + 0.0
+                place = np.argsort(pc.rank(ids, tiebreaker="first").to_numpy(zero_copy_only=False))  # ids in order, so that a stable sort breaks ties
+                best_ = place[np.argsort(away[:, place], axis=1, kind="stable")[:, :k]]
+                rows = np.repeat(np.arange(qn), best_.shape[1])
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(rows)).cast(types[1]), ids.take(pa.array(best_.ravel())).cast(types[0]), pa.array(away[rows, best_.ravel()])], names=["qid", "id", "distance"])
+
+    scored = pairs.mapInArrow(run, f"qid {kinds[1]}, id {kinds[0]}, distance double")
     return best(scored, "qid", [F.col("distance"), F.col("id")], k)
 
 
@@ -55,11 +111,10 @@ def fuse(lists: list[DataFrame], k: int) -> DataFrame:
     """qid, id, score, rank: reciprocal rank fusion. Ties go to the better rank
     in the last list, then in the ones before it, then to the id as text."""
     ranks = [f"r{i}" for i in range(len(lists))]
-    marked = [df.select("qid", "id", *(F.col("rank").alias(r) if i == j else F.lit(None).cast("int").alias(r) for j, r in enumerate(ranks))) for i, df in enumerate(lists)]
-    every = marked[0]
-    for more in marked[1:]:
-        every = every.unionByName(more)
-    fused = every.groupBy("qid", "id").agg(*(F.min(r).alias(r) for r in ranks))
+    # a full join, as a union of sides dealt by qid may take their partitions for one dealing
+    fused = lists[0].select("qid", "id", F.col("rank").alias("r0"))
+    for i, more in enumerate(lists[1:], 1):
+        fused = fused.join(more.select("qid", "id", F.col("rank").alias(f"r{i}")), ["qid", "id"], "full")
     score = F.lit(0.0)
     for r in ranks:
         score = score + F.coalesce(1.0 / (RRF_K + F.col(r)), F.lit(0.0))
@@ -74,6 +129,20 @@ def hybrid(texts: DataFrame, vectors: DataFrame, questions: DataFrame, k: int =
     return fuse([dense(vectors, questions, pool), sparse(texts, questions, pool)], k)
 
 
+def parents_of(ranked: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections of many questions' ranked chunks: (qid, n: from 1 in the order of the best
+    chunk, anchor_id, document_id, heading_path), and each asked section's text once.
+    ranked: qid, id, rank; chunks: id, document_id, heading_path, chunk_index, text."""
+    section = ["document_id", "heading_path"]
+    hits = ranked.select("qid", "id", "rank").join(chunks.select("id", *section), "id")
+    anchors = hits.groupBy("qid", *section).agg(F.min(F.struct("rank", "id")).alias("best")).select("qid", *section, "best.rank", F.col("best.id").alias("anchor_id"))
+    numbered = anchors.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).select("qid", "n", "anchor_id", *section)
+    asked_for = numbered.select(*section).distinct()
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
+    texts = chunks.join(asked_for, section).groupBy(*section).agg(parts.alias("parts"))
+    return numbered, texts.select(*section, F.array_join(F.transform("parts", lambda p: p.text), "\n\n").alias("text"))
+
+
 def parents(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row per section (document_id, heading_path) of the ranked chunks: the
     best-ranked chunk's id and rank, and the texts of all chunks of the section
