@@ -26,6 +26,8 @@ ALIKE, HELD = 0.95, 50
 #: Sentences of an answer, and lexemes that context must share with the question.
 SENTENCES, OVERLAP = 3, 1
 EXPOSED = 0.60
+#: A mark with no white space after it, as in an address, ends no sentence. Possessive, so that long texts need no stack.
+SENTENCE = r"[^.!?\n]+(?:[.!?]++[^\s.!?][^.!?\n]*+)*+[.!?]*"
 
 
 def chunk_store(docs: DataFrame, most_tokens: int = 400) -> DataFrame:
@@ -39,9 +41,9 @@ def chunk_store(docs: DataFrame, most_tokens: int = 400) -> DataFrame:
 
 
 def sentences(text: Column) -> Column:
-    """What full stops, marks and line ends part, without white space around it and without
-    numbers in brackets, which only the answer may hold."""
-    bare = F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0)), lambda s: F.regexp_replace(F.regexp_replace(s, t.CITATIONS, ""), r"^\s+|\s+$", ""))
+    """What line ends and marks before white space part, without white space around it and
+    without numbers in brackets, which only the answer may hold."""
+    bare = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.regexp_replace(F.regexp_replace(s, t.CITATIONS, ""), r"^\s+|\s+$", ""))
     return F.filter(bare, lambda s: s != "")
 
 

@@ -18,6 +18,7 @@ from lodestar.sources.store import written
 from lodestar.sources.tables import table
 
 TOKENS, LIMIT = 100, 3000
+SENTENCE = re.sub(r"([+*])\+", r"\1", answering.SENTENCE)  # the same without possessive marks
 
 
 def hashed_vectors(source: str, key: str, text: str) -> str:
@@ -116,7 +117,7 @@ sections AS (SELECT document_id, {SCORE} AS score, text FROM (SELECT document_id
 told AS (
   SELECT document_id, place, sentence FROM (
     SELECT document_id, unnest(xs) AS sentence, generate_subscripts(xs, 1) AS place FROM (
-      SELECT document_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda s: regexp_replace(regexp_replace(s, '{t.CITATIONS}', '', 'g'), '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS xs FROM sections))
+      SELECT document_id, list_filter(list_transform(regexp_extract_all(text, '{SENTENCE}'), lambda s: regexp_replace(regexp_replace(s, '{t.CITATIONS}', '', 'g'), '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS xs FROM sections))
 ),
 FIRST,
 EVERY
