@@ -105,7 +105,7 @@ def chunked(docs: DataFrame, most: int = 400) -> DataFrame:
         last += not grows
         return (last, row["section"], None if row["alone"] else (held if grows else 0) + row["n"]), (last,)
 
-    numbered = ordered_fold(rows, ["doc_id"], ["section", "place", "piece"], lambda: (-1, None, None), step, "chunk_index int", {"chunk_index": pa.int32()})
+    numbered = ordered_fold(rows, ["doc_id"], ["section", "place", "piece"], lambda: (-1, None, None), step, "chunk_index int", {"chunk_index": pa.int32()}, ["section", "alone", "n"])
     parts = F.array_sort(F.collect_list(F.struct("section", "place", "piece", "text")))
     made = numbered.groupBy("doc_id", "chunk_index").agg(F.first("heading_path").alias("heading_path"), F.sum("n").alias("token_count"), parts.alias("parts"))
     return made.select("doc_id", "chunk_index", "heading_path", "token_count", F.array_join(F.transform("parts", lambda p: p.text), "\n\n").alias("text"))

@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 GENESIS = "0" * 64
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], begin: Callable[[], object], step: Callable, added: str, columns: dict[str, pa.DataType]) -> DataFrame:
-    """df with columns that step(state, row) returns (state, values) for; begin() starts a key."""
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], begin: Callable[[], object], step: Callable, added: str, columns: dict[str, pa.DataType], needed: list[str] | None = None) -> DataFrame:
+    """df with columns that step(state, row) returns (state, values) for; begin() starts a key.
+    needed: the columns that step reads, if not all; the others stay in Arrow's memory."""
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
             values: list[list] = [[] for _ in columns]
-            for row in batch.to_pylist():
+            for row in (batch.select([*dict.fromkeys([*keys, *needed])]) if needed is not None else batch).to_pylist():
                 now = tuple(row[k] for k in keys)
                 if now != key or state is None:
                     key, state = now, begin()
@@ -50,7 +51,7 @@ def quota(requests: DataFrame, limit: float, keys: list[str], order: list[str],
         used = used + asked if fits else used
         return used, (fits, used)
 
-    return ordered_fold(requests, keys, order, float, step, "accepted boolean, used double", {"accepted": pa.bool_(), "used": pa.float64()})
+    return ordered_fold(requests, keys, order, float, step, "accepted boolean, used double", {"accepted": pa.bool_(), "used": pa.float64()}, [cost])
 
 
 def sliding_window(requests: DataFrame, limit: int, seconds: float, keys: list[str], time: str, order: list[str]) -> DataFrame:
@@ -65,7 +66,7 @@ def sliding_window(requests: DataFrame, limit: int, seconds: float, keys: list[s
             past.append(row[time])
         return past, (fits,)
 
-    return ordered_fold(requests, keys, [time, *order], deque, step, "accepted boolean", {"accepted": pa.bool_()})
+    return ordered_fold(requests, keys, [time, *order], deque, step, "accepted boolean", {"accepted": pa.bool_()}, [time])
 
 
 def hourly_limit(requests: DataFrame, limit: int, keys: list[str], time: str, order: list[str]) -> DataFrame:
@@ -75,15 +76,21 @@ def hourly_limit(requests: DataFrame, limit: int, keys: list[str], time: str, or
     return requests.withColumn("accepted", place <= limit)
 
 
-def chain(entries: DataFrame, keys: list[str], order: list[str], payload: str) -> DataFrame:
+def chain(entries: DataFrame, keys: list[str], order: list[str], payload: str, begin: str | None = None, place: str | None = None) -> DataFrame:
     """entries with prev_hash and entry_hash: each hash covers the one before. A
-    null payload is empty."""
+    null payload is empty. begin and place name columns with the hash that a key's chain
+    goes on from and how many entries it has; place then counts on."""
+    named = [c for c in (*keys, payload, begin, place) if c]
 
-    def step(previous: str, row: dict) -> tuple[str, tuple]:
+    def step(state: tuple, row: dict) -> tuple[tuple, tuple]:
+        previous, n = state
+        if previous is None:
+            previous, n = (row[begin] if begin else GENESIS), (row[place] if place else 0)
         new = hashlib.sha256((previous + (row[payload] or "")).encode()).hexdigest()
-        return new, (previous, new)
+        return (new, n + 1), (previous, new, n + 1)
 
-    return ordered_fold(entries, keys, order, lambda: GENESIS, step, "prev_hash string, entry_hash string", {"prev_hash": pa.string(), "entry_hash": pa.string()})
+    told = ordered_fold(entries, keys, order, lambda: (None, 0), step, "prev_hash string, entry_hash string, __place long", {"prev_hash": pa.string(), "entry_hash": pa.string(), "__place": pa.int64()}, named)
+    return told.withColumn(place, F.col("__place")).drop("__place") if place else told.drop("__place")
 
 
 def verify(entries: DataFrame, key: str, order: list[str], payload: str) -> DataFrame:
@@ -159,7 +166,7 @@ def reserve(requests: DataFrame, limit: int, seconds: float, most_wait: float, k
         starts.append(start)
         return starts, (True, start)
 
-    return ordered_fold(requests, keys, [time, *order], lambda: deque(maxlen=limit), step, "accepted boolean, start double", {"accepted": pa.bool_(), "start": pa.float64()})
+    return ordered_fold(requests, keys, [time, *order], lambda: deque(maxlen=limit), step, "accepted boolean, start double", {"accepted": pa.bool_(), "start": pa.float64()}, [time])
 
 
 def consumed(stream: DataFrame, keys: list[str], time: str, order: list[str], idle: float = 5.0, attempts: int = 3) -> DataFrame:

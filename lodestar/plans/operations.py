@@ -25,12 +25,16 @@ c AS (
 )"""
 
 
-def _chained(spark: SparkSession, d: str) -> DataFrame:
+def _entries(spark: SparkSession, d: str) -> DataFrame:
     payload = t.canonical({
         "id": F.col("event_id").cast("string"), "tenant_id": F.col("user_id").cast("string"), "event_type": F.col("event_type"),
         "event_data": F.from_json("props", "k long"), "trace_id": F.lit(None).cast("string"), "created_at": t.iso(F.col("ts")),
     })
-    return state.chain(events(spark, d).select("user_id", "ts", "event_id", payload.alias("payload")), ["user_id"], ["ts", "event_id"], "payload")
+    return events(spark, d).select("user_id", "ts", "event_id", payload.alias("payload"))
+
+
+def _chained(spark: SparkSession, d: str) -> DataFrame:
+    return state.chain(_entries(spark, d), ["user_id"], ["ts", "event_id"], "payload")
 
 
 @query(CHAIN + "SELECT user_id, event_id, prev_hash, entry_hash FROM c")
