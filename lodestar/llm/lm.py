@@ -44,8 +44,8 @@ FEATURES = 4096
 ROWS_A_WORD = 8
 #: Counts of words that are broadcast.
 FREQUENT = 300_000
-#: Rounds of averaged training, and words of one gradient step.
-ROUNDS, STEP = 2, 65_536
+#: Rounds of averaged training, words of one gradient step, and words that are predicted together.
+ROUNDS, STEP, BLOCK = 2, 65_536, 4096
 RATE = 0.2
 TEXT_STEP = 4_000_000
 #: Weights that are averaged together.
@@ -193,20 +193,25 @@ class Weights:
         self.inner = self.flat[size:].reshape(features * GROUPS, GROUPS)
 
 
+ONES = np.ones((GROUPS, 1), np.float32)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
+    np.minimum(x, 80, out=x)  # the exponential of more is beyond a float
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x /= x @ ONES
     return x
 
 
 def predicted(w: Weights, counts: Counts, features: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities of the groups, and of the classes of the given group."""
-    a = counts.bias_group + w.group[features[0]]
-    b = counts.bias_class[group] + w.inner[features[0] * GROUPS + group]
+    a = w.group.take(features[0], 0)
+    a += counts.bias_group
+    b = w.inner.take(features[0] * GROUPS + group, 0)
+    b += counts.bias_class.take(group, 0)
     for f in features[1:]:
-        a += w.group[f]
-        b += w.inner[f * GROUPS + group]
+        a += w.group.take(f, 0)
+        b += w.inner.take(f * GROUPS + group, 0)
     return _softmax(a), _softmax(b)
 
 
@@ -214,21 +219,25 @@ def learn(w: Weights, seen: Weights, counts: Counts, features: np.ndarray, class
     """One AdaGrad step on these words; seen: squared gradients so far. Only rows
     that these words touch are read and changed."""
     group, inner = np.divmod(classes, GROUPS)
-    a, b = predicted(w, counts, features, group)
-    each = np.arange(len(classes))
+    n = len(classes)
+    a, b = np.empty((n, GROUPS), np.float32), np.empty((n, GROUPS), np.float32)
+    for i in range(0, n, BLOCK):
+        part = slice(i, i + BLOCK)
+        a[part], b[part] = predicted(w, counts, features[:, part], group[part])
+    each = np.arange(n)
     a[each, group] -= 1
     b[each, inner] -= 1
     for weights, squares, error, rows in ((w.group, seen.group, a, features), (w.inner, seen.inner, b, features * GROUPS + group)):
-        flat = rows.ravel()
         touched = np.zeros(len(weights), bool)
-        touched[flat] = True
+        touched[rows.ravel()] = True
         at = np.flatnonzero(touched)
-        place = np.empty(len(weights), np.int64)
-        place[at] = np.arange(len(at))
-        flat = place[flat]
+        place = np.empty(len(weights), np.int32)
+        place[at] = np.arange(len(at), dtype=np.int32)
+        rows = place[rows]
         slope = np.empty((len(at), GROUPS), np.float32)
         for j in range(GROUPS):
-            slope[:, j] = np.bincount(flat, np.tile(error[:, j], len(rows)), len(at))
+            column = error[:, j].astype(np.float64)
+            slope[:, j] = sum(np.bincount(r, column, len(at)) for r in rows)
         past = squares[at] + slope * slope
         squares[at] = past
         weights[at] -= RATE * slope / np.sqrt(past + 1.0)
@@ -318,12 +327,12 @@ def score(docs: DataFrame, held_out, rounds: int = ROUNDS, model: Model | None =
                 classes, row = reader.classes[flat], reader.row[flat]
                 features = reader.features(flat, sizes)
                 context = np.empty(len(classes))
-                for i in range(0, len(classes), STEP):
-                    c = classes[i : i + STEP]
+                for i in range(0, len(classes), BLOCK):
+                    c = classes[i : i + BLOCK]
                     group, inner = np.divmod(c, GROUPS)
-                    a, b = predicted(w, counts, features[:, i : i + STEP], group)
+                    a, b = predicted(w, counts, features[:, i : i + BLOCK], group)
                     each = np.arange(len(c))
-                    context[i : i + STEP] = np.log10(np.maximum(a[each, group], 1e-30)) + np.log10(np.maximum(b[each, inner], 1e-30))
+                    context[i : i + BLOCK] = np.log10(np.maximum(a[each, group], 1e-30)) + np.log10(np.maximum(b[each, inner], 1e-30))
                 known = row >= 0
                 log_c = np.zeros(len(row))
                 log_c[known] = np.log10(counts.n[row[known]] + 0.5)
