@@ -2,7 +2,8 @@
 
 A fold streams over each key's rows in order: keys are dealt to tasks, rows are
 sorted there, and only the state of the key at hand is held, however many rows
-the key has.
+the key has. Over a stream the same functions give the same answers, row by row, once
+the watermark has passed (streaming/ordered.py).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 
@@ -22,6 +24,10 @@ GENESIS = "0" * 64
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], begin: Callable[[], object], step: Callable, added: str, columns: dict[str, pa.DataType], needed: list[str] | None = None) -> DataFrame:
     """df with columns that step(state, row) returns (state, values) for; begin() starts a key.
     needed: the columns that step reads, if not all; the others stay in Arrow's memory."""
+    if df.isStreaming:
+        from lodestar.streaming.ordered import streamed_fold  # only streams need it
+
+        return streamed_fold(df, keys, order, begin, step, T.StructType.fromDDL(added))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

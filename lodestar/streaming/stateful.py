@@ -1,32 +1,14 @@
-"""The ordered operators over streams: same answers as their batch forms when
-events of a key arrive in order."""
+"""Counts of clock hours over a stream, sinks of a delivery, control of running
+queries and their progress. Ordered operators take streams themselves
+(operators/state.py)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-def quota(requests: DataFrame, limit: float, keys: list[str], order: list[str], cost: str) -> DataFrame:
-    """requests with accepted and used; the state of a key is one number."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", accepted boolean, used double"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0.0
-        rows = pd.concat(list(batches)).sort_values(order)  # one key's rows of one micro-batch
-        told = []
-        for value in rows[cost]:
-            fits = used + value <= limit
-            used = used + value if fits else used
-            told.append((fits, used))
-        state.update((used,))
-        yield rows.assign(accepted=[x for x, _ in told], used=[x for _, x in told])
-
-    return requests.groupBy(*keys).applyInPandasWithState(step, schema, "used double", "append", GroupStateTimeout.NoTimeout)
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 
 def hourly_counts(requests: DataFrame, time: str, keys: list[str], late: str = "10 minutes") -> DataFrame:
@@ -41,3 +23,57 @@ def split_sinks(delivered: DataFrame, batch_id: int, folder: str) -> None:
     dead = F.col("outcome").isin("invalid_signature", "max_delivery_attempts")
     delivered.filter(dead).write.mode("overwrite").parquet(f"{folder}/dead_letters/batch={batch_id}")
     delivered.filter(~dead).write.mode("overwrite").parquet(f"{folder}/messages/batch={batch_id}")
+
+
+class Progress(StreamingQueryListener):
+    """Keeps what running queries report: (query, event, details) in order, as start, stage
+    (a batch with its rows), result or error."""
+
+    def __init__(self, most: int = 10_000):
+        self.most, self.events = most, []
+
+    def _told(self, query: str, event: str, **details) -> None:
+        self.events.append((query, event, details))
+        del self.events[: -self.most]
+
+    def onQueryStarted(self, event) -> None:
+        self._told(str(event.id), "start", name=event.name)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._told(str(p.id), "stage", batch=p.batchId, rows=p.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self._told(str(event.id), "error", message=event.exception)
+        else:
+            self._told(str(event.id), "result")
+
+    def frames(self) -> list[str]:
+        """The events as server-sent text."""
+        return [f"event: {event}\ndata: {json.dumps(details, sort_keys=True)}\n\n" for _, event, details in self.events]
+
+
+def killed(switches: DataFrame, now: float) -> list:
+    """Agents whose last message of control (agent, at, kind: set or cleared, until) is a set
+    one that has not run out."""
+    last = switches.groupBy("agent").agg(F.max_by(F.struct("kind", "until"), "at").alias("last"))
+    live = F.col("last.until").isNull() | (F.col("last.until") > F.lit(now))
+    return [r.agent for r in last.filter((F.col("last.kind") == "set") & live).select("agent").collect()]
+
+
+def watch(control: DataFrame, running: dict[str, StreamingQuery], stopped: list, checkpoint: str) -> StreamingQuery:
+    """A query over the stream of control messages (agent, at, kind, until) that stops the running
+    query of each agent that is set, in the batch that brings the message. Agents are few."""
+
+    def act(batch: DataFrame, batch_id: int) -> None:
+        for row in batch.groupBy("agent").agg(F.max_by("kind", "at").alias("kind")).collect():
+            query = running.get(row.agent)
+            if row.kind == "set" and query is not None and query.isActive:
+                query.stop()
+                stopped.append((row.agent, batch_id))
+
+    return control.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).start()

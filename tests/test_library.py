@@ -247,18 +247,6 @@ def test_sinks_and_hours(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/dead_letters")).count() == 2 and spark.read.parquet(str(tmp_path / "out/messages")).count() == 1
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from lodestar.streaming import stateful
-
-    rows = spark.createDataFrame([(k, i, float(c)) for k in "ab" for i, c in enumerate([60, 50, 40, 1])], "k string, n int, cost double")
-    for i in range(2):  # two files in the order of time
-        rows.filter((F.col("n") >= 2 * i) & (F.col("n") < 2 * i + 2)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = stateful.quota(source, 100.0, ["k"], ["n"], "cost").writeStream.format("memory").queryName("told").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    got = {(r.k, r.n): r.accepted for r in spark.table("told").collect()}
-    want = {(r.k, r.n): r.accepted for r in state.quota(rows, 100.0, ["k"], ["n"], "cost").collect()}
-    assert got == want
 
 
 def test_reserve_waits_or_refuses(spark):
