@@ -12,7 +12,7 @@ from lodestar.operators import governance, ingest
 from lodestar.plans import spans
 from lodestar.plans.documents import CHUNKS, MARKED, VALID, _marked, documents
 from lodestar.plans.operations import ISO, events
-from lodestar.plans.registry import query
+from lodestar.plans.registry import case, query
 from lodestar.sources.tables import table
 
 JUDGED = f"""SELECT conv_id, turn, answer, total, {VALID} AS valid, CASE conv_id % 3 WHEN 0 THEN ' relevant ' WHEN 1 THEN 'RELEVANT' ELSE 'not relevant' END AS verdict FROM ({MARKED})"""
@@ -162,7 +162,7 @@ def alerts(spark: SparkSession, d: str) -> DataFrame:
 COVERED = "(VALUES " + ", ".join(f"({i}, '{x}', {repr(e) if e else 'NULL'})" for i, (x, e) in enumerate(governance.IDENTIFIERS)) + ") AS t(i, identifier, entity)"
 
 
-@query(f"""
+@case(f"""
 SELECT '# Safe harbour' || chr(10) || chr(10) || string_agg('- ' || identifier || ': ' || coalesce(entity, 'not covered'), chr(10) ORDER BY i) || chr(10) AS markdown FROM {COVERED}""")
 def hipaa_report(spark: SparkSession, d: str) -> DataFrame:
     """The coverage of identifiers as Markdown."""

@@ -9,7 +9,7 @@ from lodestar.functions import personal
 from lodestar.functions import text as t
 from lodestar.operators import ingest
 from lodestar.plans import spans
-from lodestar.plans.registry import query
+from lodestar.plans.registry import case, query
 from lodestar.sources.tables import table
 
 
@@ -75,12 +75,12 @@ PHRASES = (
 INLINE = "(VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(PHRASES)) + ") AS t(id, phrase)"
 
 
-@query(f"SELECT id, regexp_replace(phrase, '{t.PHONE_CUE}', '<PHONE_NUMBER>', 'g') AS redacted FROM {INLINE}")
+@case(f"SELECT id, regexp_replace(phrase, '{t.PHONE_CUE}', '<PHONE_NUMBER>', 'g') AS redacted FROM {INLINE}")
 def phone_cue(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {INLINE}").select("id", F.regexp_replace("phrase", t.PHONE_CUE, "<PHONE_NUMBER>").alias("redacted"))
 
 
-@query(f"SELECT id, phrase, regexp_matches(phrase, '{t.DURATION}') AS is_duration FROM {INLINE}")
+@case(f"SELECT id, phrase, regexp_matches(phrase, '{t.DURATION}') AS is_duration FROM {INLINE}")
 def duration_filter(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {INLINE}").select("id", "phrase", F.col("phrase").rlike(t.DURATION).alias("is_duration"))
 
@@ -180,7 +180,7 @@ ATTACKS = (
 ASKED = "(VALUES " + ", ".join(f"({i}, '{q}', {s})" for i, (q, s) in enumerate(ATTACKS)) + ") AS t(id, question, score)"
 
 
-@query(f"""
+@case(f"""
 SELECT id, CASE WHEN regexp_matches(question, '{t.INJECTION}') OR score >= 0.95 THEN 'block' WHEN score >= 0.60 THEN 'flag' ELSE 'allow' END AS action,
   NOT (regexp_matches(question, '{t.INJECTION}') OR score >= 0.60) AS may_be_stored, NOT (regexp_matches(question, '{t.INJECTION}') OR score >= 0.95) AS may_be_asked
 FROM {ASKED}""")
@@ -228,7 +228,7 @@ LEAKS = "(VALUES (1, 'see 0F8FAD5B-d9cb-469f-a165-70867728950e now'), (2, 'nothi
 KNOWN = ("0f8fad5b-d9cb-469f-a165-70867728950e", "7c9e6679-7425-40de-944b-e07fc1f90ae7")
 
 
-@query(f"SELECT id, array_to_string(list_sort(list_intersect(list_transform(regexp_extract_all(answer, '{t.UUID}'), lambda x: lower(x)), {list(KNOWN)})), ',') AS leaked FROM {LEAKS}")
+@case(f"SELECT id, array_to_string(list_sort(list_intersect(list_transform(regexp_extract_all(answer, '{t.UUID}'), lambda x: lower(x)), {list(KNOWN)})), ',') AS leaked FROM {LEAKS}")
 def canary_scan(spark: SparkSession, d: str) -> DataFrame:
     known = F.array(*map(F.lit, KNOWN))
     return spark.sql(f"SELECT * FROM {LEAKS}").select("id", F.array_join(t.canaries(F.col("answer"), known), ",").alias("leaked"))
@@ -252,7 +252,7 @@ def filename_clean(spark: SparkSession, d: str) -> DataFrame:
 MARKDOWN = "intro line\n# One\nbody a\n\nbody b\n## Two\nbody c\n### Deep\nd\n## Three\ne\n# Four\nf"
 
 
-@query("""SELECT * FROM (VALUES (0, '', 'intro line'), (1, 'One', 'body a\n\nbody b'), (2, 'One > Two', 'body c'), (3, 'One > Two > Deep', 'd'), (4, 'One > Three', 'e'), (5, 'Four', 'f')) AS t(section, path, body)""")
+@case("""SELECT * FROM (VALUES (0, '', 'intro line'), (1, 'One', 'body a\n\nbody b'), (2, 'One > Two', 'body c'), (3, 'One > Two > Deep', 'd'), (4, 'One > Three', 'e'), (5, 'Four', 'f')) AS t(section, path, body)""")
 def heading_path(spark: SparkSession, d: str) -> DataFrame:
     """Sections of a Markdown text with the headings above them."""
     found = ingest.heading_paths(ingest.sections(spark.range(1).select(F.col("id").alias("doc_id"), F.lit(MARKDOWN).alias("text"))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as t
 from lodestar.operators import governance, state
-from lodestar.plans.registry import query
+from lodestar.plans.registry import case, query
 from lodestar.sources.tables import Tenant, table
 
 
@@ -195,7 +195,7 @@ def vendor_score(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("flagged", F.array_join("flagged", "|"))
 
 
-@query("SELECT 18::BIGINT AS identifiers, 10::BIGINT AS covered")
+@case("SELECT 18::BIGINT AS identifiers, 10::BIGINT AS covered")
 def hipaa_coverage(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame(list(governance.IDENTIFIERS), "identifier string, entity string")
     return rows.agg(F.count("*").alias("identifiers"), F.count("entity").alias("covered"))
@@ -234,7 +234,7 @@ def drift_share(spark: SparkSession, d: str) -> DataFrame:
 CASES = "(VALUES (1, 'faithfulness', 0.95, 0.90), (2, 'faithfulness', 0.85, 0.90), (3, 'answer_relevancy', 0.86, 0.85), (4, 'context_precision', 0.70, 0.80), (5, 'context_precision', 0.89996, 0.80)) AS t(id, metric, score, floor)"
 
 
-@query(f"SELECT metric, round(avg(score::DOUBLE), 4) AS mean, round(avg(score::DOUBLE), 4) >= max(floor)::DOUBLE AS passes FROM {CASES} GROUP BY metric")
+@case(f"SELECT metric, round(avg(score::DOUBLE), 4) AS mean, round(avg(score::DOUBLE), 4) >= max(floor)::DOUBLE AS passes FROM {CASES} GROUP BY metric")
 def gate_check(spark: SparkSession, d: str) -> DataFrame:
     mean = F.round(F.avg(F.col("score").cast("double")), 4)
     return spark.sql(f"SELECT * FROM {CASES}").groupBy("metric").agg(mean.alias("mean"), (mean >= F.max("floor").cast("double")).alias("passes"))
@@ -244,7 +244,7 @@ CALLS = "(VALUES ('research', 'query_kb'), ('research', 'run_code'), ('coder', '
 ALLOWED = "(VALUES ('research', 'query_kb'), ('coder', 'run_code'), ('coder', 'query_kb')) AS a(agent, tool)"
 
 
-@query(f"SELECT c.agent, c.tool, a.agent IS NOT NULL AS allowed FROM {CALLS} LEFT JOIN {ALLOWED} ON c.agent = a.agent AND c.tool = a.tool")
+@case(f"SELECT c.agent, c.tool, a.agent IS NOT NULL AS allowed FROM {CALLS} LEFT JOIN {ALLOWED} ON c.agent = a.agent AND c.tool = a.tool")
 def tool_allow_list(spark: SparkSession, d: str) -> DataFrame:
     """Denied unless listed."""
     listed = spark.sql(f"SELECT agent, tool, true AS listed FROM {ALLOWED}")

@@ -6,6 +6,16 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Functions on rows of their own, which tests compare with their SQL; no queries.
+CASES: dict[str, tuple[Callable, str]] = {}
+
+
+def case(sql: str):
+    def register(function: Callable) -> Callable:
+        CASES[function.__name__] = function, sql
+        return function
+
+    return register
 
 
 def query(sql: str | None = None):

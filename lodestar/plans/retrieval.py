@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import STOP_WORDS, lexemes
 from lodestar.functions.vector import cosine
 from lodestar.operators import search, state
-from lodestar.plans.registry import query
+from lodestar.plans.registry import case, query
 from lodestar.sources.tables import table
 
 QUESTION = "the of and nding"
@@ -91,7 +91,7 @@ def sparse_match(spark: SparkSession, d: str) -> DataFrame:
 TIES = """(VALUES (1, 'a', 1, 2), (1, 'b', 2, 1), (1, 'c', 3, NULL), (1, 'd', NULL, 3), (2, 'x', 1, NULL), (2, 'w', NULL, 1), (3, 'q', 5, 5), (3, 'p', 5, 5)) AS t(qid, id, r0, r1)"""
 
 
-@query(f"""
+@case(f"""
 SELECT qid, id, round(coalesce(1.0::DOUBLE / (60 + r0), 0) + coalesce(1.0::DOUBLE / (60 + r1), 0), 12) AS score,
        row_number() OVER (PARTITION BY qid ORDER BY round(coalesce(1.0::DOUBLE / (60 + r0), 0) + coalesce(1.0::DOUBLE / (60 + r1), 0), 12) DESC, r1 NULLS LAST, r0 NULLS LAST, id)::INTEGER AS rank
 FROM {TIES}""")

@@ -9,7 +9,7 @@ from lodestar.functions import text as t
 from lodestar.operators import governance, state
 from lodestar.plans.documents import MARKED, _marked
 from lodestar.plans.operations import CHAIN, _chained, events
-from lodestar.plans.registry import ORACLE_SQL, query
+from lodestar.plans.registry import ORACLE_SQL, case, query
 from lodestar.sources.tables import Tenant, table
 
 IDS = tuple(range(1, 400, 3))
@@ -123,7 +123,7 @@ def drift_extract(spark: SparkSession, d: str) -> DataFrame:
 CLAIMS = "(VALUES (1, 'team-2;team-1;team-2'), (2, 'team-1;no team'), (3, 'team-7'), (4, '')) AS t(id, claims)"
 
 
-@query(f"""
+@case(f"""
 SELECT id, CASE WHEN len(list_filter(string_split(claims, ';'), lambda x: NOT regexp_matches(x, '^team-[0-9]+$'))) = 0 THEN array_to_string(list_sort(list_distinct(string_split(claims, ';'))), ',') END AS tenants FROM {CLAIMS}""")
 def tenant_claims(spark: SparkSession, d: str) -> DataFrame:
     """Tenants of a token; one malformed claim fails all of it."""
@@ -135,7 +135,7 @@ def tenant_claims(spark: SparkSession, d: str) -> DataFrame:
 UPLOADS = "(VALUES (1, 'a.md', '# Title'), (2, 'b.TXT', '  '), (3, 'c.pdf', '%PDF-1.7 x'), (4, 'd.txt', '%PDF-1.7 x'), (5, 'e.pdf', 'plain'), (6, 'f.exe', 'MZ')) AS t(id, name, body)"
 
 
-@query(f"""
+@case(f"""
 SELECT id, CASE WHEN regexp_matches(name, '(?i)\\.(txt|md)$') THEN CASE WHEN starts_with(body, '%PDF-') THEN 'mismatch' WHEN trim(body) = '' THEN 'blank' ELSE 'text' END
   WHEN regexp_matches(name, '(?i)\\.pdf$') THEN CASE WHEN starts_with(body, '%PDF-') THEN 'pdf' ELSE 'mismatch' END ELSE 'unsupported' END AS kind FROM {UPLOADS}""")
 def upload_classify(spark: SparkSession, d: str) -> DataFrame:
@@ -152,12 +152,12 @@ SYSTEMS = (
 DESCRIBED = "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(SYSTEMS)) + ") AS t(id, description)"
 
 
-@query(f"SELECT id, CASE {' '.join(f'''WHEN regexp_matches(description, '{p}') THEN '{tier}' ''' for tier, p in governance.RISK_TIERS)} ELSE 'minimal' END AS tier FROM {DESCRIBED}")
+@case(f"SELECT id, CASE {' '.join(f'''WHEN regexp_matches(description, '{p}') THEN '{tier}' ''' for tier, p in governance.RISK_TIERS)} ELSE 'minimal' END AS tier FROM {DESCRIBED}")
 def risk_tier(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {DESCRIBED}").select("id", governance.risk_tier(F.col("description")).alias("tier"))
 
 
-@query(f"SELECT id, CASE WHEN regexp_matches(description, '{governance.CONSEQUENTIAL}') THEN '{','.join(governance.OBLIGATIONS)}' ELSE '' END AS obligations FROM {DESCRIBED}")
+@case(f"SELECT id, CASE WHEN regexp_matches(description, '{governance.CONSEQUENTIAL}') THEN '{','.join(governance.OBLIGATIONS)}' ELSE '' END AS obligations FROM {DESCRIBED}")
 def decision_obligations(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {DESCRIBED}").select("id", F.array_join(governance.obligations(F.col("description")), ",").alias("obligations"))
 
