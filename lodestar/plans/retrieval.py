@@ -9,6 +9,7 @@ from lodestar.functions.text import STOP_WORDS, lexemes
 from lodestar.functions.vector import cosine
 from lodestar.operators import search, state
 from lodestar.plans.registry import case, query
+from lodestar.plans.service import folded
 from lodestar.sources.tables import table
 
 QUESTION = "the of and nding"
@@ -160,7 +161,20 @@ def stop_word_question(spark: SparkSession, d: str) -> DataFrame:
 CACHE_ROWS = "SELECT vec_id AS at, label AS tenant_id, vec_id % 97 = 13 AS invalidates, embedding FROM embeddings"
 
 
-@query()
+EMPTIED = "(x.gone OR coalesce(x.clock - a.stored >= 60, false))"
+HELD = f"CASE WHEN {EMPTIED} THEN [] ELSE a.entries END"
+HIT = f"list_filter({HELD}, lambda e: list_cosine_similarity(x.v, e.v) >= 0.30)"
+LOOKED = f"(x.gone OR x.v IS NULL OR len({HIT}) > 0)"
+REPLAYED = folded(
+    "label", {"clock": "clock", "gone": "id % 97 = 13", "v": "embedding::DOUBLE[]"}, {"entries": "[]::STRUCT(h BIGINT, v DOUBLE[])[]", "stored": "NULL::BIGINT", "out": "[]::STRUCT(h BIGINT, n BIGINT)[]"},
+    {
+        "entries": f"CASE WHEN {LOOKED} THEN {HELD} ELSE list_prepend(struct_pack(h := x.clock, v := x.v), {HELD})[:50] END", "stored": f"CASE WHEN NOT {LOOKED} THEN x.clock WHEN {EMPTIED} THEN NULL ELSE a.stored END",
+        "out": f"list_append(a.out, struct_pack(h := CASE WHEN NOT x.gone AND x.v IS NOT NULL THEN {HIT}[1].h END, n := CASE WHEN {LOOKED} THEN len({HELD}) ELSE least(len({HELD}) + 1, 50) END))",
+    }, "SELECT vec_id AS id, vec_id AS clock, label, embedding FROM embeddings",
+)
+
+
+@query(f"SELECT id AS \"at\", label AS tenant_id, o.h AS hit_at, o.n::INTEGER AS held FROM ({REPLAYED}) JOIN embeddings ON vec_id = id")
 def cache_replay(spark: SparkSession, d: str) -> DataFrame:
     """A tenant's questions in order against its cache: a miss is stored, the list
     ends some time after its last store, and a deletion empties it."""

@@ -166,20 +166,67 @@ def _timed(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", "user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
 
 
-@query()
+def folded(key: str, rows: dict[str, str], begin: dict[str, str], step: dict[str, str], source: str) -> str:
+    """SQL (id, o) that folds each key's rows (id, clock, ...) in order: rows are the fields of x, begin those of
+    the state a, step what they become after x; the list `out` has an element for each row."""
+    fields = lambda d: ", ".join(f"{k} := {v}" for k, v in d.items())
+    return f"""
+SELECT unnest(ids) AS id, unnest(out) AS o FROM (
+  SELECT ids, list_reduce(list_prepend(struct_pack({fields(dict.fromkeys(rows, 'NULL'))}, {fields(begin)}), list_transform(xs, lambda x: struct_pack({fields({r: f'x.{r}' for r in rows})}, {fields(begin)}))),
+    lambda a, x: struct_pack({fields({r: f'x.{r}' for r in rows})}, {fields(step)})).out AS out
+  FROM (SELECT {key}, list(id ORDER BY clock, id) AS ids, list(struct_pack({fields(rows)}) ORDER BY clock, id) AS xs FROM ({source}) GROUP BY {key}))"""
+
+
+TIMED = "SELECT event_id AS id, user_id, event_type, epoch_us(ts) / 1e6::DOUBLE AS clock FROM events"
+START = "greatest(x.clock, CASE WHEN len(a.starts) >= 3 THEN a.starts[-3] + 86400 END, a.starts[-1])"
+RESERVED = folded(
+    "user_id", {"clock": "clock"}, {"starts": "[]::DOUBLE[]", "out": "[]::DOUBLE[]"},
+    {"starts": f"CASE WHEN {START} - x.clock > 43200 THEN a.starts ELSE list_append(a.starts, {START}) END", "out": f"list_append(a.out, CASE WHEN {START} - x.clock <= 43200 THEN {START} END)"},
+    TIMED,
+)
+
+
+@query(f"SELECT id AS event_id, o IS NOT NULL AS accepted, o AS start FROM ({RESERVED})")
 def embed_limiter(spark: SparkSession, d: str) -> DataFrame:
     """Starts of a user's calls: three in any day-long span, at most half a day's wait."""
     return state.reserve(_timed(spark, d), 3, 86_400, 43_200, ["user_id"], "at", ["event_id"]).select("event_id", "accepted", "start")
 
 
-@query()
+LIVE = "list_filter(a.until, lambda u: u.e > x.clock)"
+OTHER = "list_filter(a.until, lambda u: u.e > x.clock AND u.h <> x.h)"
+GRANTED = f"(len({OTHER}) < len({LIVE}) OR (NOT x.r AND len({LIVE}) < 2))"
+UNTIL = f"CASE WHEN x.r THEN {OTHER} WHEN {GRANTED} THEN list_append({OTHER}, struct_pack(h := x.h, e := x.clock + 172800)) ELSE {LIVE} END"
+SLOTS = folded(
+    "user_id", {"clock": "clock", "h": "id % 3", "r": "event_type = 'click'"}, {"until": "[]::STRUCT(h BIGINT, e DOUBLE)[]", "out": "[]::STRUCT(g BOOLEAN, n BIGINT)[]"},
+    {"until": UNTIL, "out": f"list_append(a.out, struct_pack(g := {GRANTED}, n := len({UNTIL})))"}, TIMED,
+)
+
+
+@query(f"SELECT id AS event_id, o.g AS granted, o.n::INTEGER AS held FROM ({SLOTS})")
 def slots(spark: SparkSession, d: str) -> DataFrame:
     """Two at once a user; clicks release what the same holder took."""
     asked = _timed(spark, d).withColumns({"holder": F.col("event_id") % 3, "release": F.col("event_type") == "click"})
     return state.slots(asked, 2, 172_800, ["user_id"], "at", ["event_id"]).select("event_id", "granted", "held")
 
 
-@query()
+AGAIN = "(len(a.pending) > 0 AND x.clock - a.pending[1].t >= 172800)"
+FIRST = "a.pending[1]"
+DELIVERED = folded(
+    "user_id",
+    {"clock": "clock", "k": "CASE WHEN event_type = 'click' THEN 'publish' WHEN id % 7 = 0 THEN 'ack' ELSE 'call' END", "m": "CASE WHEN event_type <> 'click' AND id % 7 = 0 THEN id - 7 ELSE id END"},
+    {"fresh": "[]::BIGINT[]", "pending": "[]::STRUCT(m BIGINT, t DOUBLE, n BIGINT)[]", "out": "[]::STRUCT(c BOOLEAN, m BIGINT, n BIGINT, d BOOLEAN)[]"},
+    {
+        "fresh": f"CASE WHEN x.k = 'publish' THEN list_append(a.fresh, x.m) WHEN x.k = 'call' AND NOT {AGAIN} THEN a.fresh[2:] ELSE a.fresh END",
+        "pending": f"""CASE WHEN x.k = 'ack' THEN list_filter(a.pending, lambda p: p.m <> x.m) WHEN x.k = 'publish' THEN a.pending
+      WHEN {AGAIN} THEN CASE WHEN {FIRST}.n >= 3 THEN a.pending[2:] ELSE list_append(a.pending[2:], struct_pack(m := {FIRST}.m, t := x.clock, n := {FIRST}.n + 1)) END
+      WHEN len(a.fresh) > 0 THEN list_append(a.pending, struct_pack(m := a.fresh[1], t := x.clock, n := 1::BIGINT)) ELSE a.pending END""",
+        "out": f"""list_append(a.out, CASE WHEN x.k = 'call' AND {AGAIN} THEN struct_pack(c := true, m := {FIRST}.m, n := least({FIRST}.n + 1, 3), d := {FIRST}.n >= 3)
+      WHEN x.k = 'call' AND len(a.fresh) > 0 THEN struct_pack(c := true, m := a.fresh[1], n := 1::BIGINT, d := false) ELSE struct_pack(c := x.k = 'call', m := NULL::BIGINT, n := NULL::BIGINT, d := false) END)""",
+    }, TIMED,
+)
+
+
+@query(f"SELECT id AS event_id, o.m AS given, o.n::INTEGER AS tries, o.d AS dead FROM ({DELIVERED}) WHERE o.c")
 def redelivery(spark: SparkSession, d: str) -> DataFrame:
     """What each call of a user gets: unacknowledged messages first, once they have
     waited two days; after three tries they are dead letters."""
