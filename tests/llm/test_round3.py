@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import neighbours, queries, resample, runs
+from lodestar.llm import fingerprint, neighbours, queries, resample, runs
 from lodestar.llm.common import persist
 
 
@@ -166,3 +166,47 @@ def test_neighbours_index_holds_every_row(spark):
     for r in index.collect():
         low = np.frombuffer(r.graphs[0], np.int32).reshape(r.n, neighbours.LINKS)
         assert low.max() < r.n and ((low >= 0).sum(1) > 0).all()
+
+
+def plain_chunks(raw):
+    """The chunks of a text, byte by byte: (digest, length)."""
+    mask, out, start = (1 << 64) - 1, set(), 0
+    power = lambda n: pow(fingerprint.BASE, n, 1 << 64)
+    gear = [int(x) for x in fingerprint.GEAR]
+    rolled = [sum(gear[raw[i - k]] << k for k in range(min(fingerprint.WINDOW, i + 1))) & 0xFFFF for i in range(len(raw))]
+    while start < len(raw):
+        end = start + fingerprint.LEAST
+        while end < len(raw) and end < start + fingerprint.GREATEST:
+            bits = fingerprint.STRICT if end < start + fingerprint.USUAL else fingerprint.LOOSE
+            if rolled[end - 1] & int(bits) == 0:
+                break
+            end += 1
+        end = min(end, len(raw))
+        digest = sum((b + 1) * power(i) for i, b in enumerate(raw[start:end])) & mask
+        digest = (digest ^ (digest >> 31)) * 0x94D049BB133111EB & mask
+        out.add((digest >> 32, end - start))
+        start = end
+    return out
+
+
+def told(chunks):
+    return "".join(f"{d:08x}{n - 1:02x}" for d, n in sorted(chunks))
+
+
+def inside(a, b):
+    weight = lambda x: sum(n for _, n in x)
+    return float(a == b) if not a or not b else weight(a & b) / weight(a)
+
+
+def test_fingerprints_against_a_plain_chunker(spark):
+    rng = random.Random(6)
+    base = " ".join(rng.choice(["ab", "cé", "日本", "text", "of", "9"]) for _ in range(300))
+    rows = [(i, base[: rng.randint(0, len(base))] + "".join(rng.choice("abc é") for _ in range(rng.randint(0, 200)))) for i in range(25)] + [(30, None), (31, ""), (32, "x"), (33, "y" * 500), (34, base), (35, base)]
+    got = {r.doc_id: r for r in fingerprint.edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        cut = len(text) // 3
+        own, edited, following = (plain_chunks(x.encode()) for x in (text, text[: len(text) - cut] + after[:cut], after))
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (told(own), told(edited))
+        assert (r.near_edited, r.near_next) == pytest.approx((inside(own, edited), inside(own, following)))
