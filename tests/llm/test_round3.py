@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprint, neighbours, queries, resample, runs
+from lodestar.llm import fingerprint, neighbours, queries, resample, runs, simhash
 from lodestar.llm.common import persist
 
 
@@ -210,3 +210,33 @@ def test_fingerprints_against_a_plain_chunker(spark):
         r = got[i]
         assert (r.fingerprint, r.edited_fingerprint) == (told(own), told(edited))
         assert (r.near_edited, r.near_next) == pytest.approx((inside(own, edited), inside(own, following)))
+
+
+def test_near_copies_of_a_table_against_all_pairs(spark):
+    """Every pair of texts with 0.8 of their five-word shingles in common, found through their rare shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(docs, 5, 0.8).collect()}
+    fold, of = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)), {}
+    for r in docs.collect():
+        w = (r.text or "").encode().translate(fold).split()
+        of.setdefault(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)]), []).append(r.doc_id)
+    sets, held = list(of), {}
+    for i, s in enumerate(sets):
+        for g in s:
+            held.setdefault(g, []).append(i)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        rare = sorted(s, key=lambda g: (len(held[g]), g))[: len(s) - math.ceil(0.8 * len(s)) + 1]
+        for j in {j for g in rare for j in held[g] if j < i}:
+            if len(s & sets[j]) >= 0.8 * len(s | sets[j]):
+                root[find(i)] = find(j)
+    classes = {}
+    for i, s in enumerate(sets):
+        classes.setdefault(find(i), []).extend(of[s])
+    assert got == {d: min(c) for c in classes.values() for d in c}
