@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions import personal
+from lodestar.functions import personal, retries
 from lodestar.functions import text as t
 from lodestar.operators import governance, ingest, sent
 from lodestar.plans.documents import SCORE, SPANS, documents
@@ -108,3 +108,26 @@ def sent_fragments(spark: SparkSession, d: str) -> DataFrame:
     starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int"))
     fragments = whole.select(F.col("user_id").alias("stream"), F.posexplode(F.transform(starts, lambda i: F.substring("text", i * size + 1, size))).alias("seq", "text"))
     return sent.parsed(fragments).select("stream", F.col("n").cast("long").alias("n"), "event", "data")
+
+
+def _retried(p: retries.Policy) -> str:
+    """SQL of the schedule, over a list xs of outcomes."""
+    again = f"((x.o = 'rate_limited' AND a.rate < {p.rate_limit_retries}) OR (x.o = 'transient' AND a.trans < {p.transient_retries}))"
+    wait = lambda b, n: f"least({b[2]}, {b[0]} * pow({b[1]}, {n}))"
+    state = "o := '', rate := 0, trans := 0, attempts := 0, waited := 0.0::DOUBLE, result := 'pending'"
+    return f"""list_reduce(list_prepend(struct_pack({state}), list_transform(xs, lambda x: struct_pack({state.replace("o := ''", "o := x")}))), lambda a, x: CASE WHEN a.result <> 'pending' THEN a ELSE
+      struct_pack(o := '', rate := a.rate + (x.o = 'rate_limited' AND {again})::INT, trans := a.trans + (x.o = 'transient' AND {again})::INT, attempts := a.attempts + 1,
+        waited := a.waited + CASE WHEN NOT {again} THEN 0 WHEN x.o = 'rate_limited' THEN {wait(p.rate_limit, 'a.rate')} ELSE {wait(p.transient, 'a.trans')} END, result := CASE WHEN {again} THEN 'pending' ELSE x.o END) END)"""
+
+
+@query(f"""
+WITH c AS (SELECT user_id, ts::DATE AS day, list(CASE event_type WHEN 'error' THEN 'transient' WHEN 'signup' THEN 'rate_limited' WHEN 'click' THEN 'transient' ELSE 'ok' END ORDER BY ts, event_id) AS xs FROM events GROUP BY 1, 2)
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, kind, r.attempts::INTEGER AS attempts, r.waited::DOUBLE AS waited, r.result AS result FROM (
+  SELECT user_id, day, 'ingestion' AS kind, {_retried(retries.INGESTION)} AS r FROM c UNION ALL SELECT user_id, day, 'query', {_retried(retries.QUERY)} FROM c UNION ALL SELECT user_id, day, 'classify', {_retried(retries.CLASSIFY)} FROM c)""")
+def retry_schedules(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events of a day as the outcomes of one call's attempts, under each policy."""
+    outcome = F.when(F.col("event_type").isin("error", "click"), "transient").when(F.col("event_type") == "signup", "rate_limited").otherwise("ok")
+    calls = events(spark, d).groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", outcome.alias("o")))).alias("xs"))
+    kinds = (("ingestion", retries.INGESTION), ("query", retries.QUERY), ("classify", retries.CLASSIFY))
+    each = calls.select("user_id", "day", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), retries.schedule(F.col("xs.o"), p).alias("r")) for k, p in kinds))).alias("s"))
+    return each.select("user_id", "day", "s.kind", "s.r.attempts", "s.r.waited", "s.r.result")
