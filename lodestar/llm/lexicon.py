@@ -57,7 +57,7 @@ class Table:
     """64-bit keys to row numbers of a table; linear probing."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2 + 1).bit_length())
+        self.bits = max(4, (len(keys) * 4 // 3).bit_length())  # at most three quarters full
         self.mask = (1 << self.bits) - 1
         self.slots = np.full(1 << self.bits, -1, np.int32)
         self.keys = keys
