@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from lodestar.llm.common import persist, raw_text, slices
 
 #: Bytes of text in one suffix array.
-STEP = 8_000_000
+STEP = 4_000_000
 #: A-Z lower-cased; other bytes below 128 that are neither digits nor letters part words.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -153,7 +153,8 @@ def resample(
     names = [c for c in found.columns if c not in ("score", "rank")]
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = [(F.col("n_words") >= least_words).desc(), F.col("score").desc(), F.col(key).asc_nulls_last()]
-    scored = found.select(*names, (F.col("weight") + gumbel).alias("score"))
+    # written, as the bounds of the ranges are drawn from the rows before these are dealt out
+    scored = persist(found.select(*names, (F.col("weight") + gumbel).alias("score")), "weighed")
     # the order is written once: the number holds the partition above bit 33, the place in it below
     placed = persist(scored.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("__at", 33)
