@@ -3,8 +3,8 @@
 Batches are appended. A bucket's postings are dealt to several tasks by a hash of the
 chunk, so a lexeme that a third of all chunks hold is no single task's; files are sorted
 by lexeme, so that a search reads the folders of its lexemes and in them the row
-groups that hold them. With `stems`, postings are of stems, worked out once for
-each different lexeme.
+groups that hold them. With `stems`, postings are of stems, worked out in the task that
+reads the text. A chunk's id should come once; where it comes again its counts add up.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.stem import stemmed
-from lodestar.functions.text import asked, lexemes
+from lodestar.functions.stem import stem, stemmed
+from lodestar.functions.text import asked
+from lodestar.operators import search
 from lodestar.operators.search import MOST_ASKED, POOL, best
 from lodestar.sources.store import Versioned
 
@@ -38,29 +39,40 @@ def with_stems(rows: DataFrame) -> DataFrame:
 
 def add(table: Versioned, batch_id: str, chunks: DataFrame, stems: bool = False, buckets: int = BUCKETS) -> int:
     """Adds the postings of chunks (id, text)."""
-    counted = chunks.select("id", F.explode(lexemes(F.col("text"))).alias("lexeme")).groupBy("lexeme", "id").agg(F.count("*").alias("n"))
-    if stems:
-        counted = with_stems(counted).groupBy("lexeme", "id").agg(F.sum("n").alias("n"))
+    counted = search.counted(chunks, change=stem if stems else None)
     placed = counted.withColumn("bucket", bucket("lexeme", buckets))
     dealt = placed.repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(PIECES))).sortWithinPartitions("bucket", "lexeme", "id")
     return table.append(batch_id, dealt)
 
 
-def matches(table: Versioned, questions: DataFrame, stems: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """qid, id, hits: positions that hold any of the question's lexemes. questions: qid, question."""
-    wanted = questions.select("qid", F.explode(asked(F.col("question"))).alias("lexeme"))
-    if stems:
-        wanted = with_stems(wanted).distinct()
-    held = table.read()
+def _held(table: Versioned, wanted: DataFrame, buckets: int) -> DataFrame:
+    """The stored postings in the folders, and if they are few enough to be named in the row groups, of wanted's lexemes."""
     words = wanted.select("lexeme").distinct()
-    few = words.limit(MOST_ASKED + 1).count() <= MOST_ASKED
     folders = sorted(r.bucket for r in words.select(bucket("lexeme", buckets).alias("bucket")).distinct().collect())  # at most as many as buckets
-    held = held.filter(F.col("bucket").isin(folders))
-    if few and words.limit(NAMED + 1).count() <= NAMED:
-        held = held.filter(F.col("lexeme").isin([r.lexeme for r in words.collect()]))
-    return held.join(F.broadcast(wanted) if few else wanted, "lexeme").groupBy("qid", "id").agg(F.sum("n").alias("hits"))
+    held = table.read().filter(F.col("bucket").isin(folders))
+    named = words.limit(NAMED + 1).collect()
+    return held.filter(F.col("lexeme").isin([r.lexeme for r in named])) if len(named) <= NAMED else held
+
+
+def _wanted(questions: DataFrame, stems: bool) -> DataFrame:
+    wanted = questions.select("qid", F.explode(asked(F.col("question"))).alias("lexeme"))
+    return with_stems(wanted).distinct() if stems else wanted
+
+
+def matches(table: Versioned, questions: DataFrame, stems: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """qid, id, hits: positions that hold any of the question's lexemes. questions: qid, question."""
+    wanted = _wanted(questions, stems)
+    few = wanted.limit(MOST_ASKED + 1).count() <= MOST_ASKED
+    return _held(table, wanted, buckets).join(F.broadcast(wanted) if few else wanted, "lexeme").groupBy("qid", "id").agg(F.sum("n").alias("hits"))
 
 
 def sparse(table: Versioned, questions: DataFrame, k: int = POOL, stems: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """qid, id, hits, rank: as search.sparse, from the index."""
-    return best(matches(table, questions, stems, buckets), "qid", [F.desc("hits"), F.col("id")], k)
+    wanted = _wanted(questions, stems)
+    few = search.bounded(wanted)
+    if few is None:
+        return best(matches(table, questions, stems, buckets), "qid", [F.desc("hits"), F.col("id")], k)
+    numbers = wanted.sparkSession.createDataFrame(list(enumerate(few.words)), "word int, lexeme string")
+    held = _held(table, wanted, buckets)
+    known = held.join(F.broadcast(numbers), "lexeme").select("id", "word", "n")
+    return search.top(known, few, (wanted.schema["qid"].dataType.simpleString(), held.schema["id"].dataType.simpleString()), k)

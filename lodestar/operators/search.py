@@ -6,7 +6,8 @@ ends in a unique key. Spark decides on broadcasts by size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,11 @@ def best(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
+def arrow(kind: str) -> pa.DataType:
+    """The type of a key."""
+    return pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+
+
 #: Vectors of a block of chunks and of a block of questions.
 CHUNKS, QUESTIONS = 4096, 2048
 #: Blocks of questions that are broadcast (each at most QUESTIONS vectors); more are shuffled.
@@ -35,7 +41,7 @@ def _blocks(rows: DataFrame, size: int, key: str, vector: str) -> DataFrame:
     """n, dim, ids (array of the key's type), raw (vectors of double, one behind the other) of
     up to size rows of equal length."""
     kind = rows.schema[key].dataType.simpleString()
-    one = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    one = arrow(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -67,7 +73,7 @@ def dense(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
     which only the k best of each question leave the task."""
     spark = chunks.sparkSession
     kinds = [chunks.schema["id"].dataType.simpleString(), questions.schema["qid"].dataType.simpleString()]
-    types = [pa.int64() if x == "bigint" else pa.int32() if x == "int" else pa.string() for x in kinds]
+    types = [arrow(x) for x in kinds]
     asked = _blocks(questions.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)), QUESTIONS, "qid", "vector")
     asked = asked.select(F.col("n").alias("qn"), F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("raw").alias("qraw"))
     few = asked.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS
@@ -93,6 +99,139 @@ def dense(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
 
 #: Lexemes of questions that are broadcast; more are joined.
 MOST_ASKED = 200_000
+#: Pairs of a position and a question that are counted together, and that wait to be ranked.
+PAIRS, WAITING = 2_000_000, 500_000
+#: Changed lexemes that a task remembers.
+REMEMBERED = 500_000
+
+
+def counted(chunks: DataFrame, known: list[str] | None = None, change: Callable[[str], str] | None = None) -> DataFrame:
+    """id, lexeme, n: the lexemes of each row's text (changed by `change`) and how often it holds
+    them. With `known`, only those, as their numbers: id, word, n. chunks: id, text.
+
+    A row's text is counted where it is read, so that occurrences are not shuffled."""
+    kind = chunks.schema["id"].dataType.simpleString()
+    column = "word int" if known is not None else "lexeme string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if known is None else pa.array(known, pa.string())
+        changed_ = functools.lru_cache(REMEMBERED)(change) if change is not None else None
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().dictionary_encode()
+            words, code = flat.dictionary.cast(pa.string()), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            if changed_ is not None:
+                changed = pa.array([changed_(x) for x in words.to_pylist()], pa.string()).dictionary_encode()
+                words, code = changed.dictionary, changed.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
+            rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            if wanted is not None:
+                code = pc.fill_null(pc.index_in(words, value_set=wanted), -1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
+                rows, code, words = rows[code >= 0], code[code >= 0], wanted
+            found, n = np.unique(rows * max(len(words), 1) + code, return_counts=True)
+            which = found % max(len(words), 1)
+            of = batch.column(0).take(pa.array(found // max(len(words), 1)))
+            yield pa.RecordBatch.from_arrays([of, pa.array(which.astype(np.int32)) if known is not None else words.take(pa.array(which)), pa.array(n.astype(np.int64))], names=["id", column.split()[0], "n"])
+
+    return chunks.select("id", lexemes(F.col("text")).alias("lexemes")).mapInArrow(run, f"id {kind}, {column}, n long")
+
+
+class Asked:
+    """A bounded set of questions by their lexemes: words, and for each the questions that hold it."""
+
+    def __init__(self, rows: list, kind):
+        self.words = sorted({r.lexeme for r in rows})
+        number = {w: i for i, w in enumerate(self.words)}
+        self.qids = pa.array(list(dict.fromkeys(r.qid for r in rows)), kind)
+        place = {q: i for i, q in enumerate(self.qids.to_pylist())}
+        pairs = np.array(sorted({(number[r.lexeme], place[r.qid]) for r in rows}), np.int64).reshape(-1, 2)
+        self.starts, self.questions = np.searchsorted(pairs[:, 0], np.arange(len(self.words) + 1)), pairs[:, 1]
+
+
+class Best:
+    """The k positions of most hits of each question, of positions that come in the order of their ids."""
+
+    def __init__(self, asked: Asked, k: int):
+        self.asked, self.k, self.seen = asked, k, 0
+        self.least = np.zeros(len(asked.qids), np.int64)  # what a later position must have more of
+        self.held: list[tuple] = []
+        self.waiting = 0
+
+    def add(self, ids: pa.Array, word: np.ndarray, n: np.ndarray) -> None:
+        """Rows of positions that are complete, those of one position together."""
+        if not len(ids):
+            return
+        code = ids.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        fan = self.asked.starts[word + 1] - self.asked.starts[word]
+        sizes = np.cumsum(np.add.reduceat(fan, first))
+        begin = 0
+        while begin < len(first):
+            end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + PAIRS, "right")))
+            self._count(ids, first, begin, end, word, n, fan)
+            begin = end
+
+    def _count(self, ids, first, begin, end, word, n, fan) -> None:
+        rows = slice(first[begin], first[end] if end < len(first) else len(word))
+        few, word, n = fan[rows], word[rows], n[rows]
+        of = np.repeat(np.arange(end - begin), np.diff(np.append(first[begin:end], rows.stop)))
+        each = np.repeat(np.arange(len(word)), few)
+        question = self.asked.questions[self.asked.starts[word][each] + np.arange(len(each)) - np.repeat(np.cumsum(few) - few, few)]
+        key, at = np.unique(of[each] * len(self.least) + question, return_inverse=True)
+        hits = np.bincount(at, n[each]).astype(np.int64)
+        of, question = np.divmod(key, max(len(self.least), 1))
+        good = hits > self.least[question]
+        of, question, hits = of[good], question[good], hits[good]
+        self.held.append((question, hits, self.seen + of, ids.take(pa.array(first[begin:end][of]))))
+        self.seen += end - begin
+        self.waiting += len(of)
+        if self.waiting > WAITING + self.k * len(self.least):
+            self.prune()
+
+    def prune(self) -> tuple:
+        """The best so far: question, hits, place, ids."""
+        if self.held:
+            question, hits, place = (np.concatenate([h[i] for h in self.held]) for i in range(3))
+            order = np.lexsort((place, -hits, question))
+            starts = np.searchsorted(question[order], np.arange(len(self.least)))
+            rank = np.arange(len(order)) - starts[question[order]]
+            last = order[rank == self.k - 1]
+            self.least[question[last]] = hits[last]
+            order = order[rank < self.k]
+            self.held = [(question[order], hits[order], place[order], pa.concat_arrays([h[3] for h in self.held]).take(pa.array(order)))]
+            self.waiting = 0
+        return self.held[0] if self.held else None
+
+
+def top(held: DataFrame, asked: Asked, kinds: tuple[str, str], k: int) -> DataFrame:
+    """qid, id, hits, rank. held: id, word (number in asked.words), n; kinds: types of qid and id.
+
+    A position's rows meet in one task, which goes through them in the order of ids and
+    keeps the k best of each question: neither memory nor what is shuffled grows with
+    positions times questions."""
+    shared = held.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rest = Best(shared.value, k), None
+        for batch in batches:
+            batch = batch if rest is None else pa.concat_batches([rest, batch])
+            code = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            cut = int(np.flatnonzero(code != code[-1])[-1] + 1) if len(code) and code[0] != code[-1] else 0  # the last position may go on
+            done, rest = batch.slice(0, cut), batch.slice(cut)
+            found.add(done.column(0), done.column(1).to_numpy(), done.column(2).to_numpy())
+        if rest is not None:
+            found.add(rest.column(0), rest.column(1).to_numpy(), rest.column(2).to_numpy())
+        kept = found.prune()
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([shared.value.qids.take(pa.array(kept[0])), kept[3], pa.array(kept[1])], names=["qid", "id", "hits"])
+
+    dealt = held.repartition("id").sortWithinPartitions("id")
+    return best(dealt.mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, hits long"), "qid", [F.desc("hits"), F.col("id")], k)
+
+
+def bounded(wanted: DataFrame) -> Asked | None:
+    """The questions of wanted (qid, lexeme), if they hold at most MOST_ASKED lexemes."""
+    rows = wanted.select("qid", "lexeme").limit(MOST_ASKED + 1).collect()
+    return Asked(rows, arrow(wanted.schema["qid"].dataType.simpleString())) if len(rows) <= MOST_ASKED else None
 
 
 def sparse(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
@@ -100,10 +239,11 @@ def sparse(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
     (but stop words), most first, then id. chunks: id, text; questions: qid,
     question. Only positions that some question asks for are counted and shuffled."""
     wanted = questions.select("qid", F.explode(asked(F.col("question"))).alias("lexeme"))
-    few = wanted.limit(MOST_ASKED + 1).count() <= MOST_ASKED
-    words = F.broadcast(wanted.select("lexeme").distinct()) if few else wanted.select("lexeme").distinct()
-    posted = chunks.select("id", F.explode(lexemes(F.col("text"))).alias("lexeme")).join(words, "lexeme").groupBy("lexeme", "id").agg(F.count("*").alias("n"))
-    hits = posted.join(F.broadcast(wanted) if few else wanted, "lexeme").groupBy("qid", "id").agg(F.sum("n").alias("hits"))
+    few = bounded(wanted)
+    if few is not None:
+        return top(counted(chunks, few.words), few, (wanted.schema["qid"].dataType.simpleString(), chunks.schema["id"].dataType.simpleString()), k)
+    posted = chunks.select("id", F.explode(lexemes(F.col("text"))).alias("lexeme")).join(wanted.select("lexeme").distinct(), "lexeme").groupBy("lexeme", "id").agg(F.count("*").alias("n"))
+    hits = posted.join(wanted, "lexeme").groupBy("qid", "id").agg(F.sum("n").alias("hits"))
     return best(hits, "qid", [F.desc("hits"), F.col("id")], k)
 
 
