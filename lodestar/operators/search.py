@@ -101,38 +101,58 @@ def dense(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
 MOST_ASKED = 200_000
 #: Pairs of a position and a question that are counted together, and that wait to be ranked.
 PAIRS, WAITING = 2_000_000, 500_000
-#: Changed lexemes that a task remembers.
-REMEMBERED = 500_000
+#: Changed lexemes that a task remembers, and bytes of texts that are counted together.
+REMEMBERED, STEP = 500_000, 16_000_000
 
 
-def counted(chunks: DataFrame, known: list[str] | None = None, change: Callable[[str], str] | None = None) -> DataFrame:
-    """id, lexeme, n: the lexemes of each row's text (changed by `change`) and how often it holds
-    them. With `known`, only those, as their numbers: id, word, n. chunks: id, text.
+def tokens(lowered: pa.Array) -> pa.ListArray:
+    """The lexemes of lower-case texts, as functions.text.lexemes finds them, with empty ones where a text begins or ends in other letters."""
+    return pc.split_pattern_regex(lowered.cast(pa.string()), r"[^\p{L}\p{N}]+")
 
-    A row's text is counted where it is read, so that occurrences are not shuffled."""
-    kind = chunks.schema["id"].dataType.simpleString()
-    column = "word int" if known is not None else "lexeme string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if known is None else pa.array(known, pa.string())
-        changed_ = functools.lru_cache(REMEMBERED)(change) if change is not None else None
-        for batch in batches:
-            lists = batch.column(1)
+def parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of a column of texts."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def tallied(batches: Iterator[pa.RecordBatch], known: list[str] | None = None, change: Callable[[str], str] | None = None) -> Iterator[tuple]:
+    """ids, words, and in the order of words: which word, in which row, how often. batches: id, lower-case text.
+    With `known` only those words; `change` is what becomes of a word."""
+    wanted = None if known is None else pa.array(known, pa.string())
+    changed = functools.lru_cache(REMEMBERED)(change) if change is not None else None
+    for whole in batches:
+        for batch in parts(whole, 1, STEP):
+            lists = tokens(batch.column(1))
             flat = lists.flatten().dictionary_encode()
-            words, code = flat.dictionary.cast(pa.string()), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            if changed_ is not None:
-                changed = pa.array([changed_(x) for x in words.to_pylist()], pa.string()).dictionary_encode()
-                words, code = changed.dictionary, changed.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
+            words, code = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            if changed is not None:
+                again = pa.array([changed(x) for x in words.to_pylist()], pa.string()).dictionary_encode()
+                words, code = again.dictionary, again.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
             if wanted is not None:
                 code = pc.fill_null(pc.index_in(words, value_set=wanted), -1).to_numpy(zero_copy_only=False).astype(np.int64)[code]
-                rows, code, words = rows[code >= 0], code[code >= 0], wanted
-            found, n = np.unique(rows * max(len(words), 1) + code, return_counts=True)
-            which = found % max(len(words), 1)
-            of = batch.column(0).take(pa.array(found // max(len(words), 1)))
-            yield pa.RecordBatch.from_arrays([of, pa.array(which.astype(np.int32)) if known is not None else words.take(pa.array(which)), pa.array(n.astype(np.int64))], names=["id", column.split()[0], "n"])
+                words, kept = wanted, code >= 0
+            else:
+                kept = pc.not_equal(words, "").to_numpy(zero_copy_only=False)[code]
+            found, n = np.unique(code[kept] * len(lists) + rows[kept], return_counts=True)
+            yield batch.column(0), words, found // len(lists), found % len(lists), n.astype(np.int64)
+
+
+def counted(chunks: DataFrame, known: list[str]) -> DataFrame:
+    """id, word (number in known), n: the known lexemes of each row's text and how often it holds
+    them, counted where the text is read, so that occurrences are not shuffled. chunks: id, text."""
+    kind = chunks.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, word, row, n in tallied(batches, known):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(word.astype(np.int32)), pa.array(n)], names=["id", "word", "n"])
 
-    return chunks.select("id", lexemes(F.col("text")).alias("lexemes")).mapInArrow(run, f"id {kind}, {column}, n long")
+    return chunks.select("id", F.lower("text").alias("text")).mapInArrow(run, f"id {kind}, word int, n long")
 
 
 class Asked:
