@@ -15,12 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import lexemes
+from lodestar.functions.text import split_lexemes
 
 PLACES = 256
 
 
 def place(lexeme: str, places: int) -> tuple[int, int]:
+    if not lexeme:
+        return 0, 0  # between marks there is none
     digest = hashlib.md5(lexeme.encode()).hexdigest()
     return int(digest[:8], 16) % places, -1 if digest[8] >= "8" else 1
 
@@ -41,8 +43,8 @@ def embedded(text: Column, places: int = PLACES) -> Column:
     """The text's vector, an array of double; of a null text the zero vector."""
 
     @F.arrow_udf("array<double>")
-    def run(words: pa.Array) -> pa.Array:
-        made = hashed(words, places)
+    def run(lowered: pa.Array) -> pa.Array:
+        made = hashed(split_lexemes(lowered), places)
         return pa.ListArray.from_arrays(np.arange(0, made.size + 1, places, dtype=np.int32), made.ravel())
 
-    return run(lexemes(F.coalesce(text, F.lit(""))))
+    return run(F.lower(F.coalesce(text, F.lit(""))))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +53,11 @@ def lexemes(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def split_lexemes(lowered: pa.Array) -> pa.ListArray:
+    """In a task: the lexemes of lower-case texts, with empty ones where a text begins or ends in other letters."""
+    return pc.split_pattern_regex(lowered.cast(pa.string()), r"[^\p{L}\p{N}]+")
+
+
 def asked(question: Column) -> Column:
     """The distinct lexemes that a question searches for: none, if it holds stop words only."""
     return F.array_except(lexemes(question), F.array(*map(F.lit, STOP_WORDS)))
@@ -58,8 +67,17 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: Lower-case texts of which each marked instruction holds one, looked for first.
+HINTS = ("ignore ", "disregard ", "you are now ", "system", "new instruction", "reveal ", "forget ", "end of ")
+
+
+def holds(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether the text, in lower case, holds any of the words."""
+    return functools.reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(w)) for w in words))
+
+
 def injected(text: Column) -> Column:
-    return F.coalesce(text.rlike(INJECTION), F.lit(False))
+    return F.coalesce(holds(text, HINTS) & text.rlike(INJECTION), F.lit(False))
 
 
 #: Words of which several together make a text suspect.
@@ -70,7 +88,8 @@ def injection_score(text: Column) -> Column:
     """From 0 to 1: a fifth for each suspect word that the text holds; 1 where a phrase
     marks an injected instruction."""
     held = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\b(?:" + "|".join(SUSPECT) + r")\b"), F.lit(0)))
-    return F.when(injected(text), 1.0).otherwise(F.round(F.least(F.lit(1.0), F.coalesce(F.size(held), F.lit(0)) * 0.2), 6))
+    counted = F.round(F.least(F.lit(1.0), F.coalesce(F.size(held), F.lit(0)) * 0.2), 6)
+    return F.when(injected(text), 1.0).when(holds(text, SUSPECT), counted).otherwise(0.0)
 
 
 def action(hit: Column, score: Column) -> Column:

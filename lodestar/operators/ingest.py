@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,10 +48,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?:^\W+)?\w+\W*|^\W+$"), F.lit(0))
 
 
+def n_tokens(text: Column) -> Column:
+    """How many tokens the text has."""
+
+    @F.arrow_udf("int")
+    def run(texts: pa.Array) -> pa.Array:
+        words = pc.count_substring_regex(texts.cast(pa.string()), r"\w+").cast(pa.int32())
+        least = pc.min_element_wise(pc.binary_length(texts), 1, skip_nulls=False).cast(pa.int32())
+        return pc.max_element_wise(words, least, skip_nulls=False)
+
+    return run(text)
+
+
 def sections(docs: DataFrame) -> DataFrame:
     """doc_id, section, level, title, body: the text before the first heading (level
     0; left out if blank) and what follows each heading."""
-    split = F.struct(F.regexp_extract_all("text", F.lit(HEADING), F.lit(1)).alias("marks"), F.regexp_extract_all("text", F.lit(HEADING), F.lit(2)).alias("titles"), F.split("text", HEADING, -1).alias("bodies"))
+    may, none = F.contains("text", F.lit("#")), F.array().cast("array<string>")
+    marks, titles = (F.when(may, F.regexp_extract_all("text", F.lit(HEADING), F.lit(i))).otherwise(none) for i in (1, 2))
+    split = F.struct(marks.alias("marks"), titles.alias("titles"), F.when(may, F.split("text", HEADING, -1)).otherwise(F.array("text")).alias("bodies"))
     each = docs.select("doc_id", split.alias("s")).select("doc_id", "s.marks", "s.titles", F.posexplode("s.bodies").alias("section", "body"))
     level = F.coalesce(F.length(F.get("marks", F.col("section") - 1)), F.lit(0))
     made = each.select("doc_id", "section", level.alias("level"), F.trim(F.get("titles", F.col("section") - 1)).alias("title"), "body")
@@ -70,7 +85,7 @@ def heading_paths(headed: DataFrame) -> DataFrame:
 
 def paragraphs(body: Column) -> Column:
     """What blank lines part, without the white space around it."""
-    bare = F.transform(F.split(body, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    bare = F.transform(F.split(body, r"\n\s*\n"), lambda p: F.btrim(p, F.lit(" \t\n\x0b\f\r")))
     return F.filter(bare, lambda p: p != "")
 
 
@@ -96,7 +111,10 @@ def chunked(docs: DataFrame, most: int = 400) -> DataFrame:
 
     Paragraphs become rows, and a stream over a document's rows numbers the chunks."""
     each = heading_paths(sections(docs)).select("doc_id", "section", "heading_path", F.posexplode(paragraphs(F.col("body"))).alias("place", "paragraph"))
-    cut = each.select("doc_id", "section", "heading_path", "place", F.posexplode(pieces(F.col("paragraph"), most)).alias("piece", "p"), (F.size(tokens(F.col("paragraph"))) > most).alias("alone"))
+    sized = each.withColumn("n", n_tokens(F.col("paragraph")))
+    whole = F.array(F.struct("n", F.col("paragraph").alias("text")))  # only a paragraph of more tokens is cut into them
+    windows = F.when(F.col("n") > most, pieces(F.col("paragraph"), most)).otherwise(whole)
+    cut = sized.select("doc_id", "section", "heading_path", "place", F.posexplode(windows).alias("piece", "p"), (F.col("n") > most).alias("alone"))
     rows = cut.select("doc_id", "section", "place", "piece", "heading_path", "alone", F.col("p.n").alias("n"), F.col("p.text").alias("text"))
 
     def step(state: tuple, row: dict) -> tuple[tuple, tuple]:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import asked, lexemes
+from lodestar.functions.text import asked, lexemes, split_lexemes
 
 POOL, RRF_K, DIGITS = 50, 60, 12
 
@@ -65,6 +65,43 @@ def _blocks(rows: DataFrame, size: int, key: str, vector: str) -> DataFrame:
     return plain.mapInArrow(run, f"n int, dim int, ids array<{kind}>, raw binary")
 
 
+def _away(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    sizes = np.outer(np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1)))
+    return np.round(1 - np.where(sizes == 0, 0.0, q @ x.T / np.where(sizes == 0, 1, sizes)), DIGITS) + 0.0
+
+
+def _nearest(chunks: DataFrame, blocks: list, k: int, types: list, kinds: list[str]) -> DataFrame:
+    """qid, id, distance: of each task's chunks those that may be among the k nearest of a question. blocks:
+    a bounded number, of which every task has a copy; the distance of the k-th so far rules most chunks out."""
+    made = [(b.qdim, pa.array(b.qids, types[1]), np.frombuffer(b.qraw).reshape(b.qn, b.qdim)) for b in blocks]
+    shared = chunks.sparkSession.sparkContext.broadcast(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.full((len(q), k), np.inf) for _, _, q in shared.value]
+        for whole in batches:
+            dims = pc.list_value_length(whole.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims):
+                same = whole if (dims == dim).all() else whole.filter(pa.array(dims == dim))
+                for start in range(0, len(same), CHUNKS):
+                    part = same.slice(start, CHUNKS)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(part), dim)
+                    for i, (qdim, qids, q) in enumerate(shared.value):
+                        if qdim == dim:
+                            away = _away(q, x)
+                            order = np.where(np.isnan(away), np.inf, away)
+                            kept[i] = np.sort(np.hstack([kept[i], np.partition(order, k - 1, axis=1)[:, :k] if len(part) > k else order]), axis=1)[:, :k]
+                            of, at = np.nonzero(order <= kept[i][:, -1:])
+                            ids = part.column(0)
+                            named = pc.rank(ids.take(pa.array(at)), tiebreaker="first").to_numpy(zero_copy_only=False)
+                            placed = np.lexsort((named, order[of, at], of))
+                            rank = np.arange(len(of)) - np.searchsorted(of, of)
+                            of, at = of[placed][rank < k], at[placed][rank < k]
+                            yield pa.RecordBatch.from_arrays([qids.take(pa.array(of)), ids.take(pa.array(at)), pa.array(away[of, at])], names=["qid", "id", "distance"])
+
+    plain = chunks.filter(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return plain.mapInArrow(run, f"qid {kinds[1]}, id {kinds[0]}, distance double")
+
+
 def dense(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
     """qid, id, distance, rank: cosine distance, nearest first, then id. chunks:
     id, embedding; questions: qid, vector. Vectors of another length are no neighbours.
@@ -76,8 +113,10 @@ def dense(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
     types = [arrow(x) for x in kinds]
     asked = _blocks(questions.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)), QUESTIONS, "qid", "vector")
     asked = asked.select(F.col("n").alias("qn"), F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("raw").alias("qraw"))
-    few = asked.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS
-    pairs = _blocks(chunks, CHUNKS, "id", "embedding").join(F.broadcast(asked) if few else asked, F.col("dim") == F.col("qdim"))
+    few = asked.limit(MOST_BLOCKS + 1).collect()
+    if len(few) <= MOST_BLOCKS:
+        return best(_nearest(chunks, few, k, types, kinds), "qid", [F.col("distance"), F.col("id")], k)
+    pairs = _blocks(chunks, CHUNKS, "id", "embedding").join(asked, F.col("dim") == F.col("qdim"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,8 +125,7 @@ def dense(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
                 x = np.frombuffer(batch.column("raw")[i].as_buffer()).reshape(n, dim)
                 q = np.frombuffer(batch.column("qraw")[i].as_buffer()).reshape(qn, dim)
                 ids, qids = batch.column("ids")[i].values, batch.column("qids")[i].values
-                sizes = np.outer(np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1)))
-                away = np.round(1 - np.where(sizes == 0, 0.0, q @ x.T / np.where(sizes == 0, 1, sizes)), DIGITS) + 0.0
+                away = _away(q, x)
                 place = np.argsort(pc.rank(ids, tiebreaker="first").to_numpy(zero_copy_only=False))  # ids in order, so that a stable sort breaks ties
                 best_ = place[np.argsort(away[:, place], axis=1, kind="stable")[:, :k]]
                 rows = np.repeat(np.arange(qn), best_.shape[1])
@@ -105,11 +143,6 @@ PAIRS, WAITING = 2_000_000, 500_000
 REMEMBERED, STEP = 500_000, 16_000_000
 
 
-def tokens(lowered: pa.Array) -> pa.ListArray:
-    """The lexemes of lower-case texts, as functions.text.lexemes finds them, with empty ones where a text begins or ends in other letters."""
-    return pc.split_pattern_regex(lowered.cast(pa.string()), r"[^\p{L}\p{N}]+")
-
-
 def parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of a column of texts."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -127,7 +160,7 @@ def tallied(batches: Iterator[pa.RecordBatch], known: list[str] | None = None, c
     changed = functools.lru_cache(REMEMBERED)(change) if change is not None else None
     for whole in batches:
         for batch in parts(whole, 1, STEP):
-            lists = tokens(batch.column(1))
+            lists = split_lexemes(batch.column(1))
             flat = lists.flatten().dictionary_encode()
             words, code = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
