@@ -1,7 +1,7 @@
 """Server-sent events out of fragments that a network cut anywhere.
 
-A fragment is told apart into lines by itself; only numbers and its last character
-pass to its neighbours. Lines that several fragments share come together by their
+Fragments of a short range are joined, and the piece is told apart into lines by itself;
+only numbers and its last character pass to its neighbours. Lines that several pieces share come together by their
 number, and events by the number of blank lines before them, counted in ranges of
 lines, so that a long stream is no single task's.
 """
@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.sources.store import written
+
 #: Characters of an event's data, or of a line, that are too many; a stream ends there.
 MOST = 1_000_000
+#: Neighbouring fragments that are joined before lines are looked for.
+JOINED = 256
 #: Lines whose blank ones are counted together.
 RANGE = 4096
 
@@ -25,7 +29,9 @@ def parsed(fragments: DataFrame, most: int = MOST) -> DataFrame:
     CR, LF or both end a line, also where a cut parts them; lines that open with a colon are
     comments; an event without data is none, but ends the name given before it; what no
     blank line ends is not finished, nor is a line that ends in the stream's last CR."""
-    pieces = fragments.filter(F.length("text") > 0)
+    told = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    near = fragments.filter(F.length("text") > 0).groupBy("stream", F.floor(F.col("seq") / JOINED).alias("seq")).agg(told.alias("told"))
+    pieces = written(near.select("stream", "seq", F.array_join(F.transform("told", lambda x: x.text), "").alias("text")), "pieces")
     small = pieces.select("stream", "seq", F.expr("right(text, 1)").alias("last"))
     ordered = Window.partitionBy("stream").orderBy("seq")
     around = small.select("stream", "seq", F.lag("last").over(ordered).alias("before"), F.lead("last").over(ordered).isNull().alias("final"))
@@ -41,7 +47,7 @@ def parsed(fragments: DataFrame, most: int = MOST) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda x: x.part), "")
     lines = each.groupBy("stream", "line_no").agg(text.alias("line")).join(total, "stream").filter("line_no < total").drop("total")
     # events by blank lines before: those of earlier ranges, and those of the same range
-    lines = lines.withColumn("range", F.floor(F.col("line_no") / RANGE)).withColumn("blank", (F.col("line") == "").cast("long"))
+    lines = written(lines.withColumn("range", F.floor(F.col("line_no") / RANGE)).withColumn("blank", (F.col("line") == "").cast("long")), "lines")
     blanks = lines.groupBy("stream", "range").agg(F.sum("blank").alias("blanks"))
     earlier = blanks.select("stream", "range", (F.sum("blanks").over(Window.partitionBy("stream").orderBy("range")) - F.col("blanks")).alias("earlier"))
     finished = blanks.groupBy("stream").agg(F.sum("blanks").alias("finished"))
@@ -57,8 +63,8 @@ def parsed(fragments: DataFrame, most: int = MOST) -> DataFrame:
     )
     error = F.coalesce(F.col("huge"), F.when(F.col("size") > most, F.lit("event too large")))
     judged = made.join(finished, "stream").withColumn("error", error)
-    end = judged.groupBy("stream").agg(F.min(F.when(F.col("error").isNotNull(), F.col("block"))).alias("end"))
-    kept = judged.join(end, "stream").filter("(block < finished OR error IS NOT NULL) AND (end IS NULL OR block <= end) AND (size(data) > 0 OR error IS NOT NULL)")
+    end = F.min(F.when(F.col("error").isNotNull(), F.col("block"))).over(Window.partitionBy("stream"))
+    kept = judged.withColumn("end", end).filter("(block < finished OR error IS NOT NULL) AND (end IS NULL OR block <= end) AND (size(data) > 0 OR error IS NOT NULL)")
     name = F.when(F.coalesce(F.length("name"), F.lit(0)) == 0, "message").otherwise(F.col("name"))
     place = F.row_number().over(Window.partitionBy("stream").orderBy("block"))
     good = F.col("error").isNull()

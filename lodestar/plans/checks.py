@@ -105,8 +105,8 @@ def sent_fragments(spark: SparkSession, d: str) -> DataFrame:
     frame = F.concat(F.lit(": "), F.col("event_id").cast("string"), F.lit("\r\nevent: "), "event_type", F.lit("\rdata: "), F.coalesce("props", F.lit("")), F.lit("\r\n\r\n"))
     whole = events(spark, d).groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", frame.alias("frame")))), lambda x: x.frame), "").alias("text"))
     size = F.lit(7) + (F.col("user_id") % 7).cast("int")
-    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int"))
-    fragments = whole.select(F.col("user_id").alias("stream"), F.posexplode(F.transform(starts, lambda i: F.substring("text", i * size + 1, size))).alias("seq", "text"))
+    cut = F.regexp_extract_all("text", F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}")), F.lit(0))  # in one pass
+    fragments = whole.select(F.col("user_id").alias("stream"), F.posexplode(cut).alias("seq", "text"))
     return sent.parsed(fragments).select("stream", F.col("n").cast("long").alias("n"), "event", "data")
 
 
