@@ -73,7 +73,8 @@ HINTS = ("ignore ", "disregard ", "you are now ", "system", "new instruction", "
 
 def holds(text: Column, words: tuple[str, ...]) -> Column:
     """Whether the text, in lower case, holds any of the words."""
-    return functools.reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(w)) for w in words))
+    any_of = lambda low: functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+    return F.element_at(F.transform(F.array(F.lower(text)), any_of), 1)  # in lower case once
 
 
 def injected(text: Column) -> Column:
@@ -92,9 +93,13 @@ def injection_score(text: Column) -> Column:
     return F.when(injected(text), 1.0).when(holds(text, SUSPECT), counted).otherwise(0.0)
 
 
+#: Score from which the firewall flags a text; below, and so without a marked instruction, it allows it.
+FLAGGED = 0.60
+
+
 def action(hit: Column, score: Column) -> Column:
     """block, flag or allow: what the firewall does."""
-    return F.when(hit | (score >= 0.95), "block").when(score >= 0.60, "flag").otherwise("allow")
+    return F.when(hit | (score >= 0.95), "block").when(score >= FLAGGED, "flag").otherwise("allow")
 
 
 def citations(answer: Column) -> Column:

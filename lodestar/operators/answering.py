@@ -34,7 +34,7 @@ def chunk_store(docs: DataFrame, most_tokens: int = 400) -> DataFrame:
     """id, document_id, heading_path, chunk_index, text, embedding of the chunks of all
     documents (doc_id, text) that the firewall allows, one for each content."""
     hashed = docs.withColumn("__hash", t.content_hash(F.col("text")))
-    fit = hashed.filter((ingest.bounds(F.col("text"), 2**31 - 1) == "accepted") & (t.action(t.injected(F.col("text")), t.injection_score(F.col("text"))) == "allow"))
+    fit = hashed.filter((ingest.bounds(F.col("text"), 2**31 - 1) == "accepted") & (t.injection_score(F.col("text")) < t.FLAGGED))
     first = fit.groupBy("__hash").agg(F.min("doc_id").alias("doc_id"))  # judged once: what has the hash is fit too
     chunks = ingest.chunked(hashed.join(first, ["__hash", "doc_id"]).select("doc_id", "text"), most_tokens)
     number = F.col("doc_id") * 1_000_000 + F.col("chunk_index")

@@ -73,7 +73,11 @@ def _away(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _nearest(chunks: DataFrame, blocks: list, k: int, types: list, kinds: list[str]) -> DataFrame:
     """qid, id, distance: of each task's chunks those that may be among the k nearest of a question. blocks:
     a bounded number, of which every task has a copy; the distance of the k-th so far rules most chunks out."""
-    made = [(b.qdim, pa.array(b.qids, types[1]), np.frombuffer(b.qraw).reshape(b.qn, b.qdim)) for b in blocks]
+    made = []
+    for dim in sorted({b.qdim for b in blocks}):
+        same = [b for b in blocks if b.qdim == dim]
+        qids, q = pa.array([x for b in same for x in b.qids], types[1]), np.concatenate([np.frombuffer(b.qraw).reshape(b.qn, dim) for b in same])
+        made += [(dim, qids.slice(i, QUESTIONS), q[i : i + QUESTIONS]) for i in range(0, len(q), QUESTIONS)]
     shared = chunks.sparkSession.sparkContext.broadcast(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,11 +115,15 @@ def dense(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
     spark = chunks.sparkSession
     kinds = [chunks.schema["id"].dataType.simpleString(), questions.schema["qid"].dataType.simpleString()]
     types = [arrow(x) for x in kinds]
-    asked = _blocks(questions.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)), QUESTIONS, "qid", "vector")
-    asked = asked.select(F.col("n").alias("qn"), F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("raw").alias("qraw"))
-    few = asked.limit(MOST_BLOCKS + 1).collect()
+
+    def blocks(parts: int) -> DataFrame:
+        made = _blocks(questions.repartition(parts), QUESTIONS, "qid", "vector")
+        return made.select(F.col("n").alias("qn"), F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("raw").alias("qraw"))
+
+    few = blocks(MOST_BLOCKS // 2).limit(MOST_BLOCKS + 1).collect()
     if len(few) <= MOST_BLOCKS:
         return best(_nearest(chunks, few, k, types, kinds), "qid", [F.col("distance"), F.col("id")], k)
+    asked = blocks(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     pairs = _blocks(chunks, CHUNKS, "id", "embedding").join(asked, F.col("dim") == F.col("qdim"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
