@@ -120,7 +120,7 @@ def dense(chunks: DataFrame, questions: DataFrame, k: int = POOL) -> DataFrame:
         made = _blocks(questions.repartition(parts), QUESTIONS, "qid", "vector")
         return made.select(F.col("n").alias("qn"), F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("raw").alias("qraw"))
 
-    few = blocks(MOST_BLOCKS // 2).limit(MOST_BLOCKS + 1).collect()
+    few = blocks(max(1, MOST_BLOCKS // 2)).limit(MOST_BLOCKS + 1).collect()
     if len(few) <= MOST_BLOCKS:
         return best(_nearest(chunks, few, k, types, kinds), "qid", [F.col("distance"), F.col("id")], k)
     asked = blocks(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
