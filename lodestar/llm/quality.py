@@ -1,335 +1,462 @@
 """Quality classifier: perplexity under a language model of trusted text.
 
-The model is an interpolated modified Kneser-Ney trigram model over words. Its
-counts come from a bounded sample of the documents labelled as good (at most
-`sample` documents, by a hash of the id, from one half of the ids). Counts are
-sharded by the trigram's middle word, where windows join them with their
-contexts' totals and with the lower order; with the words' own counts joined,
-that gives a table of n-gram probabilities and back-off weights. Documents are scored against these tables: broadcast while
-they hold at most BROADCAST_GRAMS rows (the sample bounds them), joined shard by
-shard otherwise; both ways give the same numbers.
-
-A few bad words hardly move the mean that a perplexity is. So the same sampling
-of the documents labelled as bad gives a second model, of words alone, and a
-document's contrast is the greatest log10 ratio of the probability among bad text
-to that among trusted text, of its words that bad text has.
+The model is an interpolated modified Kneser-Ney trigram model over words. The ids
+fall into two halves by a hash. Each half's model counts all documents of the half
+that the labels call good, and scores all documents of the other half, so that no
+document is scored by a model that has seen it, and every trusted document both
+trains a model and sets the limits.
+
+Every word, with the two before it, goes to the shard of the middle one, as packed
+columns. A shard holds all that a word's trigrams, its bigrams and the contexts of both
+add up to, and how many words come before it. First the labelled documents go there
+to be counted: the counts of counts give the discounts, and the words' own counts go
+to the shards, broadcast while there are at most BROADCAST_WORDS, joined to the words
+that each shard asks for otherwise. Then all documents go there, to the shards of one
+turn after the other so that less is on disk at once, and each shard gives its sums of
+the words' log probabilities by document.
+
+A few bad words hardly move the mean that a perplexity is. So all documents labelled
+as bad give a second model, of words alone, by the same halves, and a document's
+contrast is the greatest log10 ratio of the probability among bad text to that among
+trusted text, of its words that bad text has.
 
 A document is kept while its perplexity is at most MARGIN times the `quantile`
-of its language's trusted documents in the other half of the ids, which the
-models have not seen, and while its contrast is at most their `quantile` plus
-APART; languages with fewer than LEAST_TRUSTED of them share the quantiles of all.
+of its language's trusted documents, and while its contrast is at most their
+`quantile` plus APART; languages with fewer than LEAST_TRUSTED of them share the
+quantiles of all.
 
 Defined cases: a null text is empty; a text without words has neither perplexity
 nor contrast (null) and is kept; a null language is a language; labels of absent
 documents, repeated labels and null labels are harmless (a document is trusted if
-any label says so and none says otherwise, bad if any label says so); without
-trusted text every document is kept, with null perplexity; without bad text no
-document has a contrast; repeated rows are scored each; an empty table gives an
+any label says so and none says otherwise, bad if any label says so); a document
+whose other half has no trusted text is kept, with null perplexity; without bad text
+no document has a contrast; repeated rows are scored each; an empty table gives an
 empty table; columns named perplexity, contrast, limit or keep are replaced.
 """
 
 from __future__ import annotations
 
-import gc
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestar.llm.common import forget, groups, is_small, modest_batches, persist, raw_text, slices
+from lodestar.llm.common import forget, is_small, modest_batches, persist, raw_text, release, slices
 from lodestar.llm.lexicon import Lexicon, Table, mixed
 
-SAMPLE = 4_000
-BROADCAST_GRAMS = 12_000_000
-#: Bytes of the model that pass the driver together.
-PIECE = 4_000_000
-BROADCAST_WORDS = 1_000_000
+#: Words' counts that are broadcast, bytes of them that pass the driver together.
+BROADCAST_WORDS, PIECE = 12_000_000, 4_000_000
+#: Labels that are broadcast.
+BROADCAST_LABELS = 1_000_000
+#: Bytes of text for which there is a shard, and shards at least.
+SHARD, LEAST_SHARDS = 36_000_000, 12
+#: Turns in which the shards take all documents; each reads all texts.
+TURNS = 2
 QUANTILE, MARGIN, APART, LEAST_TRUSTED = 0.99, 1.15, 0.3, 30
-START, END = np.uint64(1), np.uint64(2)
-#: Bytes of texts scored together, and words that a task remembers.
-TEXT_STEP, REMEMBERED = 1_000_000, 150_000
-
-
-def grams(lexicon: Lexicon, raws: list[bytes]) -> dict[str, np.ndarray]:
-    """For every word and end of text: the text it is in, and the hashes of the
-    word (w), the word before (v), both (vw), the two before (uv), all three (uvw)."""
-    flat, sizes, _ = lexicon.encode([raw.split() for raw in raws])
-    n = len(raws)
-    ends = np.cumsum(sizes + 3)  # each text stands between two starts and an end
-    h = np.full(int(ends[-1]) if n else 0, START, np.uint64)
-    begins = ends - (sizes + 3)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    h[np.repeat(begins + 2, sizes) + place] = lexicon.hashes[flat]
-    h[ends - 1] = END
-    scored = np.ones(len(h), bool)
-    scored[begins] = scored[begins + 1] = False
-    at = np.flatnonzero(scored)
-    u, v, w = h[at - 2], h[at - 1], h[at]
-    return {"of": np.repeat(np.arange(n), sizes + 1), "w": w, "v": v, "uv": mixed(u, v), "vw": mixed(v, w), "uvw": mixed(u, v, w)}
-
-
-def _trigrams(docs: DataFrame) -> DataFrame:
-    """uvw, uv, vw, v, w, n: the trigrams of each task's texts (column raw)."""
+#: The numbers and hashes of what stands before, at and after the end of a text.
+MARKS = np.array([1, 2, 3], np.uint64)
+START, END, NOTHING = range(3)
+#: Bytes of texts cut together; words and places that a task packs together.
+TEXT_STEP, REMEMBERED, PLACES = 1_000_000, 400_000, 2_500_000
+#: What a text is used for.
+GOOD, BAD, SCORED = 1, 2, 4
+
+
+def packed(**columns: np.ndarray) -> bytes:
+    """Columns of any lengths as one value: the first bytes of all numbers, then the second ones
+    and so on, compressed."""
+    made = {}
+    for name, a in columns.items():
+        planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).ravel() if len(a) else np.zeros(0, np.uint8)
+        made[f"{name}:{a.dtype.str}"] = pa.ListArray.from_arrays(pa.array([0, len(planes)], pa.int32()), pa.array(planes))
+    batch = pa.record_batch(made)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(value: bytes | pa.Buffer) -> dict[str, np.ndarray]:
+    batch = pa.ipc.open_stream(value).read_next_batch()
+    out = {}
+    for i, field in enumerate(batch.schema.names):
+        name, kind = field.split(":")
+        planes = batch.column(i).values.to_numpy()
+        out[name] = np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() if len(planes) else np.zeros(0, kind)
+    return out
+
+
+def values(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
+    """The packed values of a shard, one after the other."""
+    for value in table.column("packed"):
+        yield unpacked(value.as_buffer())
+
+
+def _places(texts: DataFrame, shards: int, turn: int = 0, turns: int = 1) -> DataFrame:
+    """shard, packed, by the shard of the middle word, for each turns-th shard. texts: key, half, use, raw.
+    packed: words (hashes); u, v, w (numbers of words) for every word and end of a text and
+    the two before it, and, with nothing as w, for its end and the one before; size (places
+    of each document), key, half, use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(REMEMBERED)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = docs = 0
+
+        def out() -> pa.RecordBatch:
+            u, v, w, of, key, half, use = map(np.concatenate, zip(*held))
+            held.clear()
+            hashes = np.concatenate([MARKS, lexicon.hashes])
+            shard = (mixed(hashes) % np.uint64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int32)[v]
+            mine = np.flatnonzero(shard % turns == turn)
+            order = mine[np.argsort(shard[mine], kind="stable")]
+            those = np.arange(turn, shards, turns)
+            first, last = (np.searchsorted(shard[order], those, side) for side in ("left", "right"))
+            number = np.empty(len(hashes), np.int32)
+            rows = []
+            for a, b in zip(first, last):
+                at = order[a:b]
+                own = u[at], v[at], w[at]
+                times = sum(np.bincount(x, minlength=len(hashes)) for x in own)
+                words = np.flatnonzero(times)
+                # the frequent ones first, equals by hash: both keep the numbers short
+                words = words[np.lexsort((hashes[words], -times[words]))]
+                number[words] = np.arange(len(words), dtype=np.int32)
+                size = np.bincount(of[at], minlength=docs)
+                doc = np.flatnonzero(size)
+                columns = {c: number[x] for c, x in zip("uvw", own)}
+                rows.append(packed(words=hashes[words], **columns, size=size[doc].astype(np.int32), key=key[doc], half=half[doc], use=use[doc]))
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(those), dtype=np.int32)), pa.array(rows, pa.binary())], names=["shard", "packed"])
+
         for batch in batches:
-            for _, part in slices(batch.column("raw"), TEXT_STEP):
-                lexicon.room()
-                g = grams(lexicon, part)
-                _, first, n = np.unique(g["uvw"], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(g[c][first].view(np.int64)) for c in ("uvw", "uv", "vw", "v", "w")), pa.array(n.astype(np.int64))], names=["uvw", "uv", "vw", "v", "w", "n"])
-
-    return docs.select("raw").mapInArrow(run, "uvw long, uv long, vw long, v long, w long, n long")
-
-
-def _counted(docs: DataFrame) -> DataFrame:
-    """The trigrams of docs (column raw), each once with its count n and what
-    its contexts add up to. All of a middle word's trigrams are in one shard, so
-    this one shuffle serves trigrams, bigrams and the contexts of both:
-    total, c1, c2, c3: trigrams after uv, and how many of them came 1, 2, 3 or more times;
-    n2: words before vw; total2, b1, b2, b3: the same of bigrams after v;
-    first_uv, first_vw, first_v: whether this row stands for that context."""
-    counts = _trigrams(docs).repartition("v").groupBy("v", "w", "uv", "vw", "uvw").agg(F.sum("n").alias("n"))
-    uv, vw, v = (Window.partitionBy(*keys) for keys in (("v", "uv"), ("v", "vw"), ("v",)))
-
-    def classes(n: Column, over: Window, one: Column, names: str) -> dict[str, Column]:
-        return {f"{names}{i}": F.count(F.when(one & c, 1)).over(over) for i, c in ((1, n == 1), (2, n == 2), (3, n >= 3))}
-
-    n = F.col("n")
-    counts = counts.withColumns({"total": F.sum("n").over(uv), **classes(n, uv, F.lit(True), "c"), "first_uv": F.row_number().over(uv.orderBy("uvw")) == 1})
-    counts = counts.withColumns({"n2": F.count("*").over(vw), "first_vw": F.row_number().over(vw.orderBy("uvw")) == 1})
-    return counts.withColumns({"total2": F.count("*").over(v), **classes(F.col("n2"), v, F.col("first_vw"), "b"), "first_v": F.row_number().over(v.orderBy("vw", "uvw")) == 1})
-
-
-def _discounts(n: Column, counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts n of 1, 2, and 3 or more."""
-    r = counts.agg(*(F.count(F.when(n == i, 1)) for i in (1, 2, 3, 4))).first()
-    found = [float(x) for x in r]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "half", "use")]
+            for start, part in slices(batch.column("raw"), TEXT_STEP):
+                if held and (size > PLACES or len(lexicon.numbers) > REMEMBERED):
+                    yield out()
+                    lexicon.room()
+                    size = docs = 0
+                flat, sizes, _ = lexicon.encode([raw.split() for raw in part])
+                ends = np.cumsum(sizes + 4)  # each text stands between two starts, an end and nothing
+                n = np.full(int(ends[-1]), START, np.int32)
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                n[np.repeat(ends - sizes - 2, sizes) + place] = flat + len(MARKS)
+                n[ends - 2], n[ends - 1] = END, NOTHING
+                inner = np.ones(len(n), bool)
+                inner[ends - sizes - 4] = inner[ends - sizes - 3] = False
+                at = np.flatnonzero(inner)
+                held.append((n[at - 2], n[at - 1], n[at], docs + np.repeat(np.arange(len(part), dtype=np.int32), sizes + 2), *(c[start : start + len(part)] for c in columns)))
+                size, docs = size + len(at), docs + len(part)
+        if held:
+            yield out()
+
+    return texts.select("key", "half", "use", "raw").mapInArrow(run, "shard int, packed binary")
+
+
+def _grams(a: dict[str, np.ndarray], use: int, half: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the places of documents with this use: the document's number (of), what w and v are
+    (full, end, first), and the hashes, by the documents' given halves, of u and v (uv), and so on."""
+    of = np.repeat(np.arange(len(a["size"])), a["size"])
+    mine = (a["use"][of] & use) > 0
+    of = of[mine]
+    u, v, w = (a["words"][a[c][mine]] for c in "uvw")
+    h = half[of].astype(np.uint64)
+    return {"of": of, "half": half[of].astype(np.int32), "full": w != MARKS[NOTHING], "end": w == MARKS[END], "first": v == MARKS[START], "v": mixed(h, v), "w": mixed(h, w), "uv": mixed(h, u, v), "vw": mixed(h, v, w), "uvw": mixed(h, u, v, w)}
+
+
+def _all(parts: list[dict[str, np.ndarray]], names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The columns of all parts, which lose them."""
+    kinds = {"half": np.int32, "first": bool}
+    return {c: np.concatenate([np.zeros(0, kinds.get(c, np.uint64)), *(p.pop(c) for p in parts)]) for c in names}
+
+
+def _classes(n: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
+    """How many of each context came 1, 2, 3 or more times."""
+    return np.stack([np.bincount(of, c, rows) for c in (n == 1, n == 2, n >= 3)])
+
+
+def _full(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The places that a trigram ends at."""
+    return {c: g[c][g["full"]] for c in ("uvw", "uv", "vw", "v", "half")}
+
+
+class Shard:
+    """What the trusted texts' places of one shard add up to, each distinct gram once:
+    n of uvw; total, c (1, 2, 3 or more) of the context uv; n2 (words before) of vw; total2, b of the context v."""
+
+    def __init__(self, parts: list[dict[str, np.ndarray]]):
+        g = _all(parts, ("uvw", "uv", "vw", "v", "half"))
+        self.uvw, at, self.n = np.unique(g["uvw"], return_index=True, return_counts=True)
+        uv, vw, v, self.half = (g[c][at] for c in ("uv", "vw", "v", "half"))
+        self.uv, self.uv_of = np.unique(uv, return_inverse=True)
+        self.total, self.c = np.bincount(self.uv_of, self.n, len(self.uv)), _classes(self.n, self.uv_of, len(self.uv))
+        self.uv_half = np.zeros(len(self.uv), np.int32)
+        self.uv_half[self.uv_of] = self.half
+        self.vw, at, self.n2 = np.unique(vw, return_index=True, return_counts=True)
+        self.half2 = self.half[at]
+        self.v, self.v_of = np.unique(v[at], return_inverse=True)
+        self.total2, self.b = np.bincount(self.v_of, self.n2, len(self.v)), _classes(self.n2, self.v_of, len(self.v))
+        self.v_half = np.zeros(len(self.v), np.int32)
+        self.v_half[self.v_of] = self.half2
+
+    def counts_of_counts(self) -> np.ndarray:
+        """half, order (trigrams, bigrams), count (1 to 4)."""
+        return np.array([[[((n == i) & (half == h)).sum() for i in (1, 2, 3, 4)] for n, half in ((self.n, self.half), (self.n2, self.half2))] for h in (0, 1)])
+
+    def prepare(self, d3: np.ndarray, d2: np.ndarray) -> None:
+        """Of discounts by half: the tables that places are looked up in, with a last row for what is not there."""
+        own = lambda n, of, total, d, half: np.append((n - d[half, np.minimum(n, 3) - 1]) / total[of], 0.0)
+        rest = lambda classes, total, d, half: np.append((d[half].T * classes).sum(axis=0) / total, 1.0)
+        self.tables = {
+            "uvw": (Table(self.uvw), own(self.n, self.uv_of, self.total, d3, self.half)),
+            "uv": (Table(self.uv), rest(self.c, self.total, d3, self.uv_half)),
+            "vw": (Table(self.vw), own(self.n2, self.v_of, self.total2, d2, self.half2)),
+            "v": (Table(self.v), rest(self.b, self.total2, d2, self.v_half)),
+        }
+
+    def probabilities(self, g: dict[str, np.ndarray], p1: np.ndarray) -> np.ndarray:
+        uvw, uv, vw, v = (values[table.find(g[c])] for c, (table, values) in self.tables.items())
+        return uvw + uv * (vw + v * p1)
+
+
+def _distinct(parts: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their halves, and how many words come before each."""
+    g = _all(parts, ("uv", "v", "half", "first"))
+    _, at = np.unique(g["uv"], return_index=True)
+    at = at[~g["first"][at]]
+    words, first, n = np.unique(g["v"][at], return_index=True, return_counts=True)
+    return words, g["half"][at][first], n
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Of one shard: gram, half, n1, bad: the words and how many trusted and bad words
+    come before them. The counts of counts are rows of no half (2)."""
+    full, good, bad = [], [], []
+    before = ("uv", "v", "half", "first")
+    for a in values(table):
+        g = _grams(a, GOOD, a["half"])
+        full.append(_full(g))
+        good.append({c: g[c] for c in before})
+        g = _grams(a, BAD, a["half"])
+        bad.append({c: g[c] for c in before})
+    (w, wh, n1), (z, zh, n0) = _distinct(good), _distinct(bad)
+    told = Shard(full).counts_of_counts().ravel()
+    none = lambda n: np.zeros(n, np.int64)
+    return pa.table({
+        "gram": np.concatenate([w, z, np.arange(len(told), dtype=np.uint64)]).view(np.int64),
+        "half": np.concatenate([wh, zh, np.full(len(told), 2)]).astype(np.int32),
+        "n1": np.concatenate([n1, none(len(z)), told]),
+        "bad": np.concatenate([none(len(w)), n0, none(len(told))]),
+    })
+
+
+def _discounts(found: list[int]) -> list[float]:
+    """Modified Kneser-Ney discounts for counts of 1, 2, and 3 or more; found: how many counts are 1, 2, 3, 4."""
     if not all(found):
         return [0.5, 0.75, 0.9]
     y = found[0] / (found[0] + 2 * found[1])
     return [min(max(i + 1 - (i + 2) * y * found[i + 1] / found[i], 0.0), i + 1.0) for i in range(3)]
 
 
-def _cut(n: Column, d: list[float]) -> Column:
-    return n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+@dataclass
+class Unigrams:
+    """By half: discounts of words' counts, their sum, what is left for each other word, and whether there are words."""
 
+    d: np.ndarray
+    total: np.ndarray
+    even: np.ndarray
+    some: np.ndarray
 
-def _words(one: DataFrame) -> tuple[DataFrame, float] | None:
-    """w, p1: probabilities of words by how many words they follow (n1), and
-    what is left for each other word. one: w, n1."""
-    n1 = F.col("n1")
-    d1 = _discounts(n1, one)
-    s = one.agg(F.sum("n1"), F.count("*"), *(F.count(F.when(c, 1)) for c in (n1 == 1, n1 == 2, n1 >= 3))).first()
-    if not s[1]:
-        return None
-    even = sum(d * k for d, k in zip(d1, s[2:])) / s[0] / (s[1] + 1)
-    return one.select("w", (_cut(n1, d1) / F.lit(float(s[0])) + even).alias("p1")), even
+    @staticmethod
+    def of(counts: dict[int, list[int]]) -> Unigrams:
+        """counts: by half, how many counts are 1, 2, 3, 4, how many at least 3, how many words, their sum."""
+        d, total, even, some = np.zeros((2, 3)), np.ones(2), np.zeros(2), np.zeros(2, bool)
+        for half, (*r, more, words, s) in counts.items():
+            if words:
+                d[half], total[half], some[half] = _discounts(r), s, True
+                even[half] = float(d[half] @ [*r[:2], more]) / s / (words + 1)
+        return Unigrams(d, total, even, some)
 
+    def p(self, n: np.ndarray, half: np.ndarray) -> np.ndarray:
+        own = np.where(n > 0, (n - self.d[half, np.clip(n, 1, 3) - 1]) / self.total[half], 0.0)
+        return np.maximum(own + self.even[half], 1e-30)
 
-def train(docs: DataFrame, bad: DataFrame | None = None) -> DataFrame:
-    """gram, p (base-10 log probability of its last word; null if it is only a
-    context), back (log weight of the lower order after it; 0 if it is none), bad
-    (log probability of a single word among bad text; null if it is not there).
-    docs, bad: raw. The gram 0 gives the probability of an unknown word."""
-    spark = docs.sparkSession
-    three = persist(_counted(docs), "trigrams")
-    two = three.filter("first_vw")
-    one = persist(two.groupBy("w").agg(F.count("*").alias("n1")), "unigrams")
-    n, n2 = F.col("n"), F.col("n2")
-    d2, d3 = _discounts(n2, two), _discounts(n, three)
-    found = _words(one)
-    if found is None:
-        return spark.createDataFrame([], "gram long, p float, back float, bad float")
-    p1, even = found
-    rest = lambda d, names, total: sum(x * F.col(f"{names}{i}") for i, x in enumerate(d, 1)) / F.col(total)
-    words = F.broadcast(p1) if is_small(one, BROADCAST_WORDS) else p1
-    known = three.join(words, "w").withColumns({"rest2": rest(d2, "b", "total2"), "rest3": rest(d3, "c", "total")})
-    known = known.withColumn("p2", _cut(n2, d2) / F.col("total2") + F.col("rest2") * F.col("p1"))
-    known = known.withColumn("p3", _cut(n, d3) / F.col("total") + F.col("rest3") * F.col("p2"))
-    log = lambda c: F.log10(F.greatest(F.col(c), F.lit(1e-30))).cast("float")
-    no = F.lit(None).cast("float")
-    row = lambda gram, p, back: F.struct(F.col(gram).alias("gram"), p.alias("p"), back.alias("back"))
-    lower = known.filter("first_vw OR first_uv OR first_v").select(F.explode(F.array_compact(F.array(
-        F.when(F.col("first_vw"), row("vw", log("p2"), no)),
-        F.when(F.col("first_uv"), row("uv", no, log("rest3"))),
-        F.when(F.col("first_v"), row("v", no, log("rest2"))),
-    ))).alias("g")).select("g.*")
-    lower = lower.unionByName(p1.select(F.col("w").alias("gram"), log("p1").alias("p"), no.alias("back"))).withColumn("bad", no)
-    bad_one = None if bad is None else persist(_trigrams(bad).select("w", "vw").distinct().groupBy("w").agg(F.count("*").alias("n1")), "bad-words")
-    found = None if bad_one is None else _words(bad_one)
-    if found is not None:
-        lower = lower.unionByName(found[0].select(F.col("w").alias("gram"), no.alias("p"), no.alias("back"), log("p1").alias("bad")))
-    lower = lower.groupBy("gram").agg(F.max("p").alias("p"), F.coalesce(F.max("back"), F.lit(0.0).cast("float")).alias("back"), F.max("bad").alias("bad"))
-    nothing = F.lit(0.0).cast("float").alias("back")
-    full = known.select(F.col("uvw").alias("gram"), log("p3").alias("p"), nothing, no.alias("bad"))
-    unknown = spark.range(1).select(F.lit(0).cast("long").alias("gram"), F.lit(float(np.log10(even))).cast("float").alias("p"), nothing, no.alias("bad"))
-    made = persist(full.unionByName(lower).unionByName(unknown), "grams")
-    forget(three, one)
-    return made
-
-
-def _backed_off(p3, p2, p1, b2, b1):
-    """Of the highest order known, with the weights of the contexts passed."""
-    return np.where(np.isnan(p3), b2 + np.where(np.isnan(p2), b1 + p1, p2), p3)
 
+class Words:
+    """The words' counts, to look probabilities up in."""
 
-def score(docs: DataFrame, model: DataFrame, text: str = "text", broadcast: bool | None = None, keep_text: bool = True) -> DataFrame:
-    """docs with perplexity and contrast; null where the model is empty."""
-    names = [c for c in docs.columns if c not in ("perplexity", "contrast") and (keep_text or c != text)]
-    if broadcast is None:
-        broadcast = is_small(model, BROADCAST_GRAMS)
-    return _mapped(docs, model, text, names) if broadcast else _joined(docs, model, text, names)
-
-
-class Model:
-    """The model's rows by gram; a row beyond the last stands for what is not in it."""
-
-    def __init__(self, rows: int, pieces: Iterator[tuple[bytes, ...]]):
-        gram = np.empty(rows, np.uint64)
-        self.p, self.back, self.bad = (np.full(rows + 1, end, np.float32) for end in (np.nan, 0.0, np.nan))
-        at = 0
-        for piece in pieces:
-            n = len(piece[0]) // 8
-            for to, raw in zip((gram, self.p, self.back, self.bad), piece):
-                to[at : at + n] = np.frombuffer(raw, to.dtype)
-            at += n
-        self.table = Table(gram)
-        self.unknown = self.p[self.table.find(np.zeros(1, np.uint64))[0]]
-
-    def scores(self, g: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Perplexity and contrast of n texts; nan where there is none."""
-        three, two, one, before, single = (self.table.find(g[c]) for c in ("uvw", "vw", "w", "uv", "v"))
-        p1 = self.p[one]
-        p1 = np.where(np.isnan(p1), self.unknown, p1)
-        logs = _backed_off(self.p[three], self.p[two], p1, self.back[before], self.back[single])
-        size = np.bincount(g["of"], minlength=n)
-        apart = np.fmax.reduceat(self.bad[one] - p1, np.cumsum(size) - size).astype(np.float64)
-        return np.where(size > 1, 10.0 ** (-np.bincount(g["of"], logs, n) / size), np.nan), np.where(size > 1, apart, np.nan)
-
-
-class Pieces:
-    """The model as bytes, broadcast piece by piece: the driver holds one piece at
-    a time, a task's process only what it makes of them."""
-
-    def __init__(self, model: DataFrame):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                columns = [[batch.column(c).to_numpy(zero_copy_only=False).astype(t).tobytes()] for c, t in (("gram", np.int64), ("p", np.float32), ("back", np.float32), ("bad", np.float32))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["gram", "p", "back", "bad"])
-
-        context = model.sparkSession.sparkContext
-        packed = model.select("gram", "p", "back", "bad").mapInArrow(run, "gram binary, p binary, back binary, bad binary")
-        self.shared: list[Broadcast] = []
-        self.rows = 0
-        held, size = [], 0
-        for row in packed.toLocalIterator():  # a job for each file
-            held.append(tuple(map(bytes, row)))
-            self.rows += len(row[0]) // 8
-            size += sum(map(len, row))
-            if size >= PIECE:
-                self.shared.append(context.broadcast(held))
-                held, size = [], 0
-        if held:
-            self.shared.append(context.broadcast(held))
-
-    def model(self) -> Model:
-        """In a task: the model, made once by each process in the first piece's place."""
-        first = self.shared[0].value
-        if not isinstance(first[0], Model):
-            gc.collect()
-            pa.default_memory_pool().release_unused()  # what earlier stages have left in this process
+    def __init__(self, gram: np.ndarray, n1: np.ndarray, bad: np.ndarray):
+        self.table = Table(gram.view(np.uint64))
+        self.n1, self.bad = np.append(n1, n1.dtype.type(0)), np.append(bad, bad.dtype.type(0))
 
-            def emptied() -> Iterator[tuple[bytes, ...]]:
-                for piece in self.shared:
-                    yield from piece.value
-                    piece.value.clear()
+    @staticmethod
+    def of(shared: list) -> Words:
+        """From pieces that were broadcast."""
+        pieces = [unpacked(value) for piece in shared for value in piece.value]
+        kinds = {"gram": np.int64, "n1": np.int32, "bad": np.int32}
+        return Words(*(np.concatenate([np.zeros(0, kind), *(p.pop(c) for p in pieces)]) for c, kind in kinds.items()))
 
-            first.append(Model(self.rows, emptied()))
-        return first[0]
+    def find(self, g: dict[str, np.ndarray], good: Unigrams, bad: Unigrams) -> tuple[np.ndarray, np.ndarray]:
+        """Probability among trusted text, and contrast (nan: not among bad text)."""
+        at = self.table.find(g["w"])
+        p1, n = good.p(self.n1[at], g["half"]), self.bad[at]
+        return p1, np.where(n > 0, np.log10(bad.p(n, g["half"])) - np.log10(p1), np.nan)
 
 
-def _mapped(docs: DataFrame, model: DataFrame, text: str, names: list[str]) -> DataFrame:
-    pieces = Pieces(model)
-    if not pieces.shared:
-        return docs.select(*names, F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("contrast"))
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("perplexity", T.DoubleType()), T.StructField("contrast", T.DoubleType())])
-    raw = text if text in names else "__raw"  # the text goes to the tasks once
+def _pieces(words: DataFrame) -> list:
+    """The words' counts, broadcast piece by piece: the driver holds one piece at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lexicon = pieces.model(), Lexicon(REMEMBERED)
         for batch in batches:
-            for start, part in slices(batch.column(raw), TEXT_STEP):
-                lexicon.room()
-                values = known.scores(grams(lexicon, part), len(part))
-                own = batch.slice(start, len(part))
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), *(pa.array(x, from_pandas=True) for x in values)], names=schema.names)
-            pa.default_memory_pool().release_unused()
+            columns = {c: batch.column(c).to_numpy().astype(kind) for c, kind in (("gram", np.int64), ("n1", np.int32), ("bad", np.int32))}
+            yield pa.RecordBatch.from_arrays([pa.array([packed(**columns)], pa.binary())], names=["packed"])
+
+    shared, held, size = [], [], 0
+    context = words.sparkSession.sparkContext
+    for (value,) in words.select("gram", "n1", "bad").mapInArrow(run, "packed binary").toLocalIterator():  # a job for each file
+        held.append(bytes(value))
+        size += len(value)
+        if size >= PIECE:
+            shared.append(context.broadcast(held))
+            held, size = [], 0
+    return [*shared, context.broadcast(held)]
+
+
+def _asked(places: DataFrame, words: DataFrame) -> DataFrame:
+    """shard, gram, n1, bad: the counts of the words that each shard scores, for any number of words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        seen = np.unique(np.concatenate([np.unique(_grams(a, SCORED, 1 - a["half"])["w"]) for a in values(table)]))
+        return pa.table({"shard": np.full(len(seen), table.column("shard")[0].as_py(), np.int32), "gram": seen.view(np.int64)})
+
+    asked = places.groupBy("shard").applyInArrow(run, "shard int, gram long")
+    return asked.join(words.hint("merge"), "gram").select("shard", "gram", "n1", "bad")
+
+
+def _scores(texts: DataFrame, broadcast: bool | None = None) -> DataFrame:
+    """key, perplexity, contrast of the texts that are SCORED, each by the model of the other half."""
+    spark = texts.sparkSession
+    size = texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    shards = TURNS * math.ceil(max(LEAST_SHARDS, size / SHARD) / TURNS)
+    labelled = _places(texts.filter(F.col("use") != SCORED), shards)
+    counted = persist(labelled.groupBy("shard").applyInArrow(_count, "gram long, half int, n1 long, bad long"), "counts")
+    del labelled
+    told = {r.gram: r.n for r in counted.filter("half = 2").groupBy("gram").agg(F.sum("n1").alias("n")).collect()}
+    d3, d2 = (np.array([_discounts([told.get((half * 2 + order) * 4 + i, 0) for i in range(4)]) for half in (0, 1)]) for order in (0, 1))
+    rows = counted.filter("half < 2")
+    # a word among both trusted and bad text is two rows, both of its shard's file
+    words = persist(rows.groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("bad").alias("bad")), "words")
+
+    def unigrams(c: str) -> Unigrams:
+        classes = [F.count(F.when(F.col(c) == i, 1)) for i in (1, 2, 3, 4)]
+        found = rows.groupBy("half").agg(*classes, F.count(F.when(F.col(c) >= 3, 1)), F.count(F.when(F.col(c) > 0, 1)), F.sum(c)).collect()
+        return Unigrams.of({r[0]: list(r[1:]) for r in found})
+
+    good, bad = unigrams("n1"), unigrams("bad")
+    if broadcast is None:
+        broadcast = is_small(words, BROADCAST_WORDS)
+    shared = _pieces(words) if broadcast else []
+
+    columns = "key long, logs double, n int, ends int, apart float"
+
+    def summed(table: pa.Table, known: Words) -> pa.Table:
+        shard = Shard([_full(_grams(a, GOOD, a["half"])) for a in values(table)])
+        shard.prepare(d3, d2)
+        found = []
+        for a in values(table):
+            g = _grams(a, SCORED, 1 - a["half"])
+            g = {c: x[g["full"]] for c, x in g.items()}
+            n = np.bincount(g["of"], minlength=1)
+            docs = np.flatnonzero(n)
+            if not len(docs):
+                continue
+            n = n[docs]
+            p1, apart = known.find(g, good, bad)
+            logs = np.log10(np.maximum(shard.probabilities(g, p1), 1e-30))
+            logs[~good.some[g["half"]]] = np.nan
+            starts = np.cumsum(n) - n
+            ends = np.add.reduceat(g["end"].astype(np.int32), starts)
+            found.append((a["key"][docs], np.add.reduceat(logs, starts), n.astype(np.int32), ends, np.fmax.reduceat(apart, starts).astype(np.float32)))
+        kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float32())
+        whole = map(np.concatenate, zip(*found)) if found else ((),) * len(kinds)
+        return pa.table([pa.array(x, kind, from_pandas=True) for x, kind in zip(whole, kinds)], names=[c.split()[0] for c in columns.split(", ")])
+
+    def taken(turn: int) -> DataFrame:
+        places = _places(texts, shards, turn, TURNS)
+        if broadcast:
+            return places.groupBy("shard").applyInArrow(lambda table: summed(table, Words.of(shared)), columns)
+        told = lambda words: Words(*(words.column(c).to_numpy() for c in ("gram", "n1", "bad")))
+        asked = _asked(places, words).groupBy("shard")
+        return asked.cogroup(places.groupBy("shard")).applyInArrow(lambda words, table: summed(table, told(words)), columns)
+
+    made = []
+    for turn in range(TURNS):
+        release(spark)
+        made.append(persist(taken(turn), "sums"))
+    release(spark)
+    sums = reduce(DataFrame.unionByName, made)
+    n, logs = F.sum("n"), F.sum("logs")
+    some = n > F.sum("ends")  # rows that share a key have a multiple of both
+    per, apart = F.pow(F.lit(10.0), -logs / n), F.max("apart").cast("double")
+    scores = persist(sums.groupBy("key").agg(F.when(some, per).alias("perplexity"), F.when(some & logs.isNotNull(), apart).alias("contrast")), "scores")
+    forget(counted, words, *made)
+    return scores
 
-    return docs.select(*names, *([] if raw == text else [raw_text(text).alias(raw)])).mapInArrow(run, schema)
 
+def train(docs: DataFrame, bad: DataFrame | None = None) -> DataFrame:
+    """What score() learns from: all of docs, and of bad for the contrast. docs, bad: raw."""
+    use = lambda df, kind: df.select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("half"), F.lit(kind).alias("use"), F.coalesce("raw", F.lit(b"")).alias("raw"))
+    return use(docs, GOOD) if bad is None else use(docs, GOOD).unionByName(use(bad, BAD))
 
-def _joined(docs: DataFrame, model: DataFrame, text: str, names: list[str]) -> DataFrame:
-    """The same by joins on the n-grams' hashes, for models of any size."""
-    keyed = persist(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon()
-        for batch in batches:
-            keys = batch.column("__row").to_numpy()
-            for start, part in groups(batch.column("raw").to_pylist(), TEXT_STEP):
-                lexicon.room()
-                g = grams(lexicon, part)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[start + g["of"]]), *(pa.array(g[c].view(np.int64)) for c in ("uvw", "uv", "vw", "v", "w"))], names=["__row", "uvw", "uv", "vw", "v", "w"])
-
-    rows = keyed.select("__row", raw_text(text).alias("raw")).mapInArrow(run, "__row long, uvw long, uv long, vw long, v long, w long")
-    for c, *values in (("uvw", "p"), ("vw", "p"), ("w", "p", "bad"), ("uv", "back"), ("v", "back")):
-        rows = rows.join(model.select(F.col("gram").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in values)), c, "left")
-    unknown = model.filter("gram = 0").select(F.col("p").alias("p_unknown"))
-    p1 = F.coalesce("p_w", "p_unknown")
-    zero = F.lit(0.0)
-    log = F.coalesce("p_uvw", F.coalesce("back_uv", zero) + F.coalesce("p_vw", F.coalesce("back_v", zero) + p1))
-    each = rows.join(F.broadcast(unknown)).groupBy("__row").agg(
-        F.when(F.count("*") > 1, F.pow(F.lit(10.0), -F.avg(log))).alias("perplexity"),
-        F.when(F.count("*") > 1, F.max(F.col("bad_w") - p1).cast("double")).alias("contrast"),
-    )
-    return keyed.join(each, "__row", "left").select(*names, "perplexity", "contrast")
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    """docs with a key that rows of one id and text share."""
+    return docs.withColumn("__key", F.xxhash64(*(["doc_id"] if "doc_id" in docs.columns else []), text))
+
+
+def _with(docs: DataFrame, scores: DataFrame, text: str, keep_text: bool) -> DataFrame:
+    names = [c for c in docs.columns if c not in ("perplexity", "contrast") and (keep_text or c != text)]
+    # both sides grow with the corpus, so none is broadcast
+    return _keyed(docs, text).join(scores.withColumnRenamed("key", "__key").hint("merge"), "__key", "left").select(*names, "perplexity", "contrast")
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with labels: good (trusted) or not, and half (0 or 1)."""
-    told = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(
+def score(docs: DataFrame, model: DataFrame, text: str = "text", broadcast: bool | None = None, keep_text: bool = True) -> DataFrame:
+    """docs with perplexity and contrast; null where the model (of train) is empty.
+    broadcast: whether the words' counts are, or are joined (None: by their number)."""
+    asked = _keyed(docs, text).select(F.col("__key").alias("key"), F.lit(1).alias("half"), F.lit(SCORED).alias("use"), raw_text(text).alias("raw"))
+    return _with(docs, _scores(model.unionByName(asked), broadcast), text, keep_text)
+
+
+def labels_of(labels: DataFrame) -> DataFrame:
+    """__id, good (trusted) and bad of each labelled document."""
+    return labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(
         ((F.min(F.coalesce("quality", F.lit(0))) == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)).alias("good"),
         ((F.min("quality") == 0) | (F.max("toxic") == 1)).alias("bad"),
     )
-    return docs.join(told, F.col("doc_id") == F.col("__id")).drop("__id").withColumn("half", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(2)))
 
 
-def classify(
-    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, quantile: float = QUANTILE, margin: float = MARGIN, keep_text: bool = True
-) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, keep_text: bool = True) -> DataFrame:
     """docs with perplexity, contrast, limit (of the language's perplexity) and keep."""
     modest_batches(docs.sparkSession)
     docs = docs.drop("perplexity", "contrast", "limit", "keep")
-    known = persist(labelled(docs.select("doc_id"), labels).filter("half = 0").distinct(), "labelled")
-
-    def sampled(which: str) -> DataFrame:
-        ids = known.filter(which).orderBy(F.xxhash64("doc_id", F.lit(7))).limit(sample).select(F.col("doc_id").alias("__id"))
-        return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select(raw_text().alias("raw"))  # at most `sample` ids
-
-    model = train(sampled("good"), sampled("bad"))
-    scored = persist(score(docs, model, keep_text=keep_text), "scored")
-    unseen = labelled(scored.select("doc_id", "lang", "perplexity", "contrast"), labels).filter("good AND half = 1 AND perplexity IS NOT NULL")
-    unseen = persist(unseen.select("lang", "perplexity", "contrast"), "trusted")
+    told = persist(labels_of(labels), "labelled")
+    told = F.broadcast(told) if is_small(told, BROADCAST_LABELS) else told
+    of = lambda df: df.join(told, F.col("doc_id") == F.col("__id"), "left")
+    use = sum((F.when(F.col(c), kind).otherwise(0) for c, kind in (("good", GOOD), ("bad", BAD))), F.lit(SCORED))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
+    texts = of(_keyed(docs, "text")).select(F.col("__key").alias("key"), half.alias("half"), use.alias("use"), raw_text().alias("raw"))
+    scores = _scores(texts)
+    scored = _with(docs, scores, "text", keep_text)
+    trusted = of(_with(docs, scores, "text", False)).filter("good AND perplexity IS NOT NULL")
+    trusted = persist(trusted.select("lang", "perplexity", "contrast"), "trusted")
     at = lambda c, q: F.percentile_approx(c, q, 10_000)
     marks = {"__high": at("perplexity", quantile), "__apart": at("contrast", quantile)}
-    limits = unseen.groupBy(F.col("lang").alias("__lang")).agg(*(c.alias(name) for name, c in marks.items()), F.count("*").alias("n"))
-    overall = unseen.agg(*(c.alias(name) for name, c in marks.items())).first()
+    limits = trusted.groupBy(F.col("lang").alias("__lang")).agg(*(c.alias(name) for name, c in marks.items()), F.count("*").alias("n"))
+    overall = trusted.agg(*(c.alias(name) for name, c in marks.items())).first()
     limits = persist(limits.filter(F.col("n") >= LEAST_TRUSTED).drop("n"), "limits")
     few = is_small(limits, 10_000)
     joined = scored.join(F.broadcast(limits) if few else limits, F.col("lang").eqNullSafe(F.col("__lang")), "left")

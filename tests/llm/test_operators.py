@@ -245,6 +245,26 @@ def test_quality_by_plain_kneser_ney(spark):
             assert math.isclose(r.contrast, max(map(apart, run[2:])), abs_tol=1e-5)
 
 
+def test_quality_learns_from_every_labelled_document(spark):
+    """Over 4,000 documents of either half: each is scored by all trusted and all bad ones of the other half."""
+    texts = {i: prose(i, 4) + (f" blot{i % 7}" if i % 9 == 8 else "") for i in range(10_000)}
+    df = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 9 < 8), 0) for i in range(9_900)], "doc_id long, quality int, toxic int")
+    half = {r.doc_id: r.h for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("h")).collect()}
+    got = {r.doc_id: r for r in quality.classify(df, labels).collect()}
+    assert got.keys() == texts.keys()
+    for h in (0, 1):
+        other = [i for i in range(9_900) if half[i] != h]
+        good, bad = ([texts[i] for i in other if (i % 9 < 8) == kind] for kind in (True, False))
+        assert len(good) > 4_000
+        p3, apart = kneser_ney(good, bad)
+        for i in [i for i in texts if half[i] == h and i % 97 < 2]:
+            run = ["<s>", "<s>", *texts[i].split(), "</s>"]
+            logs = [math.log10(p3(*run[j - 2 : j + 1])) for j in range(2, len(run))]
+            assert math.isclose(got[i].perplexity, 10 ** (-sum(logs) / len(logs)), rel_tol=1e-5)
+            assert math.isclose(got[i].contrast, max(map(apart, run[2:])), abs_tol=1e-5)
+
+
 def test_quality_drops_documents_with_few_bad_words(spark):
     rows = [(i, prose(i, 150), "en", 1, 0) for i in range(400)]
     rows += [(1000 + i, prose(1000 + i, 70) + f" swine{i % 3} " + prose(2000 + i, 70), "en", 1, 1) for i in range(60)]
