@@ -6,6 +6,7 @@ from collections import defaultdict
 from itertools import count
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Different words that one task remembers, if nothing else is said; then it starts anew.
@@ -44,15 +45,51 @@ class Lexicon:
         return np.array(flat, np.int64), np.array([len(words) for words in texts], np.int64), new
 
 
-def mixed(*parts: np.ndarray) -> np.ndarray:
-    """One 64-bit hash from several, the order counting."""
-    h = np.zeros(parts[0].shape, np.uint64)
+def mixed(*parts: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """One 64-bit hash from several, the order counting; start: the hash of those before."""
+    h = np.zeros(parts[0].shape, np.uint64) if start is None else start
     for part in parts:
         h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
     return h
 
 
+#: ASCII white space, as bytes.split() has it, the masks of a block's first bytes, and the bytes from which a word is hashed by itself.
+WHITE, MASKS, LONG = np.isin(np.arange(256), list(b" \t\n\r\v\f")), np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64), 512
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (bytes, none null) in order, and how many words each text
+    has; the words are those of bytes.split(). Words of up to 8 bytes and one length differ in hash."""
+    texts = texts.cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.zeros(int(ends[-1] - ends[0]) + 8, np.uint8)
+    if len(data) == 8:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    data[:-8] = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inner = ~WHITE[data[:-8]]
+    edge = np.zeros(len(inner) + 1, bool)  # between these and their neighbours no word goes on
+    edge[ends] = True
+    joined = inner[1:] & inner[:-1] & ~edge[1:-1]
+    first, last = inner.copy(), inner.copy()
+    first[1:] &= ~joined
+    last[:-1] &= ~joined
+    start, n = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sizes = np.diff(np.searchsorted(start, ends))
+    n -= start
+    blocks = np.ndarray(len(inner) + 1, np.uint64, data, strides=(1,))
+    h = mixed(n.astype(np.uint64), blocks[start] & MASKS[np.minimum(n, 8)])
+    more, k = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(more):
+        h[more] = mixed(blocks[start[more] + k] & MASKS[np.minimum(n[more] - k, 8)], start=h[more])
+        k += 8
+        more = more[n[more] > k]
+    for i in np.flatnonzero(n > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + n[i]].tobytes())
+    return h, sizes
+
+
 class Table:
     """64-bit keys to row numbers of a table; linear probing."""
 

@@ -46,23 +46,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import forget, is_small, modest_batches, persist, raw_text, release, slices
-from lodestar.llm.lexicon import Lexicon, Table, mixed
+from lodestar.llm.common import forget, is_small, modest_batches, modest_bytes, parts, persist, raw_text, release
+from lodestar.llm.lexicon import Table, mixed, word_hashes
 
 #: Words' counts that are broadcast, bytes of them that pass the driver together.
 BROADCAST_WORDS, PIECE = 12_000_000, 4_000_000
 #: Labels that are broadcast.
 BROADCAST_LABELS = 1_000_000
 #: Bytes of text for which there is a shard, and shards at least.
-SHARD, LEAST_SHARDS = 36_000_000, 12
+SHARD, LEAST_SHARDS = 18_000_000, 24
 #: Turns in which the shards take all documents; each reads all texts.
-TURNS = 2
+TURNS = 4
 QUANTILE, MARGIN, APART, LEAST_TRUSTED = 0.99, 1.15, 0.3, 30
 #: The numbers and hashes of what stands before, at and after the end of a text.
 MARKS = np.array([1, 2, 3], np.uint64)
 START, END, NOTHING = range(3)
-#: Bytes of texts cut together; words and places that a task packs together.
-TEXT_STEP, REMEMBERED, PLACES = 1_000_000, 400_000, 2_500_000
+#: Bytes of texts cut together; places that a task packs together.
+TEXT_STEP, PLACES = 1_000_000, 2_500_000
 #: What a text is used for.
 GOOD, BAD, SCORED = 1, 2, 4
 
@@ -94,84 +94,108 @@ def unpacked(value: bytes | pa.Buffer) -> dict[str, np.ndarray]:
 def values(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
     """The packed values of a shard, one after the other."""
     for value in table.column("packed"):
-        yield unpacked(value.as_buffer())
+        a = unpacked(value.as_buffer())
+        a["words"] = np.cumsum(a["words"], dtype=np.uint64)
+        yield a
 
 
 def _places(texts: DataFrame, shards: int, turn: int = 0, turns: int = 1) -> DataFrame:
     """shard, packed, by the shard of the middle word, for each turns-th shard. texts: key, half, use, raw.
-    packed: words (hashes); u, v, w (numbers of words) for every word and end of a text and
-    the two before it, and, with nothing as w, for its end and the one before; size (places
-    of each document), key, half, use."""
+    packed: words (hashes, each less the one before); u, v, w (numbers of words) for every word and
+    end of a text and the two before it, and, with nothing as w, for its end and the one before; size
+    (places of each document), key, half, use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(REMEMBERED)
         held: list[tuple[np.ndarray, ...]] = []
-        size = docs = 0
+        size = 0
 
         def out() -> pa.RecordBatch:
-            u, v, w, of, key, half, use = map(np.concatenate, zip(*held))
+            hashes, sizes, key, half, use = map(np.concatenate, zip(*held))
             held.clear()
-            hashes = np.concatenate([MARKS, lexicon.hashes])
-            shard = (mixed(hashes) % np.uint64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int32)[v]
+            found = pa.array(hashes).dictionary_encode()
+            flat, hashes = found.indices.to_numpy(), np.concatenate([MARKS, found.dictionary.to_numpy()])
+            ends = np.cumsum(sizes + 4)  # each text stands between two starts, an end and nothing
+            n = np.full(int(ends[-1]), START, np.int32)
+            inner = np.ones(len(n), bool)
+            inner[ends - sizes - 4] = inner[ends - sizes - 3] = False
+            at = np.flatnonzero(inner)
+            inner[ends - 2] = inner[ends - 1] = False
+            n[inner] = flat + len(MARKS)
+            n[ends - 2], n[ends - 1] = END, NOTHING
+            shard = (mixed(hashes) % np.uint64(shards)).astype(np.uint16 if shards < 1 << 16 else np.int32)[n[at - 1]]
             mine = np.flatnonzero(shard % turns == turn)
             order = mine[np.argsort(shard[mine], kind="stable")]
-            those = np.arange(turn, shards, turns)
-            first, last = (np.searchsorted(shard[order], those, side) for side in ("left", "right"))
+            shard, at = shard[order], at[order]
+            of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 2)[order]
+            uvw = n[at - 2], n[at - 1], n[at]
             number = np.empty(len(hashes), np.int32)
-            rows = []
-            for a, b in zip(first, last):
-                at = order[a:b]
-                own = u[at], v[at], w[at]
-                times = sum(np.bincount(x, minlength=len(hashes)) for x in own)
-                words = np.flatnonzero(times)
+            those = np.arange(turn, shards, turns)
+            rows, told = [], []
+            for s, a, b in zip(those, *(np.searchsorted(shard, those, side) for side in ("left", "right"))):
+                if a == b:
+                    continue
+                own = [x[a:b] for x in uvw]
+                if 20 * (b - a) < len(hashes):  # among many shards, so that none costs all words
+                    words, times = np.unique(np.concatenate(own), return_counts=True)
+                else:
+                    times = sum(np.bincount(x, minlength=len(hashes)) for x in own)
+                    words = np.flatnonzero(times)
+                    times = times[words]
                 # the frequent ones first, equals by hash: both keep the numbers short
-                words = words[np.lexsort((hashes[words], -times[words]))]
+                words = words[np.lexsort((hashes[words], -times))]
                 number[words] = np.arange(len(words), dtype=np.int32)
-                size = np.bincount(of[at], minlength=docs)
-                doc = np.flatnonzero(size)
+                of_docs = np.bincount(of[a:b], minlength=len(sizes))
+                doc = np.flatnonzero(of_docs)
                 columns = {c: number[x] for c, x in zip("uvw", own)}
-                rows.append(packed(words=hashes[words], **columns, size=size[doc].astype(np.int32), key=key[doc], half=half[doc], use=use[doc]))
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(those), dtype=np.int32)), pa.array(rows, pa.binary())], names=["shard", "packed"])
+                rows.append(packed(words=np.diff(hashes[words], prepend=np.uint64(0)), **columns, size=of_docs[doc].astype(np.int32), key=key[doc], half=half[doc], use=use[doc]))
+                told.append(s)
+            return pa.RecordBatch.from_arrays([pa.array(told, pa.int32()), pa.array(rows, pa.binary())], names=["shard", "packed"])
 
         for batch in batches:
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "half", "use")]
-            for start, part in slices(batch.column("raw"), TEXT_STEP):
-                if held and (size > PLACES or len(lexicon.numbers) > REMEMBERED):
+            for start, part in parts(batch.column("raw"), TEXT_STEP):
+                if size > PLACES:
                     yield out()
-                    lexicon.room()
-                    size = docs = 0
-                flat, sizes, _ = lexicon.encode([raw.split() for raw in part])
-                ends = np.cumsum(sizes + 4)  # each text stands between two starts, an end and nothing
-                n = np.full(int(ends[-1]), START, np.int32)
-                place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                n[np.repeat(ends - sizes - 2, sizes) + place] = flat + len(MARKS)
-                n[ends - 2], n[ends - 1] = END, NOTHING
-                inner = np.ones(len(n), bool)
-                inner[ends - sizes - 4] = inner[ends - sizes - 3] = False
-                at = np.flatnonzero(inner)
-                held.append((n[at - 2], n[at - 1], n[at], docs + np.repeat(np.arange(len(part), dtype=np.int32), sizes + 2), *(c[start : start + len(part)] for c in columns)))
-                size, docs = size + len(at), docs + len(part)
+                    size = 0
+                hashes, sizes = word_hashes(part)
+                held.append((hashes, sizes, *(c[start : start + len(part)] for c in columns)))
+                size += len(hashes) + 2 * len(part)
         if held:
             yield out()
+        pa.default_memory_pool().release_unused()
 
     return texts.select("key", "half", "use", "raw").mapInArrow(run, "shard int, packed binary")
 
 
-def _grams(a: dict[str, np.ndarray], use: int, half: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the places of documents with this use: the document's number (of), what w and v are
-    (full, end, first), and the hashes, by the documents' given halves, of u and v (uv), and so on."""
-    of = np.repeat(np.arange(len(a["size"])), a["size"])
-    mine = (a["use"][of] & use) > 0
-    of = of[mine]
-    u, v, w = (a["words"][a[c][mine]] for c in "uvw")
-    h = half[of].astype(np.uint64)
-    return {"of": of, "half": half[of].astype(np.int32), "full": w != MARKS[NOTHING], "end": w == MARKS[END], "first": v == MARKS[START], "v": mixed(h, v), "w": mixed(h, w), "uv": mixed(h, u, v), "vw": mixed(h, v, w), "uvw": mixed(h, u, v, w)}
+def _grams(a: dict[str, np.ndarray], use: int, half: int, names: tuple[str, ...], others: bool = False, beyond: bool = False) -> dict[str, np.ndarray]:
+    """Of the places of this half's documents, or of the others', with this use: the document's
+    number (of), what v and w are (first, full, end), and the hashes, by the half, of u and v (uv),
+    and so on. beyond: also with nothing as w."""
+    words, docs = a["words"], ((a["use"] & use) > 0) & ((a["half"] == half) != others)
+    mark = lambda c, i, at: np.isin(a[c][at], np.flatnonzero(words == MARKS[i]))
+    at = np.flatnonzero(np.repeat(docs, a["size"]))
+    if not beyond:
+        at = at[~mark("w", NOTHING, at)]
+    u, v, w = (a[c][at] for c in "uvw")
+    own = mixed(np.full(len(words), half, np.uint64), words)
+    uv = mixed(words[v], start=own[u])
+    made = {
+        "of": lambda: np.repeat(np.arange(len(docs)), a["size"])[at],
+        "first": lambda: mark("v", START, at),
+        "full": lambda: ~mark("w", NOTHING, at),
+        "end": lambda: mark("w", END, at),
+        "v": lambda: own[v],
+        "w": lambda: own[w],
+        "uv": lambda: uv,
+        "vw": lambda: mixed(words[w], start=own[v]),
+        "uvw": lambda: mixed(words[w], start=uv),
+    }
+    return {c: made[c]() for c in names}
 
 
 def _all(parts: list[dict[str, np.ndarray]], names: tuple[str, ...]) -> dict[str, np.ndarray]:
     """The columns of all parts, which lose them."""
-    kinds = {"half": np.int32, "first": bool}
-    return {c: np.concatenate([np.zeros(0, kinds.get(c, np.uint64)), *(p.pop(c) for p in parts)]) for c in names}
+    return {c: np.concatenate([np.zeros(0, bool if c == "first" else np.uint64), *(p.pop(c) for p in parts)]) for c in names}
 
 
 def _classes(n: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
@@ -179,79 +203,73 @@ def _classes(n: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
     return np.stack([np.bincount(of, c, rows) for c in (n == 1, n == 2, n >= 3)])
 
 
-def _full(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The places that a trigram ends at."""
-    return {c: g[c][g["full"]] for c in ("uvw", "uv", "vw", "v", "half")}
+#: What a model is made of.
+FULL, BEFORE = ("uvw", "uv", "vw", "v"), ("uv", "v", "first")
 
 
 class Shard:
-    """What the trusted texts' places of one shard add up to, each distinct gram once:
+    """What one half's trusted texts' places of one shard add up to, each distinct gram once:
     n of uvw; total, c (1, 2, 3 or more) of the context uv; n2 (words before) of vw; total2, b of the context v."""
 
     def __init__(self, parts: list[dict[str, np.ndarray]]):
-        g = _all(parts, ("uvw", "uv", "vw", "v", "half"))
-        self.uvw, at, self.n = np.unique(g["uvw"], return_index=True, return_counts=True)
-        uv, vw, v, self.half = (g[c][at] for c in ("uv", "vw", "v", "half"))
+        g = _all(parts, FULL)
+        self.uvw, at, self.n = np.unique(g.pop("uvw"), return_index=True, return_counts=True)
+        uv, vw, v = (g.pop(c)[at] for c in ("uv", "vw", "v"))
         self.uv, self.uv_of = np.unique(uv, return_inverse=True)
         self.total, self.c = np.bincount(self.uv_of, self.n, len(self.uv)), _classes(self.n, self.uv_of, len(self.uv))
-        self.uv_half = np.zeros(len(self.uv), np.int32)
-        self.uv_half[self.uv_of] = self.half
         self.vw, at, self.n2 = np.unique(vw, return_index=True, return_counts=True)
-        self.half2 = self.half[at]
         self.v, self.v_of = np.unique(v[at], return_inverse=True)
         self.total2, self.b = np.bincount(self.v_of, self.n2, len(self.v)), _classes(self.n2, self.v_of, len(self.v))
-        self.v_half = np.zeros(len(self.v), np.int32)
-        self.v_half[self.v_of] = self.half2
 
     def counts_of_counts(self) -> np.ndarray:
-        """half, order (trigrams, bigrams), count (1 to 4)."""
-        return np.array([[[((n == i) & (half == h)).sum() for i in (1, 2, 3, 4)] for n, half in ((self.n, self.half), (self.n2, self.half2))] for h in (0, 1)])
+        """order (trigrams, bigrams), count (1 to 4)."""
+        return np.array([[(n == i).sum() for i in (1, 2, 3, 4)] for n in (self.n, self.n2)])
 
     def prepare(self, d3: np.ndarray, d2: np.ndarray) -> None:
-        """Of discounts by half: the tables that places are looked up in, with a last row for what is not there."""
-        own = lambda n, of, total, d, half: np.append((n - d[half, np.minimum(n, 3) - 1]) / total[of], 0.0)
-        rest = lambda classes, total, d, half: np.append((d[half].T * classes).sum(axis=0) / total, 1.0)
+        """Of discounts: the tables that places are looked up in, with a last row for what is not there."""
+        own = lambda n, of, total, d: np.append((n - d[np.minimum(n, 3) - 1]) / total[of], 0.0)
+        rest = lambda classes, total, d: np.append((d[:, None] * classes).sum(axis=0) / total, 1.0)
         self.tables = {
-            "uvw": (Table(self.uvw), own(self.n, self.uv_of, self.total, d3, self.half)),
-            "uv": (Table(self.uv), rest(self.c, self.total, d3, self.uv_half)),
-            "vw": (Table(self.vw), own(self.n2, self.v_of, self.total2, d2, self.half2)),
-            "v": (Table(self.v), rest(self.b, self.total2, d2, self.v_half)),
+            "uvw": (Table(self.uvw), own(self.n, self.uv_of, self.total, d3)),
+            "uv": (Table(self.uv), rest(self.c, self.total, d3)),
+            "vw": (Table(self.vw), own(self.n2, self.v_of, self.total2, d2)),
+            "v": (Table(self.v), rest(self.b, self.total2, d2)),
         }
+        del self.n, self.uv_of, self.total, self.c, self.n2, self.v_of, self.total2, self.b
 
     def probabilities(self, g: dict[str, np.ndarray], p1: np.ndarray) -> np.ndarray:
         uvw, uv, vw, v = (values[table.find(g[c])] for c, (table, values) in self.tables.items())
         return uvw + uv * (vw + v * p1)
 
 
-def _distinct(parts: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their halves, and how many words come before each."""
-    g = _all(parts, ("uv", "v", "half", "first"))
-    _, at = np.unique(g["uv"], return_index=True)
+def _distinct(parts: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Words, and how many words come before each."""
+    g = _all(parts, BEFORE)
+    _, at = np.unique(g.pop("uv"), return_index=True)
     at = at[~g["first"][at]]
-    words, first, n = np.unique(g["v"][at], return_index=True, return_counts=True)
-    return words, g["half"][at][first], n
+    return np.unique(g["v"][at], return_counts=True)
 
 
 def _count(table: pa.Table) -> pa.Table:
     """Of one shard: gram, half, n1, bad: the words and how many trusted and bad words
     come before them. The counts of counts are rows of no half (2)."""
-    full, good, bad = [], [], []
-    before = ("uv", "v", "half", "first")
-    for a in values(table):
-        g = _grams(a, GOOD, a["half"])
-        full.append(_full(g))
-        good.append({c: g[c] for c in before})
-        g = _grams(a, BAD, a["half"])
-        bad.append({c: g[c] for c in before})
-    (w, wh, n1), (z, zh, n0) = _distinct(good), _distinct(bad)
-    told = Shard(full).counts_of_counts().ravel()
-    none = lambda n: np.zeros(n, np.int64)
-    return pa.table({
-        "gram": np.concatenate([w, z, np.arange(len(told), dtype=np.uint64)]).view(np.int64),
-        "half": np.concatenate([wh, zh, np.full(len(told), 2)]).astype(np.int32),
-        "n1": np.concatenate([n1, none(len(z)), told]),
-        "bad": np.concatenate([none(len(w)), n0, none(len(told))]),
-    })
+    rows = []
+    for half in (0, 1):  # one after the other, so that the places of one are held
+        full, good, bad = [], [], []
+        for a in values(table):
+            g = _grams(a, GOOD, half, (*FULL, "first", "full"), beyond=True)
+            full.append({c: g[c][g["full"]] for c in FULL})
+            good.append({c: g[c] for c in BEFORE})
+            bad.append(_grams(a, BAD, half, BEFORE, beyond=True))
+        told = Shard(full).counts_of_counts().ravel()
+        (w, n1), (z, n0) = _distinct(good), _distinct(bad)
+        none = lambda n: np.zeros(n, np.int64)
+        rows.append((w, np.full(len(w), half), n1, none(len(w))))
+        rows.append((z, np.full(len(z), half), none(len(z)), n0))
+        rows.append((np.arange(len(told), dtype=np.uint64) + np.uint64(half * len(told)), np.full(len(told), 2), told, none(len(told))))
+    gram, half, n1, bad = map(np.concatenate, zip(*rows))
+    pa.default_memory_pool().release_unused()
+    return pa.table({"gram": gram.view(np.int64), "half": half.astype(np.int32), "n1": n1, "bad": bad})
 
 
 def _discounts(found: list[int]) -> list[float]:
@@ -281,7 +299,7 @@ class Unigrams:
                 even[half] = float(d[half] @ [*r[:2], more]) / s / (words + 1)
         return Unigrams(d, total, even, some)
 
-    def p(self, n: np.ndarray, half: np.ndarray) -> np.ndarray:
+    def p(self, n: np.ndarray, half: int) -> np.ndarray:
         own = np.where(n > 0, (n - self.d[half, np.clip(n, 1, 3) - 1]) / self.total[half], 0.0)
         return np.maximum(own + self.even[half], 1e-30)
 
@@ -300,11 +318,13 @@ class Words:
         kinds = {"gram": np.int64, "n1": np.int32, "bad": np.int32}
         return Words(*(np.concatenate([np.zeros(0, kind), *(p.pop(c) for p in pieces)]) for c, kind in kinds.items()))
 
-    def find(self, g: dict[str, np.ndarray], good: Unigrams, bad: Unigrams) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, w: np.ndarray, half: int, good: Unigrams, bad: Unigrams) -> tuple[np.ndarray, np.ndarray]:
         """Probability among trusted text, and contrast (nan: not among bad text)."""
-        at = self.table.find(g["w"])
-        p1, n = good.p(self.n1[at], g["half"]), self.bad[at]
-        return p1, np.where(n > 0, np.log10(bad.p(n, g["half"])) - np.log10(p1), np.nan)
+        at = self.table.find(w)
+        p1, n, apart = good.p(self.n1[at], half), self.bad[at], np.full(len(w), np.nan)
+        told = np.flatnonzero(n)
+        apart[told] = np.log10(bad.p(n[told], half)) - np.log10(p1[told])
+        return p1, apart
 
 
 def _pieces(words: DataFrame) -> list:
@@ -330,7 +350,7 @@ def _asked(places: DataFrame, words: DataFrame) -> DataFrame:
     """shard, gram, n1, bad: the counts of the words that each shard scores, for any number of words."""
 
     def run(table: pa.Table) -> pa.Table:
-        seen = np.unique(np.concatenate([np.unique(_grams(a, SCORED, 1 - a["half"])["w"]) for a in values(table)]))
+        seen = np.unique(np.concatenate([np.unique(_grams(a, SCORED, half, ("w",), others=True)["w"]) for a in values(table) for half in (0, 1)]))
         return pa.table({"shard": np.full(len(seen), table.column("shard")[0].as_py(), np.int32), "gram": seen.view(np.int64)})
 
     asked = places.groupBy("shard").applyInArrow(run, "shard int, gram long")
@@ -340,6 +360,7 @@ def _asked(places: DataFrame, words: DataFrame) -> DataFrame:
 def _scores(texts: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """key, perplexity, contrast of the texts that are SCORED, each by the model of the other half."""
     spark = texts.sparkSession
+    modest_bytes(spark)
     size = texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     shards = TURNS * math.ceil(max(LEAST_SHARDS, size / SHARD) / TURNS)
     labelled = _places(texts.filter(F.col("use") != SCORED), shards)
@@ -360,27 +381,31 @@ def _scores(texts: DataFrame, broadcast: bool | None = None) -> DataFrame:
     if broadcast is None:
         broadcast = is_small(words, BROADCAST_WORDS)
     shared = _pieces(words) if broadcast else []
+    forget(counted, *([words] if broadcast else []))
 
     columns = "key long, logs double, n int, ends int, apart float"
 
     def summed(table: pa.Table, known: Words) -> pa.Table:
-        shard = Shard([_full(_grams(a, GOOD, a["half"])) for a in values(table)])
-        shard.prepare(d3, d2)
         found = []
-        for a in values(table):
-            g = _grams(a, SCORED, 1 - a["half"])
-            g = {c: x[g["full"]] for c, x in g.items()}
-            n = np.bincount(g["of"], minlength=1)
-            docs = np.flatnonzero(n)
-            if not len(docs):
-                continue
-            n = n[docs]
-            p1, apart = known.find(g, good, bad)
-            logs = np.log10(np.maximum(shard.probabilities(g, p1), 1e-30))
-            logs[~good.some[g["half"]]] = np.nan
-            starts = np.cumsum(n) - n
-            ends = np.add.reduceat(g["end"].astype(np.int32), starts)
-            found.append((a["key"][docs], np.add.reduceat(logs, starts), n.astype(np.int32), ends, np.fmax.reduceat(apart, starts).astype(np.float32)))
+        for half in (0, 1):  # one model after the other
+            shard = Shard([_grams(a, GOOD, half, FULL) for a in values(table)])
+            shard.prepare(d3[half], d2[half])
+            for a in values(table):
+                g = _grams(a, SCORED, half, (*FULL, "w", "of", "end"), others=True)
+                n = np.bincount(g["of"], minlength=1)
+                docs = np.flatnonzero(n)
+                if not len(docs):
+                    continue
+                n = n[docs]
+                p1, apart = known.find(g["w"], half, good, bad)
+                logs = np.log10(np.maximum(shard.probabilities(g, p1), 1e-30))
+                if not good.some[half]:
+                    logs[:] = np.nan
+                starts = np.cumsum(n) - n
+                ends = np.add.reduceat(g["end"].astype(np.int32), starts)
+                found.append((a["key"][docs], np.add.reduceat(logs, starts), n.astype(np.int32), ends, np.fmax.reduceat(apart, starts).astype(np.float32)))
+            del shard
+        pa.default_memory_pool().release_unused()
         kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float32())
         whole = map(np.concatenate, zip(*found)) if found else ((),) * len(kinds)
         return pa.table([pa.array(x, kind, from_pandas=True) for x, kind in zip(whole, kinds)], names=[c.split()[0] for c in columns.split(", ")])
@@ -393,17 +418,18 @@ def _scores(texts: DataFrame, broadcast: bool | None = None) -> DataFrame:
         asked = _asked(places, words).groupBy("shard")
         return asked.cogroup(places.groupBy("shard")).applyInArrow(lambda words, table: summed(table, told(words)), columns)
 
+    # sums of shards are added up turn by turn, so that few of them are on disk
+    add = lambda df: df.groupBy("key").agg(*(f(c).alias(c) for f, c in ((F.sum, "logs"), (F.sum, "n"), (F.sum, "ends"), (F.max, "apart"))))
     made = []
     for turn in range(TURNS):
         release(spark)
-        made.append(persist(taken(turn), "sums"))
+        made.append(persist(add(taken(turn)), "sums"))
     release(spark)
-    sums = reduce(DataFrame.unionByName, made)
-    n, logs = F.sum("n"), F.sum("logs")
-    some = n > F.sum("ends")  # rows that share a key have a multiple of both
-    per, apart = F.pow(F.lit(10.0), -logs / n), F.max("apart").cast("double")
-    scores = persist(sums.groupBy("key").agg(F.when(some, per).alias("perplexity"), F.when(some & logs.isNotNull(), apart).alias("contrast")), "scores")
-    forget(counted, words, *made)
+    sums = add(reduce(DataFrame.unionByName, made))
+    some = F.col("n") > F.col("ends")  # rows that share a key have a multiple of both
+    per, apart = F.pow(F.lit(10.0), -F.col("logs") / F.col("n")), F.col("apart").cast("double")
+    scores = persist(sums.select("key", F.when(some, per).alias("perplexity"), F.when(some & F.col("logs").isNotNull(), apart).alias("contrast")), "scores")
+    forget(*([] if broadcast else [words]), *made)
     return scores
 
 

@@ -10,12 +10,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, fingerprint, lm, mixing, pii, quality, queries, simhash, substrings, topk
+from lodestar.llm import bpe, chat, fingerprint, lexicon, lm, mixing, pii, quality, queries, simhash, substrings, topk
 from lodestar.llm.suffixes import common_prefixes, suffix_array
 
 WORDS = "the of and nding erat onre thea sh lyst café über 日本 ab.c".split()
@@ -265,6 +266,20 @@ def test_quality_learns_from_every_labelled_document(spark):
             assert math.isclose(got[i].contrast, max(map(apart, run[2:])), abs_tol=1e-5)
 
 
+def test_quality_packs_rare_words_tightly(spark):
+    """Words are those of bytes.split(), and a place of a rare word, which goes to up to two shards, takes few bytes."""
+    texts = [b"", b" ", b"a b\x0b\xff\x1cc", b"x" * 2000, b"abcdefgh abcdefghi", b"abcdefgh\0", "ä\u2003b ä".encode(), b""]
+    hashes, sizes = lexicon.word_hashes(pa.array([b"left out", *texts]).slice(1))
+    words = [w for t in texts for w in t.split()]
+    assert sizes.tolist() == [len(t.split()) for t in texts]
+    assert len(set(words)) == len(set(hashes.tolist())) == len(set(zip(words, hashes.tolist())))
+    r = random.Random(5)
+    rows = [(i, i % 2, quality.SCORED, " ".join(f"w{r.getrandbits(40):x}" for _ in range(200)).encode()) for i in range(500)]
+    df = spark.createDataFrame(rows, "key long, half int, use int, raw binary").coalesce(1)
+    size, n = (sum(f(r.packed) for r in quality._places(df, 2).collect()) for f in (len, lambda v: len(quality.unpacked(v)["v"])))
+    assert n == 500 * 202 and size < 18.2 * n
+
+
 def test_quality_drops_documents_with_few_bad_words(spark):
     rows = [(i, prose(i, 150), "en", 1, 0) for i in range(400)]
     rows += [(1000 + i, prose(1000 + i, 70) + f" swine{i % 3} " + prose(2000 + i, 70), "en", 1, 1) for i in range(60)]
